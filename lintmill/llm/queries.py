@@ -18,6 +18,12 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lintmill.llm.warc import round_trip
+
+    return round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lintmill.llm.packing import pack
 
@@ -38,6 +44,7 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op5_warc": op5_warc,
     "op6_packing": op6_packing,
     "op8_decontaminate": op8_decontaminate,
     "op10_html": op10_html,
