@@ -42,6 +42,12 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lintmill.llm.secrets import report
+
+    return report(table(spark, sf_dir, "documents"))
+
+
 def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lintmill.llm.html_extract import extract_text
 
@@ -53,6 +59,7 @@ QUERIES: dict[str, Query] = {
     "op5_warc": op5_warc,
     "op6_packing": op6_packing,
     "op8_decontaminate": op8_decontaminate,
+    "op9_secrets": op9_secrets,
     "op10_html": op10_html,
 }
 ORACLES: dict[str, str] = {"op3_quality": quality.ORACLE}
