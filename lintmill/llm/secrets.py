@@ -20,7 +20,7 @@ from lintmill.llm.quality import split_words
 
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-=."
 #: Of the default sample: random strings, and documents with the smallest ids.
-SAMPLE_STRINGS, SAMPLE_DOCS = 2000, 50
+SAMPLE_STRINGS, SAMPLE_DOCS = 2000, 16
 #: A run's least length, and its least log-likelihood ratio per transition (natural logarithm).
 MIN_RUN, MIN_RATIO = 20, 0.7
 RUN = f"[A-Za-z0-9+/_-]{{{MIN_RUN},}}"
@@ -79,7 +79,7 @@ def sample(spark: SparkSession, docs: DataFrame, n_strings: int = SAMPLE_STRINGS
         pair = lambda sep, second: F.transform(w, lambda x, i: F.concat(x, F.lit(sep), second(F.coalesce(F.get(w, i + 1), F.lit("id")))))
         return F.concat(w, pair("_", F.lower), pair("", F.initcap), pair("-", F.lower), pair("/", F.lower))
 
-    ordinary = words.select(F.explode(joined(F.col("w"))).alias("text"), F.lit(False).alias("secret"))
+    ordinary = words.select(F.explode(let(F.col("w"), joined)).alias("text"), F.lit(False).alias("secret"))
     return secrets.unionByName(ordinary)
 
 
