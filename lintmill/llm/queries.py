@@ -36,6 +36,12 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op7_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lintmill.llm.lm import score
+
+    return score(table(spark, sf_dir, "documents"))
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lintmill.llm.decontaminate import report
 
@@ -58,6 +64,7 @@ QUERIES: dict[str, Query] = {
     "op3_quality": op3_quality,
     "op5_warc": op5_warc,
     "op6_packing": op6_packing,
+    "op7_lm": op7_lm,
     "op8_decontaminate": op8_decontaminate,
     "op9_secrets": op9_secrets,
     "op10_html": op10_html,
