@@ -19,6 +19,12 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lintmill.llm.jaccard import jaccard_components
+
+    return jaccard_components(table(spark, sf_dir, "documents"), k=4, num=85, den=100)
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lintmill.llm.line_dedup import deduplicated
 
@@ -68,6 +74,7 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_jaccard": op1_jaccard,
     "op2_line_dedup": op2_line_dedup,
     "op3_quality": op3_quality,
     "op5_warc": op5_warc,
