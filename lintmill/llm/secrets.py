@@ -77,7 +77,7 @@ def sample(spark: SparkSession, docs: DataFrame, n_strings: int = SAMPLE_STRINGS
 
     def joined(w: Column) -> Column:
         pair = lambda sep, second: F.transform(w, lambda x, i: F.concat(x, F.lit(sep), second(F.coalesce(F.get(w, i + 1), F.lit("id")))))
-        return F.concat(w, pair("_", F.lower), pair("", F.initcap), pair("-", F.lower), pair("/", F.lower))
+        return F.concat(w, pair("_", F.lower), pair("", F.initcap), pair("-", F.lower), pair("/", F.lower), F.transform(pair("_", F.lower), F.upper))
 
     ordinary = words.select(F.explode(let(F.col("w"), joined)).alias("text"), F.lit(False).alias("secret"))
     return secrets.unionByName(ordinary)
