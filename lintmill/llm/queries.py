@@ -36,6 +36,12 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.report(table(spark, sf_dir, "documents"))
 
 
+def op4_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lintmill.llm.training_order import materialise
+
+    return materialise(table(spark, sf_dir, "documents"), tokenizer_path()).select("slot", "shard", "byte_offset", "ids_crc32")
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lintmill.llm.warc import round_trip
 
@@ -77,6 +83,7 @@ QUERIES: dict[str, Query] = {
     "op1_jaccard": op1_jaccard,
     "op2_line_dedup": op2_line_dedup,
     "op3_quality": op3_quality,
+    "op4_training_order": op4_training_order,
     "op5_warc": op5_warc,
     "op6_packing": op6_packing,
     "op7_lm": op7_lm,
