@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 from lintmill.llm.common import binaries, forget, written
 
 WORDS, NUM, DEN = 5, 80, 100
-SIGNATURE_BYTES = 64
+SIGNATURE_BYTES, WIDE_BYTES = 64, 4096
 LEAF, BLOCK, PIVOTS = 16, 1024, 16
 #: A token is frequent in so many documents, or in one of a thousand; at most so many go last.
 FREQUENT, FREQUENT_LIMIT = 50, 200_000
@@ -76,12 +76,27 @@ def prefix_size(n: int, num: int, den: int) -> int:
     return n - -(-num * n // den) + 1 if n else 0
 
 
-def signature(tokens: np.ndarray) -> bytes:
-    bits = np.zeros(SIGNATURE_BYTES * 8, dtype=bool)
+def signature(tokens: np.ndarray, n_bytes: int = SIGNATURE_BYTES) -> bytes:
+    """A bitmap of the tokens; one of half the length is the OR of its halves."""
+    bits = np.zeros(n_bytes * 8, dtype=bool)
     bits[(tokens >> np.uint64(17)) % np.uint64(len(bits))] = True
     return np.packbits(bits).tobytes()
 
 
+def wide_bytes(n: int) -> int:
+    """The length of a set's own wide bitmap: a power of two, some two bits or more per token within the bounds."""
+    return min(max(SIGNATURE_BYTES, 1 << max(0, n - 1).bit_length() >> 2), WIDE_BYTES)
+
+
+def wide_possible(n: int, a: bytes, m: int, b: bytes, num: int, den: int) -> bool:
+    """Whether sets of n and m tokens can link, by their wide bitmaps folded to the shorter length."""
+    x, y = np.frombuffer(a, dtype=np.uint64), np.frombuffer(b, dtype=np.uint64)
+    size = min(len(x), len(y))
+    x, y = np.bitwise_or.reduce(x.reshape(-1, size)), np.bitwise_or.reduce(y.reshape(-1, size))
+    most = min(n - int(np.bitwise_count(x & ~y).sum()), m - int(np.bitwise_count(y & ~x).sum()))
+    return (num + den) * most >= num * (n + m)
+
+
 def links(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
     common = int(np.isin(a, b, assume_unique=True, kind="sort").sum()) if len(a) + len(b) < 64 else int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
     return den * common >= num * (len(a) + len(b) - common)
@@ -212,14 +227,14 @@ def _pairs(rows: list[tuple[int, int]]) -> pa.RecordBatch:
 
 
 def shingled(docs: DataFrame, k: int, num: int, den: int, frequent: np.ndarray | None, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, n, key (hash of the set; null if empty), prefix, signature. Without ``frequent``, the prefix is half as long again and in hash order."""
-    schema = "doc_id bigint, n bigint, key binary, prefix array<bigint>, signature binary"
+    """doc_id, n, key (hash of the set; null if empty), prefix, signature, wide. Without ``frequent``, the prefix is half as long again and in hash order."""
+    schema = "doc_id bigint, n bigint, key binary, prefix array<bigint>, signature binary, wide binary"
 
     def run(batches):
         shingles = Shingler(k)
         names = [x.split(" ")[0] for x in schema.split(", ")]
         for batch in batches:
-            n, keys, prefixes, signatures = [], [], [], []
+            n, keys, prefixes, signatures, wides = [], [], [], [], []
             for text in binaries(batch.column(1)):
                 tokens = shingles(text)
                 n.append(len(tokens))
@@ -228,6 +243,7 @@ def shingled(docs: DataFrame, k: int, num: int, den: int, frequent: np.ndarray |
                 if frequent is None:
                     prefixes.append(tokens[: size + size // 2].view(np.int64))
                     signatures.append(None)
+                    wides.append(None)
                 else:
                     if len(frequent) and len(tokens):
                         hot = frequent[np.minimum(np.searchsorted(frequent, tokens), len(frequent) - 1)] == tokens
@@ -236,10 +252,11 @@ def shingled(docs: DataFrame, k: int, num: int, den: int, frequent: np.ndarray |
                         ordered = tokens[:size]
                     prefixes.append(ordered.view(np.int64))
                     signatures.append(signature(tokens))
+                    wides.append(signature(tokens, wide_bytes(len(tokens))))
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in prefixes])]).astype(np.int32)
             flat = np.concatenate(prefixes) if prefixes else np.zeros(0, dtype=np.int64)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), lists, pa.array(signatures, pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), lists, pa.array(signatures, pa.binary()), pa.array(wides, pa.binary())], names=names)
 
     return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string")).mapInArrow(run, schema)
 
@@ -348,6 +365,19 @@ def candidate_pairs(shared: DataFrame, active: DataFrame, labels: DataFrame | No
     return rows.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
+def narrowed(pairs: DataFrame, reps: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs that can still link by bitmaps as wide as their sets need."""
+    side = lambda x: reps.select(F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("wide").alias(f"w{x}"))
+    rows = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "wa", "nb", "wb")
+
+    def run(batches):
+        for batch in batches:
+            columns = [c.to_pylist() for c in batch.columns]
+            yield _pairs([(a, b) for a, b, n, x, m, y in zip(*columns, strict=True) if wide_possible(n, x, m, y, num, den)])
+
+    return rows.mapInArrow(run, "a bigint, b bigint")
+
+
 def verified(pairs: DataFrame, active: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """The pairs that link, by their whole sets."""
     rows = pairs.join(active.select(F.col("rep").alias("a"), F.col("text").alias("ta")), "a").join(active.select(F.col("rep").alias("b"), F.col("text").alias("tb")), "b")
@@ -383,7 +413,7 @@ def jaccard_components(docs: DataFrame, *, k: int = WORDS, num: int = NUM, den:
     frequent = frequent_tokens(docs, k, num, den, id_col, text_col)
     _collected(spark)
     sets = written(shingled(docs, k, num, den, frequent, id_col, text_col), "sets")
-    same = sets.where("key is not null and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("signature").alias("signature"))
+    same = sets.where("key is not null and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("signature").alias("signature"), F.first("wide").alias("wide"))
     reps = written(same, "reps")
     _collected(spark)
     tokens = reps.select("rep", F.explode("prefix").alias("token"))
@@ -398,7 +428,8 @@ def jaccard_components(docs: DataFrame, *, k: int = WORDS, num: int = NUM, den:
         edges = edges.union(written(round_links(active, key, labels, k, num, den), "links"))
         labels = components(edges)
         _collected(spark)
-    pairs = written(candidate_pairs(shared, active, labels, num, den), "pairs")
+    pairs = written(narrowed(candidate_pairs(shared, active, labels, num, den), reps, num, den), "pairs")
+    _collected(spark)
     edges = edges.union(written(verified(pairs, active, k, num, den), "links"))
     labels = components(edges)
     out = sets.select("doc_id", F.col("n").alias("n_shingles"), "key").join(reps.select("key", "rep"), "key", "left")
