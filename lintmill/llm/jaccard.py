@@ -347,8 +347,51 @@ def candidate_pairs(shared: DataFrame, active: DataFrame, labels: DataFrame | No
     rows = rows.join(active.select("rep", "n", "signature"), "rep").select("token", F.col("x.p").alias("p"), F.col("x.q").alias("q"), "own", "rep", "component", "n", "signature")
     rows = rows.repartition("token", "p", "q").sortWithinPartitions("token", "p", "q", "rep")
 
+    def small(batch: pa.RecordBatch) -> tuple[pa.RecordBatch | None, np.ndarray]:
+        """The pairs of groups that are one leaf and lie in the batch's middle, for all of them at once, and which rows are left."""
+        names = ("token", "p", "q", "rep", "n", "component")
+        token, p, q, rep, n, component = (batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in names)
+        new = np.ones(len(token), dtype=bool)
+        new[1:] = (token[1:] != token[:-1]) | (p[1:] != p[:-1]) | (q[1:] != q[:-1])
+        starts = np.flatnonzero(new)
+        sizes = np.diff(np.append(starts, len(token)))
+        inner = (sizes <= LEAF) & (p[starts] == q[starts])
+        inner[[0, -1]] = False
+        left, right = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+        for size in range(2, LEAF + 1):
+            at = starts[inner & (sizes == size)]
+            if len(at):
+                i, j = np.triu_indices(size, 1)
+                left.append((at[:, None] + i).ravel())
+                right.append((at[:, None] + j).ravel())
+        i, j = np.concatenate(left), np.concatenate(right)
+        keep = component[i] != component[j]
+        i, j = i[keep], j[keep]
+        rest = ~np.repeat(inner, sizes)
+        if not len(i):
+            return None, rest
+        maps = _bitmaps(batch.column(batch.schema.get_field_index("signature")).to_pylist())
+        size = n.astype(np.int64)
+        level = (maps, size, size, size - np.bitwise_count(maps).sum(1))
+        keep = possible(level, i, level, j, num, den)
+        a, b = rep[i[keep]], rep[j[keep]]
+        pairs = np.unique(np.column_stack([np.minimum(a, b), np.maximum(a, b)]), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"]), rest
+
     def run(batches):
-        for group in _groups(batches, ("token", "p", "q")):
+        ready = []
+
+        def large():
+            for batch in batches:
+                if batch.num_rows:
+                    pairs, rest = small(batch)
+                    if pairs is not None:
+                        ready.append(pairs)
+                    yield batch.filter(pa.array(rest))
+
+        for group in _groups(large(), ("token", "p", "q")):
+            yield from ready
+            ready.clear()
             rep, own = group["rep"].to_numpy(), group["own"].to_numpy()
             sizes, maps, label = group["n"].to_numpy(), _bitmaps(group["signature"].to_pylist()), group["component"].to_numpy()
             p, q = group["p"][0].as_py(), group["q"][0].as_py()
@@ -361,6 +404,7 @@ def candidate_pairs(shared: DataFrame, active: DataFrame, labels: DataFrame | No
                 a, b = rep[first[i]], rep[last[j]]
                 keep = label[first[i]] != label[last[j]]
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)[keep]), pa.array(np.maximum(a, b)[keep])], names=["a", "b"])
+        yield from ready
 
     return rows.mapInArrow(run, "a bigint, b bigint").distinct()
 
