@@ -20,6 +20,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,7 +32,6 @@ SIGNATURE_BYTES, WIDE_BYTES = 64, 4096
 LEAF, BLOCK, PIVOTS = 16, 1024, 16
 #: A token is frequent in so many documents, or in one of a thousand; at most so many go last.
 FREQUENT, FREQUENT_LIMIT = 50, 200_000
-CACHE_LIMIT = 400_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 
@@ -40,29 +40,14 @@ class Shingler:
     """Sorted distinct shingle hashes of a text."""
 
     def __init__(self, k: int):
-        import xxhash
-
-        self.k, self.hash, self.cache = k, xxhash.xxh64_intdigest, {}
+        self.k = k
 
     def __call__(self, text: bytes | None) -> np.ndarray:
         words = text.lower().split() if text else []
         if not words:
             return np.zeros(0, dtype=np.uint64)
-        cache = self.cache
-        try:
-            own = list(map(cache.__getitem__, words))
-        except KeyError:
-            if len(cache) > CACHE_LIMIT:
-                cache.clear()
-            own = []
-            for w in words:
-                value = cache.get(w)
-                if value is None:
-                    value = self.hash(w)
-                    if len(w) <= 64:
-                        cache[w] = value
-                own.append(value)
-        values = np.array(own, dtype=np.uint64)
+        # hashing a word anew costs less than looking it up in a large table
+        values = np.frombuffer(b"".join(map(xxhash.xxh64_digest, words)), dtype="<u8")
         size = min(self.k, len(values))
         out = np.full(len(values) - size + 1, size, dtype=np.uint64)
         for j in range(size):
