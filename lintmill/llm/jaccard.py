@@ -15,8 +15,9 @@ and no link is lost. Links are few; components come from alternating star steps,
 
 from __future__ import annotations
 
+import gc
 import hashlib
-import math
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -424,11 +425,11 @@ def verified(pairs: DataFrame, active: DataFrame, k: int, num: int, den: int) ->
 
 
 def _collected(spark) -> None:
-    """Let the driver's JVM drop what finished steps no longer need, shuffle files among it."""
-    import gc
-
-    gc.collect()
-    spark._jvm.System.gc()
+    """Let the driver drop what finished steps no longer need; the files of their shuffles go with it."""
+    for _ in range(2):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.4)
 
 
 def jaccard_components(docs: DataFrame, *, k: int = WORDS, num: int = NUM, den: int = DEN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -441,9 +442,11 @@ def jaccard_components(docs: DataFrame, *, k: int = WORDS, num: int = NUM, den:
     spark = docs.sparkSession
     frequent = frequent_tokens(docs, k, num, den, id_col, text_col)
     _collected(spark)
-    sets = written(shingled(docs, k, num, den, frequent, id_col, text_col), "sets")
-    same = sets.where("key is not null and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("signature").alias("signature"), F.first("wide").alias("wide"))
+    every = written(shingled(docs, k, num, den, frequent, id_col, text_col), "sets")
+    same = every.where("key is not null and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("signature").alias("signature"), F.first("wide").alias("wide"))
     reps = written(same, "reps")
+    sets = written(every.select("doc_id", "n", "key"), "members")
+    forget(every)
     _collected(spark)
     tokens = reps.select("rep", F.explode("prefix").alias("token"))
     shared = written(tokens.join(tokens.groupBy("token").count().where("count > 1").select("token"), "token").select("token", "rep"), "shared")
