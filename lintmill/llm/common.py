@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+import time
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -53,6 +55,14 @@ def forget(*frames: DataFrame) -> None:
             hadoop.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+def collected(spark: SparkSession) -> None:
+    """Let the driver drop what finished steps no longer need; the files of their shuffles go with it."""
+    for _ in range(2):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.4)
+
+
 def binaries(column: pa.ChunkedArray | pa.Array) -> list[bytes | None]:
     """The UTF-8 bytes of a string column, null as None."""
     return column.cast(pa.binary()).to_pylist()

@@ -20,13 +20,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lintmill.llm.common import shared_folder
+from lintmill.llm.common import collected, shared_folder
 from lintmill.llm.packing import CAPACITY, Encoder, Packer
 
 PER_SHARD, ROUNDS, PAD_ID = 4096, 6, 0
 MARKER = "\r\n\r\n"
 KEY = "lintmill"
 PARTITION_BITS = 36
+#: Shards are written in so many ranges one after the other, so that the shuffle on disk is a part of the data only.
+PASSES = 3
 
 
 class Feistel:
@@ -118,14 +120,18 @@ def slotted(packed: DataFrame, key: str = KEY) -> tuple[DataFrame, int]:
     return packed.withColumn("slot", slot("sequence_id")), total
 
 
-def write_shards(rows: DataFrame, total: int, path: str, per_shard: int = PER_SHARD) -> None:
-    """Write (slot, ids) as one file per shard under ``path``/shard=k."""
+def write_shards(rows: DataFrame, total: int, path: str, per_shard: int = PER_SHARD, passes: int = PASSES) -> None:
+    """Write (slot, ids) as one file per shard under ``path``/shard=k, a range of shards at a time."""
     shards = -(-total // per_shard)
     tasks = max(1, min(shards, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    shard = F.floor(F.col("slot") / per_shard)
-    own = rows.select("slot", "ids", shard.alias("shard"))
-    own = own.repartitionById(tasks, F.floor(F.col("shard") * tasks / max(shards, 1)).cast("int")).sortWithinPartitions("shard", "slot")
-    own.select("shard", F.col("ids").cast("string").alias("value")).write.mode("overwrite").partitionBy("shard").option("lineSep", MARKER).text(path)
+    own = rows.select("slot", "ids", F.floor(F.col("slot") / per_shard).alias("shard"))
+    bounds = sorted({shards * k // passes for k in range(passes + 1)})
+    for low, high in zip(bounds, bounds[1:], strict=False):
+        part = own.where((F.col("shard") >= low) & (F.col("shard") < high))
+        task = F.floor((F.col("shard") - low) * tasks / (high - low)).cast("int")
+        part = part.repartitionById(tasks, task).sortWithinPartitions("shard", "slot").select("shard", F.col("ids").cast("string").alias("value"))
+        part.write.mode("append" if low else "overwrite").partitionBy("shard").option("lineSep", MARKER).text(path)
+        collected(rows.sparkSession)
 
 
 def read_shards(spark: SparkSession, path: str, capacity: int = CAPACITY, id_bytes: int = 2, per_shard: int = PER_SHARD, start: int = 0) -> DataFrame:
