@@ -266,9 +266,13 @@ def extract(html: str, weights: list[float]) -> str:
 
 
 def classifier(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", n_pages: int = TRAIN_PAGES, n_chars: int = TRAIN_CHARS) -> list[float]:
-    """Weights from the ``n_pages`` pages of the smallest ids that have at most ``n_chars`` characters: a bounded sample."""
-    sample = pages.where(F.length(html_col) <= n_chars).orderBy(id_col).limit(n_pages)
-    return train([r[0] for r in sample.select(html_col, id_col).collect()])
+    """Weights from the ``n_pages`` pages of the smallest ids that have at most ``n_chars`` characters: a bounded sample.
+
+    Only ids are ranked; the pages themselves are then fetched by their ids.
+    """
+    ids = [r[0] for r in pages.where((F.length(html_col) <= n_chars) & F.col(id_col).isNotNull()).select(id_col).orderBy(id_col).limit(n_pages).collect()]
+    rows = pages.where(F.col(id_col).isin(ids) & (F.length(html_col) <= n_chars)).select(id_col, html_col).dropDuplicates([id_col]).collect()
+    return train([r[1] for r in sorted(rows, key=lambda r: r[0])])
 
 
 def extract_text(pages: DataFrame, *, id_col: str = "page_id", html_col: str = "html", weights: list[float] | None = None) -> DataFrame:
