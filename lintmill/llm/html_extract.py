@@ -68,7 +68,7 @@ def _role(tag: str, attributes: str, inside: bool) -> int:
             if parts[-1] in CHROME_WORDS or parts[0] in CHROME_WORDS and not ARTICLE_WORDS & set(parts):
                 if not (parts[-1] == "header" and inside):
                     return -1
-            good |= parts[-1] in ARTICLE_WORDS
+            good |= bool(ARTICLE_WORDS & set(parts))
     return int(good)
 
 
