@@ -8,9 +8,9 @@ import corpus_pipeline
 def test_stages_take_effect(spark, sf_dir):
     source = spark.read.parquet(f"{sf_dir}/documents.parquet")
     item = spark.read.parquet(f"{sf_dir}/benchmark.parquet").first().text
-    sentence = lambda tag: " ".join(f"This is sentence {i} of the clean text {tag}, which nothing else has." for i in range(12))
+    sentence = lambda tag: " ".join(f"The {tag}{i}a word {tag}{i}b goes {tag}{i}c then {tag}{i}d, and {tag}{i}e." for i in range(12))
     passage = "A long passage, " + " ".join(f"with word{i}" for i in range(40)) + "."
-    near = sentence("near").replace("sentence 5", "phrase 5")
+    near = sentence("near").replace("near5b", "other")
     planted = {9001: sentence("one"), 9002: sentence("near"), 9003: near, 9004: f"{sentence('two')}\n{passage}", 9005: f"{sentence('three')}\n{passage}", 9006: f"{sentence('four')} {item}", 9007: "### $$$ *** " * 30, 9008: None}
     rows = spark.createDataFrame([(i, t, "en", "planted", len(t or "")) for i, t in planted.items()], source.schema)
     docs = rows.unionByName(source.where("doc_id < 40"))
