@@ -1,14 +1,11 @@
-"""Line deduplication by winnowing, in DataFrame functions alone.
+"""Line deduplication by windows of lines, in DataFrame functions alone.
 
-A gram is the fewest consecutive lines, from a given line on, that have ``GRAM_WORDS`` words together; lines without a word don't count.
-Among the grams that start within ``SLACK_WORDS`` of each other the one of the least hash is a fingerprint. A line of
-``GRAM_WORDS`` or more is a gram and a window by itself; a run of shorter lines holds a whole window as soon as it has
-GRAM_WORDS + 18 + SLACK_WORDS words. So two texts that share a run of ``RUN_WORDS`` = 50 words share a fingerprint in it.
+A window is the fewest consecutive lines that have ``RUN_WORDS`` = 50 words together, from a given line on or up to a given line; lines
+without a word don't count. A place is in a run of RUN_WORDS or more that an earlier place has exactly if one of its windows is there, so
+each window is judged against the first occurrence of that same window, in the order of document and line, and no pair of documents is compared.
 
-Each fingerprint's positions are joined with its first one, in the order of document and line, never with each other. Every such
-match is extended both ways along its diagonal by comparing line hashes, and a run of ``RUN_WORDS`` or more is deleted from the later
-document. A fingerprint that a third of all documents have is aggregated before the shuffle, and the join back has one row for it, so
-its side can be split. Hashes stand for lines; the texts themselves move once, at the end.
+A window that a third of all documents have is aggregated before the shuffle, and the join back has one row for it, so its side can be
+split. Hashes of 96 bits stand for windows; the texts themselves move once, at the end.
 """
 
 from __future__ import annotations
@@ -19,7 +16,7 @@ from pyspark.sql import functions as F
 from lintmill.llm.common import SPACE, let, written
 from lintmill.llm.quality import split_words
 
-GRAM_WORDS, SLACK_WORDS, RUN_WORDS = 20, 6, 50
+RUN_WORDS = 50
 _LAST = 2**63 - 1
 
 
@@ -32,65 +29,55 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.withColumn("__o", F.coalesce(F.col(f"`{id_col}`").cast("bigint"), F.lit(_LAST))).withColumn("__t", F.xxhash64(F.col(f"`{text_col}`")))
 
 
-def fingerprints(h: Column, w: Column) -> Column:
-    """(gram hash, line) of the window minima; h: line hashes, w: the lines' words, one each at least."""
-    zero = lambda: F.struct(F.lit(0).alias("words"), F.lit(0).alias("lines"))
-    plus = lambda a, n: F.struct((a["words"] + n).alias("words"), (a["lines"] + 1).alias("lines"))
+def windows(h: Column, w: Column) -> Column:
+    """(g, c, s, e) of the least windows, end exclusive; g, c: hashes, h: line hashes, w: the lines' words, one each at least."""
+    # The sum of at most 2 * RUN_WORDS - 1 words is in the low 7 bits, the number of lines above them.
+    fold = lambda part: F.aggregate(part, F.lit(0), lambda a, n: F.when(a.bitwiseAND(127) < RUN_WORDS, a + n + 128).otherwise(a))
+    lines = lambda a, other: F.when(a.bitwiseAND(127) >= RUN_WORDS, F.shiftright(a, 7)).otherwise(other)
 
-    def gram(i: Column) -> Column:
-        size = F.aggregate(F.slice(w, i + 1, GRAM_WORDS), zero(), lambda a, n: F.when(a["words"] < GRAM_WORDS, plus(a, n)).otherwise(a))
-        return let(size, lambda s: F.when(s["words"] >= GRAM_WORDS, F.xxhash64(F.slice(h, i + 1, s["lines"]))))
+    def needed(n: Column, i: Column) -> Column:
+        """The number of lines from i on; null if there are too few words. Most windows are of a few lines, which are tried first."""
+        whole = let(fold(F.slice(n, i + 1, RUN_WORDS)), lambda a: lines(a, F.lit(None).cast("int")))
+        return F.when(F.get(n, i) >= RUN_WORDS, 1).otherwise(let(fold(F.slice(n, i + 1, 8)), lambda a: lines(a, whole)))
 
-    def minima(g: Column) -> Column:
-        def least(i: Column) -> Column:
-            far = lambda a: F.struct(F.lit(SLACK_WORDS + 1).alias("words"), a["lines"].alias("lines"))
-            near = F.aggregate(F.slice(w, i + 1, SLACK_WORDS), zero(), lambda a, n: F.when(a["words"] + n <= SLACK_WORDS, plus(a, n)).otherwise(far(a)), lambda a: a["lines"])
-            own = F.transform(F.sequence(F.lit(0), near), lambda j: F.struct(F.get(g, i + j).alias("g"), (i + j).alias("pos")))
-            return let(own, lambda x: F.when(~F.exists(x, lambda y: y["g"].isNull()), F.array_min(x)))
+    # A window is its first line times 64 plus its number of lines, which is 50 at most.
+    code = lambda start, size: start.cast("bigint") * 64 + size
+    each = lambda n, at: F.transform(F.sequence(F.lit(0), F.size(n) - 1), lambda i: let(needed(n, i), lambda k: code(at(i, k), k)))
 
-        one = lambda i: F.when(F.get(g, i).isNotNull(), F.struct(F.get(g, i).alias("g"), i.alias("pos")))
-        found = F.transform(F.sequence(F.lit(0), F.size(h) - 1), lambda i: F.when(F.get(w, i) > SLACK_WORDS, one(i)).otherwise(least(i)))
-        return F.array_distinct(F.filter(found, lambda x: x.isNotNull()))
+    def both(n: Column) -> Column:
+        return F.concat(each(n, lambda i, k: i), let(F.reverse(n), lambda r: each(r, lambda i, k: F.size(n) - i - k)))
 
-    return F.when(F.size(h) > 0, let(F.transform(F.sequence(F.lit(0), F.size(h) - 1), gram), minima)).otherwise(F.expr("cast(array() as array<struct<g:bigint,pos:int>>)"))
+    def hashed(x: Column) -> Column:
+        start, size = F.shiftright(x, 6).cast("int"), x.bitwiseAND(63).cast("int")
+        return let(F.slice(h, start + 1, size), lambda part: F.struct(F.xxhash64(part).alias("g"), F.hash(part).alias("c"), start.alias("s"), (start + size).alias("e")))
+
+    capped = F.transform(w, lambda n: F.least(n, F.lit(RUN_WORDS)))
+    return F.transform(F.filter(F.array_distinct(let(capped, both)), lambda x: x.isNotNull()), hashed)
 
 
 def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document: __o, __t, __h (hashes of the lines with words), __w (their words), __f (fingerprints)."""
+    """One row per window of each document: __o, __t, g, c, s, e; lines are counted among those with words."""
     keyed = _keyed(docs.select(id_col, text_col), id_col, text_col).where(F.col(f"`{text_col}`").isNotNull())
     worded = F.filter(_lines(F.col(f"`{text_col}`")), lambda x: x.rlike(f"[^{SPACE}]"))
     both = F.transform(worded, lambda x: F.struct(F.xxhash64(F.regexp_replace(x, f"^[{SPACE}]+|[{SPACE}]+$", "")).alias("h"), F.size(split_words(x)).alias("w")))
     rows = keyed.select("__o", "__t", both.alias("__b")).select("__o", "__t", F.col("__b.h").alias("__h"), F.col("__b.w").alias("__w"))
-    rows = rows.where(F.aggregate("__w", F.lit(0), lambda a, n: a + n) >= GRAM_WORDS)
-    return rows.withColumn("__f", let(F.col("__w"), lambda w: let(F.col("__h"), lambda h: fingerprints(h, w))))
-
-
-def _runs(h: Column, w: Column, first: Column, diagonal: Column) -> Column:
-    """Ranges of lines, end exclusive, where h agrees with ``first`` on the diagonal for ``RUN_WORDS`` words or more."""
-    start = F.expr("cast(struct(0, 0, array()) as struct<begin:int,words:int,out:array<struct<s:int,e:int>>>)")
-    flags = F.transform(h, lambda x, i: F.struct((F.when(i >= diagonal, F.get(first, i - diagonal) == x).otherwise(False)).alias("same"), F.get(w, i).alias("w"), i.alias("i")))
-    closed = F.concat(flags, F.array(F.struct(F.lit(False).alias("same"), F.lit(0).alias("w"), F.size(h).alias("i"))))
+    rows = rows.where(F.aggregate("__w", F.lit(0), lambda a, n: a + n) >= RUN_WORDS)
+    found = let(F.col("__w"), lambda w: let(F.col("__h"), lambda h: windows(h, w)))
+    return rows.select("__o", "__t", F.explode(found).alias("f")).select("__o", "__t", "f.*")
 
-    def step(a: Column, x: Column) -> Column:
-        same = F.coalesce(x["same"], F.lit(False))
-        out = F.when(~same & (a["words"] >= RUN_WORDS), F.concat(a["out"], F.array(F.struct(a["begin"].alias("s"), x["i"].alias("e"))))).otherwise(a["out"])
-        return F.struct(F.when(same, a["begin"]).otherwise(x["i"] + 1).alias("begin"), F.when(same, a["words"] + x["w"]).otherwise(0).alias("words"), out.alias("out"))
 
-    return F.aggregate(closed, start, step, lambda a: a["out"])
+def repeated_runs(places: DataFrame) -> DataFrame:
+    """(__o, __t, __runs): the lines of each document, counting those with words, that an earlier run already has."""
+    first = places.groupBy("g", "c").agg(F.min(F.struct("__o", "__t", "s")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    later = places.join(first, ["g", "c"]).where(F.struct("__o", "__t", "s") > F.col("first"))
+    sorted_runs = later.groupBy("__o", "__t").agg(F.sort_array(F.collect_list(F.struct("s", "e"))).alias("__r"))
 
+    def apart(runs: Column) -> Column:
+        """The same lines in ranges that don't overlap; in this order the ends never fall."""
+        cut = F.transform(runs, lambda r, i: F.struct(F.greatest(r["s"], F.get(runs, i - 1)["e"]).alias("s"), r["e"].alias("e")))
+        return F.filter(cut, lambda r: r["s"] < r["e"])
 
-def repeated_runs(sketched: DataFrame) -> DataFrame:
-    """(__o, __t, __runs): the lines of each document, counting those with words, that an earlier run already has."""
-    places = sketched.select("__o", "__t", F.explode("__f").alias("f")).select("__o", "__t", F.col("f.g").alias("g"), F.col("f.pos").alias("pos"))
-    first = places.groupBy("g").agg(F.min(F.struct("__o", "__t", "pos")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    later = places.join(first, "g").where(F.struct("__o", "__t", "pos") > F.col("first"))
-    pairs = later.select("__o", "__t", F.col("first.__o").alias("__fo"), F.col("first.__t").alias("__ft"), (F.col("pos") - F.col("first.pos")).alias("__d")).distinct()
-    own = sketched.select("__o", "__t", "__h", "__w").dropDuplicates(["__o", "__t"])
-    other = own.select(F.col("__o").alias("__fo"), F.col("__t").alias("__ft"), F.col("__h").alias("__fh"))
-    both = pairs.join(own, ["__o", "__t"]).join(other, ["__fo", "__ft"])
-    runs = let(F.col("__h"), lambda h: let(F.col("__w"), lambda w: let(F.col("__fh"), lambda fh: _runs(h, w, fh, F.col("__d")))))
-    found = both.select("__o", "__t", runs.alias("__r")).where(F.size("__r") > 0)
-    return found.groupBy("__o", "__t").agg(F.flatten(F.collect_list("__r")).alias("__runs"))
+    return sorted_runs.select("__o", "__t", let(F.col("__r"), apart).alias("__runs"))
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -100,13 +87,13 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     agree in id and text are one document and are treated alike. A null text stays null with no lines. A text of which all lines go becomes
     empty. Texts without a repeated run stay as they are, to the byte. All columns of ``docs`` pass through.
     """
-    runs = repeated_runs(written(sketches(docs, id_col, text_col), "line-sketches"))
+    runs = repeated_runs(written(sketches(docs, id_col, text_col), "line-windows"))
     joined = _keyed(docs, id_col, text_col).join(runs, ["__o", "__t"], "left")
 
     def places(lines: Column) -> Column:
         """The numbers of the deleted lines among all lines."""
         worded = F.filter(F.transform(lines, lambda x, i: F.when(x.rlike(f"[^{SPACE}]"), i)), lambda i: i.isNotNull())
-        counted = F.array_distinct(F.flatten(F.transform("__runs", lambda r: F.sequence(r["s"], r["e"] - 1))))
+        counted = F.flatten(F.transform("__runs", lambda r: F.sequence(r["s"], r["e"] - 1)))
         return let(worded, lambda at: F.transform(counted, lambda k: F.get(at, k)))
 
     def taken(lines: Column) -> Column:

@@ -83,6 +83,23 @@ def test_line_dedup_extends_runs_of_short_lines_both_ways(spark):
     assert got == {1: rows[0][1], 2: "other words.\n\nand more.", 3: rows[2][1]}
 
 
+def test_line_dedup_of_runs_joined_from_frequent_lines(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(30)) for x in "ab")
+    rows = [(1, a), (2, b), *((i, f"{a}\n{b}") for i in range(3, 9))]
+    got = {r.doc_id: (r.deleted_lines, r["__clean"]) for r in line_dedup.deduplicated(spark.createDataFrame(rows, "doc_id bigint, text string")).withColumnRenamed("__deleted_lines", "deleted_lines").collect()}
+    assert got == {1: (0, a), 2: (0, b), 3: (0, rows[2][1]), **{i: (2, "") for i in range(4, 9)}}
+
+
+def test_line_dedup_of_random_lines_equals_brute_force(spark):
+    import random
+
+    r = random.Random(3)
+    lines = [" ".join(f"w{n}x{i}" for i in range(n)) for n in (1, 2, 5, 7, 18, 24, 30, 49, 50, 60)]
+    docs = [(i, "\n".join(r.choice(["", *lines]) for _ in range(r.randrange(60)))) for i in range(60)] + [(60, "\n".join(lines[0] for _ in range(120)))]
+    got = {x.doc_id: x["__deleted_lines"] for x in line_dedup.deduplicated(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()}
+    assert got == deleted(docs)
+
+
 def test_line_dedup_of_odd_rows(spark, odd, empty):
     got = line_dedup.deduplicated(odd).collect()
     assert len(got) == odd.count() and got[0].__fields__[: len(odd.columns)] == odd.columns
