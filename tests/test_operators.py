@@ -8,11 +8,13 @@ from lintmill.operators import evidence as E
 from lintmill.operators import findings as O
 from lintmill.operators import graph as G
 from lintmill.operators import metrics as M
-from lintmill.plans.queries import classified
+from lintmill.plans import sql as Q
+from lintmill.plans.queries import QUERIES, classified
 from lintmill.sources import sinks as S
 from lintmill.sources import text as X
 from lintmill.sources.tables import edges, findings_raw
 from lintmill.streaming.corpus import SCHEMA, event_counts, keep_merged
+from tests.helpers import duck_rows, spark_rows
 
 
 def rows(spark, data, schema):
@@ -114,3 +116,14 @@ def test_stream_replaces_a_repository(spark, tmp_path):
 def test_event_windows(spark, sf_dir):
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
     assert event_counts(e).agg(F.sum("n")).first()[0] == e.count()
+
+
+def test_lockset_fold_intersects_the_accesses_between_first_and_last(spark):
+    rows = [("READS", "field:1", 1, ["L1", "L2"]), ("WRITES", "field:1", 2, ["L2"]), ("READS", "field:1", 3, ["L1", "L2"]), ("READS", "field:2", 4, ["L1"]), ("READS", "field:2", 5, []), ("READS", "field:2", 6, ["L1", "L1"])]
+    accesses = spark.createDataFrame(rows, "kind string, dst string, o_orderkey bigint, locks array<string>")
+    assert {tuple(r) for r in G.lockset_fold(accesses).collect()} == {("field:1", "L2"), ("field:2", "")}
+
+
+def test_lockset_fold_equals_sql_over_all_accesses(spark, duck, sf_dir):
+    sql = f"WITH {Q.EDGES}, ac AS (SELECT * FROM ed WHERE kind <> 'CALLS') SELECT f.dst AS field, coalesce(string_agg(lock, ',' ORDER BY lock), '') AS locks FROM (SELECT DISTINCT dst FROM ac) f LEFT JOIN (SELECT DISTINCT a.dst, l.lock FROM ac a, unnest(a.locks) l(lock) WHERE NOT EXISTS (SELECT 1 FROM ac o WHERE o.dst = a.dst AND NOT list_contains(o.locks, l.lock))) h ON h.dst = f.dst GROUP BY f.dst"
+    assert spark_rows(QUERIES["set03_lockset_fold"](spark, sf_dir)) == duck_rows(duck.sql(sql))
