@@ -127,3 +127,12 @@ def test_lockset_fold_intersects_the_accesses_between_first_and_last(spark):
 def test_lockset_fold_equals_sql_over_all_accesses(spark, duck, sf_dir):
     sql = f"WITH {Q.EDGES}, ac AS (SELECT * FROM ed WHERE kind <> 'CALLS') SELECT f.dst AS field, coalesce(string_agg(lock, ',' ORDER BY lock), '') AS locks FROM (SELECT DISTINCT dst FROM ac) f LEFT JOIN (SELECT DISTINCT a.dst, l.lock FROM ac a, unnest(a.locks) l(lock) WHERE NOT EXISTS (SELECT 1 FROM ac o WHERE o.dst = a.dst AND NOT list_contains(o.locks, l.lock))) h ON h.dst = f.dst GROUP BY f.dst"
     assert spark_rows(QUERIES["set03_lockset_fold"](spark, sf_dir)) == duck_rows(duck.sql(sql))
+
+
+def test_rerank_searches_for_every_twentieth_vector(spark, duck, sf_dir):
+    sql = """WITH s AS (SELECT q.vec_id AS qid, e.vec_id, round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 6) AS cosine FROM embeddings q, embeddings e WHERE q.vec_id % 20 = 0 AND e.vec_id <> q.vec_id)
+    SELECT qid, vec_id, cosine, row_number() OVER (PARTITION BY qid ORDER BY cosine DESC, vec_id) AS place FROM s QUALIFY place <= 5"""
+    got = QUERIES["dsg13_rerank"](spark, sf_dir)
+    assert spark_rows(got) == duck_rows(duck.sql(sql))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan and "Broadcast" not in plan
