@@ -12,7 +12,7 @@ from lintmill.plans import sql as Q
 from lintmill.plans.queries import QUERIES, classified
 from lintmill.sources import sinks as S
 from lintmill.sources import text as X
-from lintmill.sources.tables import edges, findings_raw
+from lintmill.sources.tables import edges, findings_raw, source_lines
 from lintmill.streaming.corpus import SCHEMA, event_counts, keep_merged
 from tests.helpers import duck_rows, spark_rows
 
@@ -136,3 +136,14 @@ def test_rerank_searches_for_every_twentieth_vector(spark, duck, sf_dir):
     assert spark_rows(got) == duck_rows(duck.sql(sql))
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan and "Broadcast" not in plan
+
+
+def test_source_lines_are_those_of_all_documents(spark, duck, sf_dir):
+    sql = "SELECT doc_id, CAST(len(string_split(coalesce(text, ''), chr(10))) AS BIGINT) AS n FROM documents"
+    assert spark_rows(source_lines(spark, sf_dir).groupBy("doc_id").agg(F.count("*").alias("n"))) == duck_rows(duck.sql(sql))
+
+
+def test_citations_into_any_document_are_grounded(spark, tmp_path):
+    spark.createDataFrame([(45, "\n".join(map(str, range(10))))], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(45, 1), (45, 3)], "conv_id bigint, turn int").write.parquet(f"{tmp_path}/conversations.parquet")
+    assert [tuple(r) for r in QUERIES["jon08_ungrounded"](spark, str(tmp_path)).collect()] == [(45, "f45:16")]
