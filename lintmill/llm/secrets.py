@@ -1,8 +1,8 @@
 """Secret scanning, in DataFrame functions alone: fixed patterns, and Markov models of characters for what they miss.
 
 Two first-order models over the characters of keys are trained from labelled samples, one of random strings and one of ordinary words
-and identifiers. A long run of such characters is a secret when the log-likelihood ratio of its transitions is high enough per
-character. Only counts of character pairs, bounded by the square of the alphabet, come to the driver.
+and identifiers. In each run of such characters every stretch counts whose transitions have a log-likelihood ratio that is high enough
+in all, so words joined to a secret don't hide it. Only counts of character pairs, bounded by the square of the alphabet, come to the driver.
 
 Places come from ``split`` and ``regexp_extract_all`` with one pattern: the lengths of the pieces and of the matches, added up in turn. A
 text is taken apart only if the pattern occurs in it, so most texts cost one search per pattern. Nothing is shuffled.
@@ -21,8 +21,8 @@ from lintmill.llm.quality import split_words
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-=."
 #: Of the default sample: random strings, and documents with the smallest ids.
 SAMPLE_STRINGS, SAMPLE_DOCS = 2000, 16
-#: A run's least length, and its least log-likelihood ratio per transition (natural logarithm).
-MIN_RUN, MIN_RATIO = 20, 0.7
+#: A stretch's least length, and its least log-likelihood ratio in all (natural logarithm), that of 20 characters with 0.7 per transition.
+MIN_RUN, MIN_TOTAL = 12, 13.3
 RUN = f"[A-Za-z0-9+/_-]{{{MIN_RUN},}}"
 
 
@@ -43,15 +43,18 @@ def _none() -> Column:
     return F.expr(f"cast(array() as {SPAN})")
 
 
-def _spans(text: Column, rank: int, kind: str, pattern: str, keep) -> Column:
-    """The places of the leftmost non-overlapping matches that ``keep`` accepts, in code points, end exclusive."""
+def _spans(text: Column, rank: int, kind: str, pattern: str, keep=None, inside=None) -> Column:
+    """The places of the leftmost non-overlapping matches that ``keep`` accepts, or of what ``inside`` gives of them, in code points, end exclusive."""
     begin = F.expr(f"cast(struct(0, array()) as struct<at:int,out:{SPAN}>)")
 
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + x["gap"]
         end = start + F.length(x["match"])
-        one = F.struct(start.alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), end.alias("end"))
-        out = F.when(keep(x["match"]), F.concat(acc["out"], F.array(one))).otherwise(acc["out"])
+        span = lambda s, e: F.struct(s.alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), e.alias("end"))
+        if inside:
+            out = F.concat(acc["out"], F.transform(inside(x["match"]), lambda p: span(start + p["s"], start + p["e"])))
+        else:
+            out = F.when(keep(x["match"]), F.concat(acc["out"], F.array(span(start, end)))).otherwise(acc["out"])
         return F.struct(end.alias("at"), out.alias("out")).cast(f"struct<at:int,out:{SPAN}>")
 
     pairs = F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda p, m: F.struct(F.length(p).alias("gap"), m.alias("match")))
@@ -102,20 +105,46 @@ def train(samples: DataFrame, smooth: float = 0.5) -> list[float]:
     return [round(x - y, 6) for x, y in zip(logs(counts[True]), logs(counts[False]), strict=True)]
 
 
-def ratio(token: Column, model: list[float]) -> Column:
-    """Mean log-likelihood ratio per transition."""
+STRETCHES = "array<struct<s:int,e:int>>"
+
+
+def stretches(token: Column, model: list[float], min_total: float = MIN_TOTAL) -> Column:
+    """Where a token is random: (s, e), end exclusive, of each stretch whose ratios add up to ``min_total``, with the rest of the parts it ends in.
+
+    A stretch begins where the sum so far is not above zero and ends at its highest sum; it is over when the sum is down to
+    zero again, or by ``min_total`` below the highest one. Parts are what '/', '_' and '-' separate.
+    """
     size = len(ALPHABET) + 1
     table = F.split(F.lit(",".join(map(str, model))), ",").cast("array<double>")  # folded to one literal
     codes = F.transform(F.split(token, ""), lambda c: F.instr(F.lit(ALPHABET), c))
+    kind = f"struct<sum:double,s:int,best:double,e:int,out:{STRETCHES}>"
+    begin = F.expr(f"cast(struct(0, 0, 0, 0, array()) as {kind})")
+
+    def closed(a: Column) -> Column:
+        good = (a["best"] >= min_total) & (a["e"] - a["s"] >= MIN_RUN)
+        return F.when(good, F.concat(a["out"], F.array(F.struct(a["s"].alias("s"), a["e"].alias("e"))))).otherwise(a["out"])
+
+    def step(a: Column, x: Column) -> Column:
+        over = (a["sum"] <= 0) | (a["best"] >= min_total) & (a["best"] - a["sum"] >= min_total)
+        total = F.when(over, x["r"]).otherwise(a["sum"] + x["r"])
+        higher = over | (total > a["best"])
+        new = F.struct(total, F.when(over, x["i"]).otherwise(a["s"]), F.when(higher, total).otherwise(a["best"]), F.when(higher, x["i"] + 2).otherwise(a["e"]), F.when(over, closed(a)).otherwise(a["out"]))
+        return new.cast(kind)
+
+    def found(c: Column) -> Column:
+        steps = F.transform(F.slice(c, 1, F.size(c) - 1), lambda x, i: F.struct(F.get(table, x * size + F.get(c, i + 1)).alias("r"), i.alias("i")))
+        return F.aggregate(steps, begin, step, closed)
 
-    def mean(c: Column) -> Column:
-        steps = F.transform(F.slice(c, 1, F.size(c) - 1), lambda x, i: F.get(table, x * size + F.get(c, i + 1)))
-        return F.aggregate(steps, F.lit(0.0), lambda a, b: a + b) / (F.size(c) - 1)
+    def widened(raw: Column) -> Column:
+        before = lambda x: x["s"] - F.length(F.regexp_extract(F.substring(token, F.lit(1), x["s"]), "[^/_-]*$", 0))
+        after = lambda x: x["e"] + F.length(F.regexp_extract(F.substring(token, x["e"] + 1, F.length(token)), "^[^/_-]*", 0))
+        ends = lambda x, i: F.least(after(x), F.get(raw, i + 1)["s"])
+        return F.transform(raw, lambda x, i: F.struct(F.greatest(before(x), F.when(i > 0, ends(F.get(raw, i - 1), i - 1))).alias("s"), ends(x, i).alias("e")))
 
-    return let(codes, mean)
+    return let(let(codes, found), lambda raw: F.when(F.size(raw) > 0, widened(raw)).otherwise(F.expr(f"cast(array() as {STRETCHES})")))
 
 
-def scan(docs: DataFrame, model: list[float], text_col: str = "text", min_ratio: float = MIN_RATIO) -> DataFrame:
+def scan(docs: DataFrame, model: list[float], text_col: str = "text", min_total: float = MIN_TOTAL) -> DataFrame:
     """``docs`` with __base and __spans: arrays of (start, rank, kind, end), the spans of the fixed patterns and all spans.
 
     A null text is empty and has none. Repeated rows are scanned each by itself. Other columns pass through.
@@ -124,7 +153,7 @@ def scan(docs: DataFrame, model: list[float], text_col: str = "text", min_ratio:
     based = docs.withColumn("__base", _base(text))
 
     def added(base: Column) -> Column:
-        runs = _spans(text, len(BASE), "markov", RUN, lambda m: ratio(m, model) >= min_ratio)
+        runs = _spans(text, len(BASE), "markov", RUN, inside=lambda m: stretches(m, model, min_total))
         return F.filter(runs, lambda r: ~F.exists(base, lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"])))
 
     return based.withColumn("__spans", F.sort_array(F.concat("__base", added(F.col("__base")))))

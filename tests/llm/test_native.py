@@ -167,3 +167,32 @@ def test_added_spans_keep_clear_of_base_spans(spark):
     model = [1.0] * (len(secrets.ALPHABET) + 1) ** 2
     row = spark.createDataFrame([(1, "token=Abcdefghijklmnopqrstuvwxyz0 Zyxwvutsrqponmlkjihgfedcba1"), (2, None)], "doc_id bigint, text string")
     assert {r.doc_id: r.spans for r in secrets.report(row, model).collect()} == {1: "assign:0:33,markov:34:61", 2: ""}
+
+
+def test_markov_model_finds_random_strings_among_words(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    model = secrets.train(secrets.sample(spark, docs))
+    import base64
+    import random
+
+    r = random.Random(9)
+    words = [w for d in docs.where("doc_id > 100").orderBy("doc_id").limit(50).collect() for w in re.findall("[A-Za-z]{3,10}", d.text or "")]
+    token = lambda: base64.b64encode(r.randbytes(18)).decode().translate(str.maketrans("+/", "xQ"))
+    some = lambda k: [r.choice(words) for _ in range(k)]
+    cases = [(sep.join([*some(before), t, *some(after)]), [t]) for sep in "/_-" for before, after in ((3, 0), (6, 0), (3, 3)) for t in (token() for _ in range(30))]
+    cases += [("/".join([*some(2), t, *some(8), u]), [t, u]) for t, u in ((token(), token()) for _ in range(30))]
+    rows = spark.createDataFrame([(i, f"see {text} there") for i, (text, _) in enumerate(cases)], "doc_id bigint, text string")
+    hit = total = 0
+    for row in secrets.scan(rows, model).collect():
+        spans = [(s.start - 4, s.end - 4) for s in row["__spans"]]
+        assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:]))
+        for t in cases[row.doc_id][1]:
+            at = cases[row.doc_id][0].index(t)
+            total += 1
+            hit += any(s <= at and at + len(t) <= e for s, e in spans)
+    assert hit >= 0.9 * total
+    lone = [token()[:16] for _ in range(100)]
+    ordinary = ["/".join(some(5)) for _ in range(300)]
+    rows = spark.createDataFrame(list(enumerate(lone + ordinary)), "doc_id bigint, text string")
+    found = {row.doc_id for row in secrets.scan(rows, model).collect() if row["__spans"]}
+    assert sum(i < 100 for i in found) >= 50 and sum(i >= 100 for i in found) <= 6
