@@ -2,7 +2,8 @@
 
 A page is read once into blocks: runs of text that no block-level tag interrupts, each with its container path. A block's
 log-odds of being content are a prior from its containers (article, nav, class names) and a logistic classifier over its text,
-trained on a bounded sample whose labels come from semantic tags. They become terminal capacities; neighbouring blocks and blocks with the
+trained on a bounded sample whose labels come from semantic tags; a boilerplate container that holds most of a page's text counts only if
+an article is outside of it, and main ends all those around it. They become terminal capacities; neighbouring blocks and blocks with the
 same parent or grandparent are tied by smoothness edges. The minimum cut separates content from boilerplate. Blocks whose own
 capacity is at least that of all their edges are settled first, which changes no minimum cut; maximum flow decides the rest.
 """
@@ -21,7 +22,8 @@ from pyspark.sql import functions as F
 #: The classifier's sample: so many pages of the smallest ids, of so many characters at most.
 TRAIN_PAGES = 200
 TRAIN_CHARS = 50_000
-PRIOR_CHROME, PRIOR_ARTICLE, PRIOR_OUTSIDE = -9.0, 5.0, -5.0
+#: A boilerplate container's prior is less than TEXT_LIMIT and the ties to both neighbours together; only hidden text is settled by its markup.
+PRIOR_HIDDEN, PRIOR_CHROME, PRIOR_ARTICLE, PRIOR_OUTSIDE = -9.0, -4.0, 5.0, -5.0
 TEXT_LIMIT = 2.5
 TIE_NEXT, TIE_NEXT_APART, TIE_PARENT, TIE_GRANDPARENT = 1.0, 0.3, 0.5, 0.25
 
@@ -50,15 +52,15 @@ BLIND = frozenset("has with no without is not hide show".split())
 
 
 def _role(tag: str, attributes: str, inside: bool) -> int:
-    """-1 for a container of boilerplate, 1 for one of the article, 0 for neither; inside: an article is open already."""
+    """-2 for a hidden element, -1 for a container of boilerplate, 1 for one of the article, 0 for neither; inside: an article is open already."""
+    if tag not in ("html", "body", *ARTICLE_TAGS) and attributes and _HIDDEN.search(attributes):
+        return -2
     if tag in CHROME_TAGS or tag == "header" and not inside:
         return -1
     if tag in ARTICLE_TAGS:
         return 1
     if tag in ("html", "body") or not attributes:
         return 0
-    if _HIDDEN.search(attributes):
-        return -1
     good = False
     for m in _NAMES.finditer(attributes):
         for name in (m[1] or m[2] or m[3] or "").lower().split():
@@ -73,17 +75,41 @@ def _role(tag: str, attributes: str, inside: bool) -> int:
 
 
 class Block:
-    __slots__ = ("text", "link", "chrome", "article", "heading", "parent", "grandparent")
+    """``around``: the numbers of the boilerplate containers around it; wrappers of the page are taken out of them."""
+
+    __slots__ = ("text", "link", "around", "hidden", "article", "heading", "parent", "grandparent")
+
+    def __init__(self, text, link, around, hidden, article, heading, parent, grandparent):
+        self.text, self.link, self.around, self.hidden, self.article, self.heading, self.parent, self.grandparent = text, link, around, hidden, article, heading, parent, grandparent
+
+    @property
+    def chrome(self) -> bool:
+        return self.hidden or bool(self.around)
+
 
-    def __init__(self, text, link, chrome, article, heading, parent, grandparent):
-        self.text, self.link, self.chrome, self.article, self.heading, self.parent, self.grandparent = text, link, chrome, article, heading, parent, grandparent
+def _unwrap(blocks: list[Block]) -> list[Block]:
+    """Take out what is no boilerplate container but a wrapper: most of the page's text is in it, and no article is outside of such containers."""
+    shown = [b for b in blocks if not b.hidden]
+    total = sum(len(b.text) for b in shown)
+    while not any(b.article and not b.around for b in shown):
+        outer: dict[int, int] = {}
+        for b in shown:
+            if b.around:
+                outer[b.around[0]] = outer.get(b.around[0], 0) + len(b.text)
+        wrapper = next((k for k, n in outer.items() if 2 * n > total), None)
+        if wrapper is None:
+            break
+        for b in shown:
+            if b.around and b.around[0] == wrapper:
+                b.around = b.around[1:]
+    return blocks
 
 
 def blocks_of(html: str) -> list[Block]:
     """The text blocks of a page in page order, white space made single, empty ones left out."""
     out: list[Block] = []
-    # tag, chrome, article, id of the nearest block-level element, of the one around it
-    stack: list[tuple[str, bool, bool, int, int]] = [("", False, False, 0, 0)]
+    # tag, boilerplate containers, hidden, article, id of the nearest block-level element, of the one around it
+    stack: list[tuple[str, tuple[int, ...], bool, bool, int, int]] = [("", (), False, False, 0, 0)]
     parts: list[str] = []
     link = 0
     links = 0
@@ -94,9 +120,9 @@ def blocks_of(html: str) -> list[Block]:
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                _, chrome, article, parent, grandparent = stack[-1]
+                _, around, hidden, article, parent, grandparent = stack[-1]
                 heading = any(x[0] in ("h1", "h2", "h3", "h4", "h5", "h6") for x in stack[-3:])
-                out.append(Block(text, min(1.0, link / len(text)), chrome, article, heading, parent, grandparent))
+                out.append(Block(text, min(1.0, link / len(text)), around, hidden, article, heading, parent, grandparent))
             parts.clear()
         link = 0
 
@@ -139,15 +165,16 @@ def blocks_of(html: str) -> list[Block]:
                     break
                 if stack[k][0] in SCOPES:
                     break
-        _, chrome, article, parent, grandparent = stack[-1]
+        _, around, hidden, article, parent, grandparent = stack[-1]
         role = _role(tag, attributes, article)
         elements += 1
-        stack.append((tag, chrome or role < 0, article or role > 0, *((elements, parent) if block else (parent, grandparent))))
+        around = () if tag == "main" else (*around, elements) if role == -1 else around
+        stack.append((tag, around, hidden or role == -2, article or role > 0, *((elements, parent) if block else (parent, grandparent))))
         links += tag == "a"
     if at < len(html):
         parts.append(unescape(html[at:]))
     flush()
-    return out
+    return _unwrap(out)
 
 
 def features(block: Block) -> list[float]:
@@ -247,7 +274,7 @@ def label(blocks: list[Block], weights: list[float]) -> list[bool]:
     gain = []
     for b in blocks:
         own = sum(w * x for w, x in zip(weights, features(b), strict=True))
-        prior = PRIOR_CHROME if b.chrome else PRIOR_ARTICLE if b.article else PRIOR_OUTSIDE if has_article else 0.0
+        prior = PRIOR_HIDDEN if b.hidden else PRIOR_CHROME if b.chrome else PRIOR_ARTICLE if b.article else PRIOR_OUTSIDE if has_article else 0.0
         gain.append(prior + max(-TEXT_LIMIT, min(TEXT_LIMIT, own)))
     edges, last = [], {}
     for i, b in enumerate(blocks):

@@ -317,6 +317,26 @@ def test_page_with_all_kinds_of_boilerplate():
     assert html_extract.extract(PAGE, [0.0] * html_extract.N_FEATURES) == 'A "title"\nFirst paragraph, with a link & more words.\nSecond one.\nAn item.\nAnother item.'
 
 
+@pytest.mark.parametrize("start,end", [("<form action=x>", "</form>"), ('<div class="page-with-sidebar">', "</div>"), ('<form><div class="sidebar-layout"><section>', "</section></div></form>")])
+def test_page_in_a_wrapper_that_looks_like_boilerplate(start, end):
+    zeros = [0.0] * html_extract.N_FEATURES
+    expected = html_extract.extract(PAGE, zeros)
+    wrapped = PAGE.replace('<body class="has-sidebar">', "<body>" + start).replace("</body>", end + "</body>")
+    assert expected and html_extract.extract(wrapped, zeros) == expected
+    prose = "<nav><a href=#>Home</a></nav><p>" + "<p>".join(f"A long sentence, number {i}, that only its words, not its tags, show to be the text of the page." for i in range(5)) + "<footer>© x | y</footer>"
+    weights = [0.0, 1.0, -3.0, 1.0, -1.0, 1.0, 0.0, 0.0, -2.0]
+    expected = html_extract.extract(f"<body>{prose}</body>", weights)
+    assert expected.count("number") == 5 and html_extract.extract(f"<body>{start}{prose}{end}</body>", weights) == expected
+
+
+def test_text_and_neighbours_outweigh_a_container():
+    text = "A long sentence, with commas, that goes on and on as only the running text of an article ever does, and then it ends."
+    around = f"<article><div><p>{text}</p><p>{text}</p><div class=sidebar>%s</div><p>{text}</p><p>{text}</p></div><p hidden>{text}</p></article>"
+    weights = [0.0, 1.0, -3.0, 1.0, -1.0, 1.0, 0.0, 0.0, -2.0]
+    assert html_extract.extract(around % text, weights).count("A long") == 5
+    assert "Menu" not in html_extract.extract(around % "Menu", weights)
+
+
 @pytest.mark.parametrize("html,text", [("", ""), ("plain text", ""), ("<article>x", "x"), ("<article><p>a<!-- c --><p>b &lt;i&gt; <", "a\nb <i> <"), ("<article><p>" + "<b>" * 3000 + "deep</article>", "deep"), ("<<<>>>&&&", "")])
 def test_broken_pages(html, text):
     got = html_extract.extract(html, [0.0] * html_extract.N_FEATURES)
