@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import time
 import uuid
@@ -12,6 +13,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: What one batch between the JVM and a Python worker may hold; a longer text comes by itself.
+BATCH_BYTES = 8 << 20
+#: A key is hot if it has more than one in HOT_SHARE of all rows, and HOT_ROWS at least.
+HOT_SHARE, HOT_ROWS = 1000, 100
 #: ASCII white space: what separates words in every contract of this package.
 SPACE = "\\x20\\x09-\\x0D"
 
@@ -26,19 +31,48 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that the cluster names in spark.checkpoint.dir; in tests, where none is set, in /tmp/checkpoints."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints"
+    """A new path in the folder that the cluster names in spark.checkpoint.dir. Only a session in one process may do without: it has /tmp/checkpoints."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = "file:///tmp/checkpoints"
     return f"{base.rstrip('/')}/lintmill/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def _give_back() -> None:
+    """Return a worker's free memory to the system: an idle worker is kept for the next task and counts as long."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType) -> DataFrame:
+    """``mapInArrow`` in batches of at most ``BATCH_BYTES``, by workers that give their memory back at a task's end."""
+    name, conf = "spark.sql.execution.arrow.maxBytesPerBatch", df.sparkSession.conf
+    if int(str(conf.get(name)).rstrip("b")) > BATCH_BYTES:
+        conf.set(name, str(BATCH_BYTES))
+
+    def task(batches):
+        try:
+            yield from run(batches)
+        finally:
+            _give_back()
+
+    return df.mapInArrow(task, schema)
+
+
+def written(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     """Write ``df`` to the shared folder and read it again: the lineage ends there, and a lost executor costs nothing.
 
     The folder goes when the application ends, or with ``forget``.
     """
     spark = df.sparkSession
     path = shared_folder(spark, name)
-    df.write.mode("overwrite").parquet(path)
+    df.write.mode("overwrite").option("compression", codec).parquet(path)
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
     out = spark.read.schema(df.schema).parquet(path)
@@ -46,6 +80,25 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, with underscores before it until ``df`` has no such column, in either case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def spread_join(rows: DataFrame, groups: DataFrame, on: list[str], total: int, size: str = "n", how: str = "inner") -> DataFrame:
+    """``rows`` joined with one row per key of ``groups``, whose ``size`` is a key's share of the ``total`` rows.
+
+    Keys of over a thousandth of all rows, of which there can't be more than a thousand, are broadcast; so no task gets more than
+    that of one key. Both inputs are read twice and should be cheap to read. how: inner or left.
+    """
+    bound = max(HOT_ROWS, total // HOT_SHARE)
+    hot, cold = F.broadcast(groups.where(F.col(size) > bound)), groups.where(F.col(size) <= bound)
+    return rows.join(hot, on, "inner").unionByName(rows.join(hot.select(*on), on, "left_anti").join(cold, on, how))
+
+
 def forget(*frames: DataFrame) -> None:
     """Remove what ``written`` wrote; only for frames that nothing reads any more."""
     for df in frames:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lintmill.llm.common import binaries, schema_with, slices
+from lintmill.llm.common import binaries, mapped, schema_with, slices
 
 WINDOW = 10
 SHARD_BYTES = 8 << 20
@@ -213,7 +213,7 @@ def benchmark_matches(
                 found = [pa.array(x, type=kind) for x, kind in zip(([r[0] for r in rows], spans, names, matches), kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays([*columns[:-4], *found], schema=batch.schema)
 
-        out = out.mapInArrow(look, schema)
+        out = mapped(out, look, schema)
     return out
 
 

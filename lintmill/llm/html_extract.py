@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lintmill.llm.common import mapped
+
 #: The classifier's sample: so many pages of the smallest ids, of so many characters at most.
 TRAIN_PAGES = 200
 TRAIN_CHARS = 50_000
@@ -317,4 +319,4 @@ def extract_text(pages: DataFrame, *, id_col: str = "page_id", html_col: str = "
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], names=[id_col, "url", "text", "n_chars"])
 
     kinds = dict(kept.dtypes)
-    return kept.mapInArrow(run, f"`{id_col}` {kinds[id_col]}, url {kinds['url']}, text string, n_chars bigint")
+    return mapped(kept, run, f"`{id_col}` {kinds[id_col]}, url {kinds['url']}, text string, n_chars bigint")

@@ -4,13 +4,14 @@
 follow, and the last field of each is the declared length of the record's content. ``convert`` gives each record what a WARC
 record has and an ARC record lacks: an identifier, an ISO timestamp, a type, and SHA-1 digests of block and payload. Records with equal
 payloads become revisits of the one with the smallest key. WARC files are written with Spark's own text writer and its commit protocol,
-each record a row whose separator is the blank lines that end a record, so a lost task leaves nothing behind and
-any file system that Spark can write will do. They are gzip files that begin with a warcinfo record.
+each record a row, so a lost task leaves nothing behind and any file system that Spark can write will do. They
+begin with a warcinfo record, hold at most ``FILE_RECORDS`` records, and each record is a gzip member of its own, so files can be read from any record on.
 """
 
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import re
 import uuid
@@ -21,10 +22,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lintmill.llm.common import binaries, shared_folder, slices
+from lintmill.llm.common import binaries, forget, mapped, shared_folder, slices, spread_join, written
 
 ARCHIVE_BYTES = 4 << 20
 MIN_BYTES = 0
+FILE_RECORDS, MEMBER_BYTES, LEVEL = 5000, 8 << 20, 4
+#: What ends a WARC record.
+END = b"\r\n\r\n"
 FIELDS_1 = b"URL IP-address Archive-date Content-type Archive-length"
 FIELDS_2 = b"URL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length"
 DATE = b"20240101000000"
@@ -32,6 +36,7 @@ RECORDS = (
     "key bigint, record_id string, warc_type string, target_uri string, warc_date string, ip string, content_type string, "
     "block_digest string, payload_digest string, payload_bytes bigint, http_head binary, payload binary"
 )
+READ = "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, record_id string"
 _KEY = re.compile(rb"^X-Page-Id: (-?\d+)\r$", re.M | re.I)
 _LENGTH = re.compile(rb"^Content-Length: (\d+)\r$", re.M | re.I)
 
@@ -41,16 +46,24 @@ def digest(data: bytes) -> str:
     return base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
+def members(data: bytes) -> Iterator[bytes]:
+    """The content of each member of a gzip file; other data as they are."""
+    if data[:2] != b"\x1f\x8b":
+        yield data
+        return
+    view, at = memoryview(data), 0
+    while data[at : at + 2] == b"\x1f\x8b":
+        z, parts = zlib.decompressobj(31), []
+        while not z.eof and at < len(data):
+            piece = view[at : at + (16 << 10)]
+            parts.append(z.decompress(piece))
+            at += len(piece) - len(z.unused_data)
+        yield b"".join(parts)
+
+
 def unzipped(data: bytes) -> bytes:
     """The content of a gzip file of one or more members; other data as they are."""
-    if data[:2] != b"\x1f\x8b":
-        return data
-    parts = []
-    while data[:2] == b"\x1f\x8b":
-        z = zlib.decompressobj(31)
-        parts += [z.decompress(data), z.flush()]
-        data = z.unused_data
-    return b"".join(parts)
+    return b"".join(members(data))
 
 
 def _http(key: int | None, payload: bytes) -> bytes:
@@ -130,44 +143,55 @@ def _names(ddl: str) -> tuple[list[str], list[pa.DataType]]:
 
 def to_arc(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", body_col: str = "html") -> DataFrame:
     """Archives (name, content) of about ``ARCHIVE_BYTES`` each, versions 1 and 2 in turn. A null body is empty."""
+    return mapped(_bodies(pages, id_col, url_col, body_col), lambda batches: (_table([x], ["name", "content"], [pa.string(), pa.binary()]) for x in _archives(batches)), "name string, content binary")
 
-    def run(batches):
-        for n, batch in enumerate(batches):
-            keys, urls, bodies = batch.column(0).to_pylist(), batch.column(1).to_pylist(), binaries(batch.column(2))
-            for k, (lo, hi) in enumerate(slices(bodies, ARCHIVE_BYTES)):
-                rows = [(key, url, body or b"") for key, url, body in zip(keys[lo:hi], urls[lo:hi], bodies[lo:hi], strict=True)]
-                name = f"{n:05}-{k:05}.arc"
-                yield _table([(name, write_arc(name, rows, 1 + k % 2))], ["name", "content"], [pa.string(), pa.binary()])
 
-    return pages.select(F.col(id_col).cast("bigint"), url_col, body_col).mapInArrow(run, "name string, content binary")
+def _bodies(pages: DataFrame, id_col: str, url_col: str, body_col: str) -> DataFrame:
+    return pages.select(F.col(id_col).cast("bigint"), F.col(url_col).cast("string"), F.col(body_col).cast("string"))
 
 
-def arc_to_warc(archives: DataFrame, content_col: str = "content", payload: bool = True) -> DataFrame:
-    """One row of RECORDS per record of the archives in ``content_col``, as read with the binaryFile source; null archives have none.
+def _archives(batches) -> Iterator[tuple[str, bytes]]:
+    for n, batch in enumerate(batches):
+        keys, urls, bodies = batch.column(0).to_pylist(), batch.column(1).to_pylist(), binaries(batch.column(2))
+        for k, (lo, hi) in enumerate(slices(bodies, ARCHIVE_BYTES)):
+            rows = [(key, url, body or b"") for key, url, body in zip(keys[lo:hi], urls[lo:hi], bodies[lo:hi], strict=True)]
+            name = f"{n:05}-{k:05}.arc"
+            yield name, write_arc(name, rows, 1 + k % 2)
 
-    With ``payload`` false, http_head and payload stay null: enough to find equal payloads, and cheaper to move.
-    """
+
+def _records(content: bytes | None) -> Iterator[pa.RecordBatch]:
+    """Rows of RECORDS, ``ARCHIVE_BYTES`` of payload or one record at a time."""
     names, kinds = _names(RECORDS)
+    rows, held = [], 0
+    for record in parse_arc(content or b""):
+        rows.append(convert(record))
+        held += len(record["block"]) + 256
+        if held >= ARCHIVE_BYTES:
+            yield _table(rows, names, kinds)
+            rows, held = [], 0
+    yield _table(rows, names, kinds)
 
-    def run(batches):
-        for batch in batches:
-            for content in batch.column(0).to_pylist():
-                rows = [convert(r) for r in parse_arc(content or b"")]
-                yield _table(rows if payload else [(*r[:-2], None, None) for r in rows], names, kinds)
 
-    return archives.select(content_col).mapInArrow(run, RECORDS)
+def arc_to_warc(archives: DataFrame, content_col: str = "content") -> DataFrame:
+    """One row of RECORDS per record of the archives in ``content_col``, as read with the binaryFile source; null archives have none."""
+    return mapped(archives.select(content_col), lambda batches: (x for batch in batches for content in batch.column(0) for x in _records(content.as_py())), RECORDS)
+
+
+def pages_to_warc(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", body_col: str = "html") -> DataFrame:
+    """One row of RECORDS per page, by way of archives that never leave the worker."""
+    return mapped(_bodies(pages, id_col, url_col, body_col), lambda batches: (x for _, content in _archives(batches) for x in _records(content)), RECORDS)
 
 
 def revisits(records: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
-    """(key, refers_to, refers_to_id) of the records whose payload of ``min_bytes`` or more an earlier key already has.
+    """(key, payload_digest, payload_bytes, refers_to, refers_to_id) of the records whose payload of ``min_bytes`` or more a smaller key already has.
 
-    A hot payload is counted before the shuffle, and the join back has one row for each payload, so a skewed side can be split.
-    Records without key are never referred to.
+    A hot payload is counted before the shuffle, and what it refers to is broadcast. Records without key are never referred to.
     """
-    large = records.where((F.col("payload_bytes") >= min_bytes) & F.col("key").isNotNull()).select("key", "record_id", "payload_digest", "payload_bytes")
-    first = large.groupBy("payload_digest", "payload_bytes").agg(F.min("key").alias("refers_to"), F.min_by("record_id", "key").alias("refers_to_id"), F.count("*").alias("n"))
-    first = first.where("n > 1").drop("n")
-    return large.drop("record_id").join(first, ["payload_digest", "payload_bytes"]).where("key <> refers_to").select("key", "refers_to", "refers_to_id").dropDuplicates(["key"])
+    same = ["payload_digest", "payload_bytes"]
+    large = records.where((F.col("payload_bytes") >= min_bytes) & F.col("key").isNotNull()).select("key", "record_id", *same)
+    first = large.groupBy(*same).agg(F.min("key").alias("refers_to"), F.min_by("record_id", F.struct("key", "record_id")).alias("refers_to_id"), F.count("*").alias("n"))
+    later = spread_join(large.drop("record_id"), first.where("n > 1"), same, large.count())
+    return later.where("key <> refers_to").select("key", *same, "refers_to", "refers_to_id").distinct()
 
 
 def _warc(record: dict) -> bytes:
@@ -191,23 +215,36 @@ def _warc(record: dict) -> bytes:
     return "\r\n".join(lines).encode() + block
 
 
+def _members(record: bytes) -> bytes:
+    """A record as a gzip member, or as several if it has ``MEMBER_BYTES`` or more, without the last byte, which is always zero.
+
+    That byte is the highest one of the member's length, and the text writer puts it after each row as its line separator.
+    """
+    parts = [record[i : i + MEMBER_BYTES] for i in range(0, len(record), MEMBER_BYTES)]
+    return b"".join(gzip.compress(x, LEVEL, mtime=0) for x in parts)[:-1]
+
+
 def write_warc(records: DataFrame, path: str) -> None:
-    """Write RECORDS with columns refers_to and refers_to_id (null: none) as WARC files under ``path``."""
+    """Write RECORDS with columns refers_to and refers_to_id (null: none) as WARC files of at most ``FILE_RECORDS`` records under ``path``."""
+    about = b"software: lintmill\r\nformat: WARC File Format 1.1\r\n"
+    head = f"WARC/1.1\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, path)}>\r\nWARC-Date: 2024-01-01T00:00:00Z\r\nContent-Type: application/warc-fields\r\nContent-Length: {len(about)}\r\n\r\n"
+    info = _members(head.encode() + about + END)
 
     def run(batches):
-        about = b"software: lintmill\r\nformat: WARC File Format 1.1\r\n"
-        info = f"WARC/1.1\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, path)}>\r\nWARC-Date: 2024-01-01T00:00:00Z\r\nContent-Type: application/warc-fields\r\nContent-Length: {len(about)}\r\n\r\n"
-        first = True
+        written_rows = 0
         for batch in batches:
-            columns = {n: c for n, c in zip(batch.schema.names, batch.columns, strict=True)}
             for lo in range(0, batch.num_rows, 500):
-                rows = pa.RecordBatch.from_arrays([c.slice(lo, 500) for c in columns.values()], names=list(columns)).to_pylist()
-                values = [_warc(r) for r in rows]
-                yield pa.RecordBatch.from_arrays([pa.array([info.encode() + about, *values] if first else values, pa.binary())], names=["value"])
-                first = False
+                rows = []
+                for r in batch.slice(lo, 500).to_pylist():
+                    if written_rows % FILE_RECORDS == 0:  # Spark begins a new file after as many rows
+                        rows.append(info)
+                        written_rows += 1
+                    rows.append(_members(_warc(r) + END))
+                    written_rows += 1
+                yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], names=["value"])
 
-    rows = records.mapInArrow(run, "value binary").select(F.col("value").cast("string"))
-    rows.write.mode("overwrite").option("lineSep", "\r\n\r\n").option("compression", "gzip").text(path)
+    rows = mapped(records, run, "value binary").select(F.col("value").cast("string"))
+    rows.write.mode("overwrite").option("lineSep", "\0").option("maxRecordsPerFile", FILE_RECORDS).text(path)
 
 
 def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -222,6 +259,19 @@ def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         at += length + 4
 
 
+def _whole_records(data: bytes) -> Iterator[bytes]:
+    """A file's content a few records at a time: members up to one that ends a record as records end."""
+    held, size = [], 0
+    for part in members(data):
+        held.append(part)
+        size += len(part)
+        if size >= ARCHIVE_BYTES and len(part) < MEMBER_BYTES:
+            yield b"".join(held)
+            held, size = [], 0
+    if held:
+        yield b"".join(held)
+
+
 def read_warc(files: DataFrame, content_col: str = "content") -> DataFrame:
     """(page_id, payload_bytes, payload_digest, record_type, refers_to, record_id) of the response, resource and revisit records in WARC files.
 
@@ -229,38 +279,43 @@ def read_warc(files: DataFrame, content_col: str = "content") -> DataFrame:
     """
 
     def run(batches):
-        names, kinds = _names("page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, record_id string")
+        names, kinds = _names(READ)
         for batch in batches:
             for content in batch.column(0):
-                rows = []
-                for headers, block in parse_warc(content.as_py() or b""):
-                    kind = headers["warc-type"]
-                    if kind == "warcinfo":
-                        continue
-                    cut = block.find(b"\r\n\r\n") + 4 if block.startswith(b"HTTP/") else 0
-                    head, payload = block[:cut], block[cut:]
-                    told = headers["warc-payload-digest"].removeprefix("sha1:")
-                    if kind != "revisit" and digest(payload) != told:
-                        raise ValueError(f"payload of {headers['warc-record-id']} does not match its digest")
-                    size = int(m[1]) if kind == "revisit" and (m := _LENGTH.search(head)) else len(payload)
-                    refers = headers.get("x-refers-to-page-id")
-                    rows.append((int(m[1]) if (m := _KEY.search(head)) else None, size, told, kind, int(refers) if refers else None, headers["warc-record-id"]))
-                yield _table(rows, names, kinds)
-
-    return files.select(content_col).mapInArrow(run, "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, record_id string")
+                for part in _whole_records(content.as_py() or b""):
+                    rows = []
+                    for headers, block in parse_warc(part):
+                        kind = headers["warc-type"]
+                        if kind == "warcinfo":
+                            continue
+                        cut = block.find(b"\r\n\r\n") + 4 if block.startswith(b"HTTP/") else 0
+                        head, payload = block[:cut], block[cut:]
+                        told = headers["warc-payload-digest"].removeprefix("sha1:")
+                        if kind != "revisit" and digest(payload) != told:
+                            raise ValueError(f"payload of {headers['warc-record-id']} does not match its digest")
+                        size = int(m[1]) if kind == "revisit" and (m := _LENGTH.search(head)) else len(payload)
+                        refers = headers.get("x-refers-to-page-id")
+                        rows.append((int(m[1]) if (m := _KEY.search(head)) else None, size, told, kind, int(refers) if refers else None, headers["warc-record-id"]))
+                    yield _table(rows, names, kinds)
+
+    return mapped(files.select(content_col), run, READ)
 
 
 def round_trip(pages: DataFrame, *, min_bytes: int = MIN_BYTES, path: str | None = None) -> DataFrame:
     """Pages through ARC archives into WARC files at ``path`` (default: a new shared folder), and what the files then hold.
 
-    A null html is an empty payload. An empty table gives no rows. Rows with a null page_id are stored as responses. Repeated rows with
-    one page_id are all of the same type.
+    A null html is an empty payload. An empty table gives no rows. Rows with a null page_id are stored as responses. Rows of one page_id
+    are judged each by its own payload; rows that agree in both are all of the same type, so those of the smallest page_id are all
+    responses. Other columns of ``pages`` are not read, a null url becomes one made from the id.
     """
     spark = pages.sparkSession
     path = path or shared_folder(spark, "warc")
-    archives = to_arc(pages)
-    earlier = revisits(arc_to_warc(archives, payload=False), min_bytes)
-    write_warc(arc_to_warc(archives).join(earlier, "key", "left"), path)
+    records = written(pages_to_warc(pages), "records", "zstd")
+    same = ["key", "payload_digest", "payload_bytes"]
+    named = records.where("key is not null").join(revisits(records, min_bytes), same, "left")
+    none = F.lit(None)
+    write_warc(named.unionByName(records.where("key is null").withColumns({"refers_to": none.cast("bigint"), "refers_to_id": none.cast("string")})), path)
+    forget(records)
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
     return read_warc(spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path))
