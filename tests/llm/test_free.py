@@ -253,22 +253,82 @@ def test_scores(spark, sf_dir, documents):
     assert sum(r.score for r in out) > sum(r.base_score for r in out)
 
 
-def test_scores_are_a_distribution():
-    """Over all training words and one unknown word of each class, the probabilities after any class sum to one."""
-    common = [(w, n) for w, n in ((b"a", 9), (b"b", 6), (b"", 5), (b"c", 2))]
-    vocabulary = lm.Vocabulary(common)
-    bigrams = np.zeros((vocabulary.size, vocabulary.size))
-    order = [vocabulary.unit[i] for i in (2, 0, 1, 0, 2, 0, 1, 3, 2)]
-    for x, y in itertools.pairwise(order):
-        bigrams[x, y] += 1
-    distinct = np.bincount(vocabulary.unit, minlength=vocabulary.size)
-    seen = bigrams.sum(0)
-    vocabulary.count = np.array([seen[u] for u in vocabulary.unit]).astype(int)
-    model = lm.Model(vocabulary, bigrams, distinct, int(seen.sum()), 4)
-    emission = np.full(lm.CLASSES, lm.ADD) / 10**model.mass
-    for i, u in enumerate(vocabulary.unit):
-        emission[model.classes[u]] += 10 ** (model.log_count[i] - model.mass[model.classes[u]])
-    assert np.allclose(emission, 1) and np.allclose((10**model.step).sum(1), 1)
+@pytest.fixture(scope="module")
+def language(spark, documents):
+    """A model of a part of the documents, and its texts as words with the end of each, training or not."""
+    docs = [(r.doc_id, r.text) for r in documents[:120]]
+    rows = [(i, zlib.crc32(str(i).encode()) % 10 == 0, t) for i, t in docs]
+    limit, lm.COMMON = lm.COMMON, 400
+    lm.common_words.__defaults__ = (400, lm.COMMON_BYTES)
+    try:
+        texts, lexicon, model, common = lm.trained(spark.createDataFrame(rows, "doc_id bigint, held_out boolean, text string"))
+        scores = {r.doc_id: r for r in lm.score(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()}
+    finally:
+        lm.COMMON = limit
+        lm.common_words.__defaults__ = (limit, lm.COMMON_BYTES)
+    words = {w: int(model.classes[i]) for i, (w, _) in enumerate(common)} | {r.word: r["class"] for r in lexicon.collect()}
+    cut = {i: (held, [x.decode() for x in (t or "").encode().lower().split()]) for i, held, t in rows}
+    return model, words, cut, scores, len(common)
+
+
+def class_bigrams(cut, words, size):
+    table = np.zeros((size, size))
+    for held, own in cut.values():
+        if not held:
+            line = [0, *(words[w] for w in own), 0]
+            for x, y in itertools.pairwise(line):
+                table[x, y] += 1
+    return table
+
+
+def test_every_training_word_has_a_class_and_scores_equal_brute_force(language):
+    model, words, cut, scores, n_common = language
+    counts = collections.Counter(w for held, own in cut.values() if not held for w in [*own, ""])
+    assert set(words) == set(counts) - {""} and n_common < len(words) / 2
+    table, k = class_bigrams(cut, words, model.k), model.k
+    assert {c for c in words.values()} <= set(range(1, k))
+    kinds, seen = collections.Counter(words.values()), table.sum(0)
+    kinds[0] = 1
+    share = (seen + 1) / (seen.sum() + k)
+    unknown = min((c for c in range(1, k)), key=lambda c: (-kinds[c], c))
+    for i, (_, own) in cut.items():
+        before, total = 0, 0.0
+        for w in [*own, ""]:
+            c = words.get(w, unknown) if w else 0
+            total += math.log10((table[before, c] + lm.PRIOR * share[c]) / (table[before].sum() + lm.PRIOR))
+            total += math.log10((counts[w] + lm.ADD) / (seen[c] + lm.ADD * (kinds[c] + 1)))
+            before = c
+        assert math.isclose(scores[i].score, total, rel_tol=1e-9)
+
+
+def test_scores_are_a_distribution(language):
+    """Over the training words of a class and one unknown word, and over all classes after any class, the probabilities sum to one."""
+    model, words, cut, _, _ = language
+    counts = collections.Counter(w for held, own in cut.values() if not held for w in own)
+    table = class_bigrams(cut, words, model.k)
+    model.set_table(table)
+    emission = np.full(model.k, lm.ADD) / 10**model.mass
+    for w, c in words.items():
+        emission[c] += (counts[w] + lm.ADD) / 10 ** model.mass[c]
+    assert np.allclose(emission[1:], 1) and np.allclose((10**model.step).sum(1), 1)
+
+
+def test_other_words_go_where_their_neighbours_are_most_likely(spark):
+    """Words of two kinds take turns; rare ones are classed with the frequent words that stand in the same places."""
+    r = random.Random(5)
+    left, right = [f"l{i}" for i in range(30)], [f"r{i}" for i in range(30)]
+    docs = [" ".join(f"{r.choice(left)} {r.choice(right)}" for _ in range(60)) + f" rarel{i} {r.choice(right)} {r.choice(left)} rarer{i} {r.choice(left)} {r.choice(right)}" for i in range(150)]
+    rows = [(i, False, t) for i, t in enumerate(docs)]
+    lm.common_words.__defaults__ = (60, lm.COMMON_BYTES)
+    try:
+        _, lexicon, model, common = lm.trained(spark.createDataFrame(rows, "doc_id bigint, held_out boolean, text string"))
+    finally:
+        lm.common_words.__defaults__ = (lm.COMMON, lm.COMMON_BYTES)
+    lefts = {int(model.classes[i]) for i, (w, _) in enumerate(common) if w[0] == "l"}
+    rights = {int(model.classes[i]) for i, (w, _) in enumerate(common) if w[0] == "r"}
+    found = lexicon.collect()
+    assert not lefts & rights and len(found) == 300 and {r.n for r in found} == {1}
+    assert all((r["class"] in lefts) == (r.word.startswith("rarel")) and r["class"] in lefts | rights for r in found)
 
 
 def test_exchange_never_lowers_the_likelihood():
@@ -276,13 +336,21 @@ def test_exchange_never_lowers_the_likelihood():
     groups = r.integers(1, 4, 30)
     bigrams = r.poisson(1 + 20 * (groups[:, None] == groups[None, :] % 3 + 1)).astype(float)
 
-    def likelihood(where):
-        member = np.eye(lm.CLASSES)[where]
-        table = member.T @ bigrams @ member
-        return lm._f(table).sum() - lm._f(table.sum(0)).sum() - lm._f(table.sum(1)).sum()
+    def value(where):
+        member = np.eye(17)[where]
+        return lm.likelihood(member.T @ bigrams @ member)
 
-    start = lm.exchange(bigrams, sweeps=0)
-    assert likelihood(lm.exchange(bigrams)) >= likelihood(start)
+    start = lm.exchange(bigrams, 16, sweeps=0)
+    once, whole = lm.exchange(bigrams, 16, sweeps=1), lm.exchange(bigrams, 16)
+    assert value(whole) >= value(once) > value(start) and (lm.exchange(bigrams, 16, sweeps=100) == whole).all()
+
+
+def test_words_are_cut_as_bytes_are():
+    texts = [None, "", " a  b\n", "A\x0bB\x0cc\rd", "x\u3000y\xa0z \x1cq", "É É", "no"]
+    flat, at = lm.split(lm.pa.array(texts))
+    assert [flat[x:y].to_pylist() for x, y in itertools.pairwise(at.tolist())] == [[w.decode() for w in (t or "").encode().lower().split()] for t in texts]
+    cut, at = lm.split(lm.pa.array(texts).slice(3))
+    assert [cut[x:y].to_pylist() for x, y in itertools.pairwise(at.tolist())] == [[w.decode() for w in t.encode().lower().split()] for t in texts[3:]]
 
 
 def test_scores_of_odd_rows(odd, empty):
