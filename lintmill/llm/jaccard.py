@@ -15,22 +15,22 @@ and no link is lost. Links are few; components come from alternating star steps,
 
 from __future__ import annotations
 
-import gc
 import hashlib
-import time
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lintmill.llm.common import binaries, forget, written
+from lintmill.llm.common import binaries, collected, forget, fresh, mapped, spread_join, written
 
 WORDS, NUM, DEN = 5, 80, 100
 SIGNATURE_BYTES, WIDE_BYTES = 64, 4096
 LEAF, BLOCK, PIVOTS = 16, 1024, 16
+#: What a block's sets hold together, but for single larger sets.
+BLOCK_TOKENS = 1 << 20
 #: A token is frequent in so many documents, or in one of a thousand; at most so many go last.
 FREQUENT, FREQUENT_LIMIT = 50, 200_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -213,15 +213,15 @@ def _pairs(rows: list[tuple[int, int]]) -> pa.RecordBatch:
 
 
 def shingled(docs: DataFrame, k: int, num: int, den: int, frequent: np.ndarray | None, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, n, key (hash of the set; null if empty), prefix, signature, wide. Without ``frequent``, the prefix is half as long again and in hash order."""
-    schema = "doc_id bigint, n bigint, key binary, prefix array<bigint>, signature binary, wide binary"
+    """doc_id, text_hash, n, key (hash of the set; null if empty), prefix, signature, wide. Without ``frequent``, the prefix is half as long again and in hash order."""
+    schema = "doc_id bigint, text_hash bigint, n bigint, key binary, prefix array<bigint>, signature binary, wide binary"
 
     def run(batches):
         shingles = Shingler(k)
         names = [x.split(" ")[0] for x in schema.split(", ")]
         for batch in batches:
             n, keys, prefixes, signatures, wides = [], [], [], [], []
-            for text in binaries(batch.column(1)):
+            for text in binaries(batch.column(2)):
                 tokens = shingles(text)
                 n.append(len(tokens))
                 keys.append(hashlib.blake2b(tokens.tobytes(), digest_size=16).digest() if len(tokens) else None)
@@ -242,9 +242,10 @@ def shingled(docs: DataFrame, k: int, num: int, den: int, frequent: np.ndarray |
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in prefixes])]).astype(np.int32)
             flat = np.concatenate(prefixes) if prefixes else np.zeros(0, dtype=np.int64)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), lists, pa.array(signatures, pa.binary()), pa.array(wides, pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), lists, pa.array(signatures, pa.binary()), pa.array(wides, pa.binary())], names=names)
 
-    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string")).mapInArrow(run, schema)
+    text = F.col(f"`{text_col}`").cast("string")
+    return mapped(docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text), run, schema)
 
 
 def frequent_tokens(docs: DataFrame, k: int, num: int, den: int, id_col: str, text_col: str) -> np.ndarray:
@@ -256,17 +257,20 @@ def frequent_tokens(docs: DataFrame, k: int, num: int, den: int, id_col: str, te
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(id, component): the smallest id that each id of the edges (a, b) reaches. Alternating large-star and small-star steps."""
+    """(id, component): the smallest id that each id of the edges (a, b) reaches. Alternating large-star and small-star steps.
+
+    An id with very many neighbours is a hot key of both joins, whose other side has one row for each id.
+    """
     edges = written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     state = lambda e: tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
     old = state(edges)
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
+        large = spread_join(both, least, ["u"], 2 * old[0]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         large = written(large, "edges")
-        lower = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(lower, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(lower.select("u", F.col("m").alias("v"))).distinct()
+        lower = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = spread_join(large, lower, ["u"], old[0]).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(lower.select("u", F.col("m").alias("v"))).distinct()
         new = written(small, "edges")
         forget(edges, large)
         edges, now = new, state(new)
@@ -285,15 +289,20 @@ def _labelled(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
 
 
 def _mixed(rows: DataFrame, key: str) -> DataFrame:
-    """The rows whose key has more than one component, with the number of rows of the key as ``size``."""
-    stats = rows.groupBy(key).agg(F.count("*").alias("size"), F.min("component").alias("__lo"), F.max("component").alias("__hi"))
-    return rows.join(stats.where("__lo <> __hi").drop("__lo", "__hi"), key)
+    """The rows whose key has more than one component, with the key's rows and tokens as ``size`` and ``tokens``; ``rows`` are written ones."""
+    stats = rows.groupBy(key).agg(F.count("*").alias("size"), F.sum("n").alias("tokens"), F.min("component").alias("__lo"), F.max("component").alias("__hi"))
+    return spread_join(rows, stats.where("__lo <> __hi").drop("__lo", "__hi"), [key], rows.count(), "size")
+
+
+def _parts() -> Column:
+    """How many parts a group of ``size`` sets with ``tokens`` tokens is dealt to."""
+    return F.ceil(F.greatest(F.col("size") / BLOCK, F.col("tokens") / BLOCK_TOKENS)).cast("int")
 
 
 def round_links(active: DataFrame, key: str, labels: DataFrame | None, k: int, num: int, den: int) -> DataFrame:
     """Links among sets with one ``key``, a block at a time: whole small groups, and parts of large ones that share some pivots."""
-    light = _mixed(_labelled(active.where(F.col(key).isNotNull()).select("rep", key), labels), key)
-    parts = F.ceil(F.col("size") / BLOCK).cast("int")
+    light = _mixed(written(_labelled(active.where(F.col(key).isNotNull()).select("rep", key, "n"), labels), "light"), key)
+    parts = _parts()
     draw = F.pmod(F.xxhash64("rep", F.lit(key)), F.col("size"))
     part = F.when(parts == 1, F.array(F.lit(0))).when(draw < PIVOTS, F.sequence(F.lit(0), parts - 1)).otherwise(F.array(F.pmod(F.xxhash64("rep"), parts).cast("int")))
     light = light.select("rep", key, "component", F.explode(part).alias("part"))
@@ -320,13 +329,13 @@ def round_links(active: DataFrame, key: str, labels: DataFrame | None, k: int, n
                         out.append((rep[i], rep[j]))
             yield _pairs(out)
 
-    return rows.mapInArrow(run, "a bigint, b bigint")
+    return mapped(rows, run, "a bigint, b bigint")
 
 
 def candidate_pairs(shared: DataFrame, active: DataFrame, labels: DataFrame | None, num: int, den: int) -> DataFrame:
     """Distinct pairs of sets in different components that share a token and may link by the trees' bounds."""
-    rows = _mixed(_labelled(shared, labels), "token")
-    parts = F.ceil(F.col("size") / BLOCK).cast("int")
+    rows = _mixed(written(_labelled(shared, labels), "labelled").withColumn("n", F.lit(0)), "token")
+    parts = _parts()
     own = F.pmod(F.xxhash64("rep"), parts).cast("int")
     pair = F.transform(F.sequence(F.lit(0), parts - 1), lambda x: F.struct(F.least(x, own).alias("p"), F.greatest(x, own).alias("q")))
     rows = rows.select("token", "rep", "component", own.alias("own"), F.explode(F.when(parts == 1, F.array(F.struct(own.alias("p"), own.alias("q")))).otherwise(pair)).alias("x"))
@@ -392,7 +401,7 @@ def candidate_pairs(shared: DataFrame, active: DataFrame, labels: DataFrame | No
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)[keep]), pa.array(np.maximum(a, b)[keep])], names=["a", "b"])
         yield from ready
 
-    return rows.mapInArrow(run, "a bigint, b bigint").distinct()
+    return mapped(rows, run, "a bigint, b bigint").distinct()
 
 
 def narrowed(pairs: DataFrame, reps: DataFrame, num: int, den: int) -> DataFrame:
@@ -405,7 +414,7 @@ def narrowed(pairs: DataFrame, reps: DataFrame, num: int, den: int) -> DataFrame
             columns = [c.to_pylist() for c in batch.columns]
             yield _pairs([(a, b) for a, b, n, x, m, y in zip(*columns, strict=True) if wide_possible(n, x, m, y, num, den)])
 
-    return rows.mapInArrow(run, "a bigint, b bigint")
+    return mapped(rows, run, "a bigint, b bigint")
 
 
 def verified(pairs: DataFrame, active: DataFrame, k: int, num: int, den: int) -> DataFrame:
@@ -421,55 +430,57 @@ def verified(pairs: DataFrame, active: DataFrame, k: int, num: int, den: int) ->
                     out.append((a, b))
             yield _pairs(out)
 
-    return rows.select("a", "b", "ta", "tb").mapInArrow(run, "a bigint, b bigint")
-
-
-def _collected(spark) -> None:
-    """Let the driver drop what finished steps no longer need; the files of their shuffles go with it."""
-    for _ in range(2):
-        gc.collect()
-        spark._jvm.System.gc()
-        time.sleep(0.4)
+    return mapped(rows.select("a", "b", "ta", "tb"), run, "a bigint, b bigint")
 
 
 def jaccard_components(docs: DataFrame, *, k: int = WORDS, num: int = NUM, den: int = DEN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id): per document the size of its set and the smallest id that it reaches by links.
 
-    Null texts and texts without words have empty sets and link with nothing; a text of fewer than k words is one shingle. Rows that
-    repeat an id and a text each get a row; rows of one id with different texts count as one document. A null id gets the component of
+    Null texts and texts without words have empty sets and link with nothing; a text of fewer than k words is one shingle. Sets are
+    compared as sets of 64-bit hashes. Rows that repeat an id and a text each get a row. If one id has different texts and is the smallest
+    id of more than one set, the set of the smallest hash stands for it and the others link with nothing. A null id gets the component of
     an equal text with an id, else null. An empty table gives no rows. Other columns are not read.
     """
     spark = docs.sparkSession
     frequent = frequent_tokens(docs, k, num, den, id_col, text_col)
-    _collected(spark)
+    collected(spark)
     every = written(shingled(docs, k, num, den, frequent, id_col, text_col), "sets")
-    same = every.where("key is not null and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("signature").alias("signature"), F.first("wide").alias("wide"))
-    reps = written(same, "reps")
+    same = every.where("key is not null and doc_id is not null").groupBy("key").agg(
+        F.min(F.struct("doc_id", "text_hash")).alias("first"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("signature").alias("signature"), F.first("wide").alias("wide")
+    )
+    reps = written(same.select("key", F.col("first.doc_id").alias("rep"), F.col("first.text_hash").alias("text_hash"), "n", "prefix", "signature", "wide"), "reps")
+    twice = reps.groupBy("rep").agg(F.min("key").alias("key"), F.count("*").alias("times")).where("times > 1")
+    if not twice.isEmpty():
+        reps = written(reps.join(reps.select("rep", "key").join(twice.select("rep", F.col("key").alias("least")), "rep").where("key <> least").select("key"), "key", "left_anti"), "reps")
     sets = written(every.select("doc_id", "n", "key"), "members")
     forget(every)
-    _collected(spark)
+    collected(spark)
     tokens = reps.select("rep", F.explode("prefix").alias("token"))
     shared = written(tokens.join(tokens.groupBy("token").count().where("count > 1").select("token"), "token").select("token", "rep"), "shared")
-    _collected(spark)
+    collected(spark)
     ends = shared.groupBy("rep").agg(F.min("token").alias("k1"), F.max("token").alias("k2"))
-    texts = docs.select(F.col(id_col).cast("bigint").alias("rep"), F.col(text_col).cast("string").alias("text"))
-    active = written(ends.join(reps.select("rep", "n", "signature"), "rep").join(texts, "rep").dropDuplicates(["rep"]), "active")
-    _collected(spark)
+    text = F.col(f"`{text_col}`").cast("string")
+    texts = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("rep"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
+    active = written(ends.join(reps.select("rep", "text_hash", "n", "signature"), "rep").join(texts, ["rep", "text_hash"]).dropDuplicates(["rep"]), "active")
+    collected(spark)
     edges, labels = spark.createDataFrame([], T.StructType.fromDDL("a bigint, b bigint")), None
     for key in ("k1", "k2"):
         edges = edges.union(written(round_links(active, key, labels, k, num, den), "links"))
         labels = components(edges)
-        _collected(spark)
+        collected(spark)
     pairs = written(narrowed(candidate_pairs(shared, active, labels, num, den), reps, num, den), "pairs")
-    _collected(spark)
+    collected(spark)
     edges = edges.union(written(verified(pairs, active, k, num, den), "links"))
     labels = components(edges)
-    out = sets.select("doc_id", F.col("n").alias("n_shingles"), "key").join(reps.select("key", "rep"), "key", "left")
-    out = out.join(labels.withColumnRenamed("id", "rep"), "rep", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component", "rep", "doc_id").alias("component_id"))
+    out = sets.select("doc_id", F.col("n").alias("n_shingles"), "key")
+    members = out.groupBy("key").agg(F.count("*").alias("n")).join(reps.select("key", "rep"), "key").join(labels.withColumnRenamed("id", "rep"), "rep", "left")
+    members = members.select("key", "n", F.coalesce("component", "rep").alias("component"))
+    out = spread_join(out.where("key is not null"), members, ["key"], sets.count(), how="left").drop("n").unionByName(out.where("key is null").withColumn("component", F.lit(None).cast("bigint")))
+    return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
-def drop_near_copies(docs: DataFrame, **options) -> DataFrame:
+def drop_near_copies(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
     """One document of each group stays, that of the smallest id; ``docs`` keeps its columns. Rows with a null id stay unless an equal text has an id."""
-    found = jaccard_components(docs, **options).where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(found, docs["doc_id"] == F.col("__gone"), "left_anti")
+    gone = fresh(docs, "gone")
+    found = jaccard_components(docs, id_col=id_col, **options).where("doc_id <> component_id").select(F.col("doc_id").alias(gone)).distinct()
+    return docs.join(found, docs[f"`{id_col}`"].cast("bigint") == found[gone], "left_anti")
