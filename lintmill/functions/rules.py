@@ -72,6 +72,11 @@ def priority_rank(name: Column) -> Column:
     return _chain([(low == n, F.lit(i)) for i, n in enumerate(("low", "medium", "high", "critical"))], F.raise_error(F.concat(F.lit("unknown priority "), low)).cast("int"))
 
 
+def evidence_rank(name: Column) -> Column:
+    """The level's number on the ladder; another name is an error."""
+    return _chain([(name == n, F.lit(i)) for i, n in enumerate(LEVELS)], F.raise_error(F.concat(F.lit("unknown evidence level "), name)).cast("int"))
+
+
 def is_test(path: Column) -> Column:
     return path.endswith("_test.go") | path.startswith("testdata/") | path.contains("/testdata/")
 

@@ -5,11 +5,12 @@ Rows come in no order, so ``ord`` holds each report's input order, and ``keys``
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lintmill.functions import rules as R
+from lintmill.operators.order import numbered_within
 from lintmill.sources.text import MARKER
 
 KEYS = ("repo", "side")
@@ -65,10 +66,40 @@ def by_human(findings: DataFrame) -> DataFrame:
     return findings.where("suppress_reason not in ('', 'vendored', 'generated')")
 
 
-def ranked(findings: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
-    """``findings`` with their place in the report: score, then file, line and input order."""
-    order = W.partitionBy(*keys).orderBy(F.desc("score"), "file", "line", "ord")
-    return findings.withColumn("rank", F.row_number().over(order))
+def ranked(findings: DataFrame, limit: int = 0, keys: tuple[str, ...] = KEYS) -> DataFrame:
+    """``findings`` with their place in the report: score, then file, line and input order; only the first ``limit``, 0 or less means all.
+
+    A limit is applied before the shuffle; without one, places come from a distributed sort, so that no task holds a whole report.
+    """
+    order = (F.desc("score"), "file", "line", "ord")
+    if limit <= 0:
+        return numbered_within(findings, keys, *order, name="rank").withColumn("rank", F.col("rank").cast("int"))
+    return findings.withColumn("rank", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where(F.col("rank") <= limit)
+
+
+def glob_pattern(glob: Column) -> Column:
+    """The regular expression of a path glob: ** any folders, * and ? within one name."""
+    quoted = F.regexp_replace(glob, "([.+(){}|^$\\[\\]\\\\])", "\\\\$1")
+    marked = F.regexp_replace(F.regexp_replace(F.regexp_replace(quoted, "\\*\\*/", "\u0001"), "\\*\\*", "\u0002"), "\\*", "[^/]*")
+    return F.concat(F.lit("^"), F.replace(F.replace(F.replace(marked, F.lit("?"), F.lit("[^/]")), F.lit("\u0001"), F.lit("(.*/)?")), F.lit("\u0002"), F.lit(".*")), F.lit("$"))
+
+
+def gated(findings: DataFrame, gates: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
+    """What each report may show by the gate of its repository, or by that of the empty name: findings of enough priority and evidence in files
+    and of rules that are not excluded, the highest ``max_comments`` of them. ``gates`` has a row per repository that names its own."""
+    default = F.broadcast(gates.where("repo = ''").limit(1).drop("repo").select(*[F.col(c).alias(f"__d_{c}") for c in gates.columns if c != "repo"]))
+    own = gates.where("repo <> ''").select("repo", *[F.col(c).alias(f"__g_{c}") for c in gates.columns if c != "repo"], F.lit(True).alias("__own"))
+    rows = findings.join(own, "repo", "left").join(default)
+    rule = lambda c: F.when(F.col("__own"), F.col(f"__g_{c}")).otherwise(F.col(f"__d_{c}"))
+    shown = (
+        (R.priority_rank(F.col("priority")) >= R.priority_rank(rule("min_priority")))
+        & (R.evidence_rank(F.col("evidence")) >= R.evidence_rank(rule("min_evidence")))
+        & ~F.exists(rule("exclude"), lambda g: F.rlike(F.col("file"), glob_pattern(g)))
+        & ~F.array_contains(rule("disabled"), F.col("rule"))
+    )
+    rows = rows.where(shown).withColumn("__most", rule("max_comments"))
+    place = F.row_number().over(W.partitionBy(*keys).orderBy(F.desc("score"), "file", "line", "ord"))
+    return rows.withColumn("rank", place).where(F.col("rank") <= F.col("__most")).select(*findings.columns, "rank")
 
 
 def min_priority(findings: DataFrame, floor: str) -> DataFrame:
@@ -85,10 +116,16 @@ def budgeted(findings: DataFrame, per_file: int, total: int, keys: tuple[str, ..
 
 
 def clusters(findings: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
-    """Findings of one rule in one file: category of the first, top score, members, and the place among the report's clusters."""
-    out = findings.groupBy(*keys, "rule", "file").agg(F.max("score").alias("top_score"), F.min_by("category", "ord").alias("category"), F.count("*").alias("n"), F.min("line").alias("first_line"))
-    key = F.concat_ws("|", "rule", "file")
-    return out.withColumn("key", key).withColumn("place", F.row_number().over(W.partitionBy(*keys).orderBy(F.desc("top_score"), "key")))
+    """Findings of one rule in one file: category of the first, top score, members in input order, and the place among the report's clusters.
+
+    A cluster's members are those of one rule in one file, so a row stays within what a file can hold.
+    """
+    member = F.struct("ord", F.struct("tool", "line", "col", "score", "message", "fingerprint").alias("f"))
+    out = findings.groupBy(*keys, "rule", "file").agg(
+        F.max("score").alias("top_score"), F.min_by("category", "ord").alias("category"), F.count("*").alias("n"), F.min("line").alias("first_line"), F.array_sort(F.collect_list(member)).alias("__m")
+    )
+    out = out.withColumns({"key": F.concat_ws("|", "rule", "file"), "members": F.transform("__m", lambda x: x["f"])}).drop("__m")
+    return numbered_within(out, keys, F.desc("top_score"), "key").withColumn("place", F.col("place").cast("int"))
 
 
 def absent(rows: DataFrame, other: DataFrame, keys: tuple[str, ...] = ("repo",)) -> DataFrame:
@@ -113,6 +150,30 @@ def merged_frequency(per_repo: DataFrame) -> DataFrame:
     return out.withColumn("rate", F.when(total == 0, 0.0).otherwise(R.rounded(F.col("suppressed") / total, 3)))
 
 
+def succeeded(rows: DataFrame, attempts: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
+    """The rows of reports that did not fail (FLT07): a failed repository counts in no statistic."""
+    return rows.join(attempts.where("error is not null").select(*keys).distinct(), list(keys), "left_anti")
+
+
+def attempt_summary(findings: DataFrame, raw: DataFrame, attempts: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
+    """A row per attempted report (repo, side, commit, seconds, error; null: none): a failed one has its error as status and no counts, a clean one zeros."""
+    counted = repo_summary(findings, raw, keys).withColumn("negatives", F.col("suppressed_by_comment"))
+    names = ("raw", "reported", "suppressed_structural", "suppressed_by_comment", "negatives", "in_tests", "critical", "high", "medium", "low")
+    out = attempts.join(counted, list(keys), "left")
+    ok = F.col("error").isNull()
+    numbers = [F.when(ok, F.coalesce(n, F.lit(0))).alias(n) for n in names]
+    commit = F.when(ok, R.short_commit(F.col("commit"))).otherwise("").alias("commit")
+    return out.select(*keys, commit, F.when(ok, "ok").otherwise(F.concat(F.lit("error: "), "error")).alias("status"), *numbers, R.rounded(F.col("seconds"), 1).alias("seconds"))
+
+
+def corpus_totals(summary: DataFrame) -> DataFrame:
+    """Reports that succeeded and that failed, and what the former hold."""
+    ok = F.col("status") == "ok"
+    zero = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    hidden = F.col("suppressed_structural") + F.col("suppressed_by_comment")
+    return summary.agg(F.count_if(ok).alias("ok"), F.count_if(~ok).alias("failed"), zero("reported").alias("reported"), zero(hidden).alias("suppressed"), zero("negatives").alias("negatives"))
+
+
 def repo_summary(findings: DataFrame, raw: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
     """Per report: raw findings before dedupe, reported, suppressed by structure and by comment, in tests, and by priority."""
     keep = F.col("suppress_reason") == ""
@@ -134,6 +195,17 @@ def tool_runs(raw: DataFrame, tools: DataFrame, keys: tuple[str, ...] = KEYS) ->
     return out.select(*keys, "ordinal", "name", F.col("findings").isNotNull().alias("ran"), F.coalesce("findings", F.lit(0)).alias("findings"))
 
 
+def timed_runs(raw: DataFrame, runs: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
+    """Per report and tool that was started (name, ordinal, seconds, error): whether it ran, its raw findings, seconds and error.
+
+    A tool that failed has no findings, whatever it printed before.
+    """
+    counts = raw.groupBy(*keys, F.col("tool").alias("name")).agg(F.count("*").alias("findings"))
+    ran = F.col("error").isNull()
+    out = runs.join(counts, [*keys, "name"], "left")
+    return out.select(*keys, "ordinal", "name", ran.alias("ran"), F.when(ran, F.coalesce("findings", F.lit(0))).otherwise(0).alias("findings"), R.rounded(F.col("seconds"), 2).alias("seconds"), F.coalesce("error", F.lit("")).alias("error"))
+
+
 def hard_negatives(findings: DataFrame, lines: DataFrame) -> DataFrame:
     """Labelled records of human-suppressed findings: directive, rationale after it, and the lines around.
 

@@ -7,6 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lintmill.functions import rules as R
+from lintmill.operators.order import numbered
+from lintmill.sources.store import written
 
 
 def of_kind(edges: DataFrame, *kinds: str) -> DataFrame:
@@ -17,19 +19,32 @@ def of_kind(edges: DataFrame, *kinds: str) -> DataFrame:
 def reachable(edges: DataFrame, roots: DataFrame, kind: str, max_hops: int, min_confidence: float, reverse: bool = False) -> DataFrame:
     """(root, id, hops): the least number of hops to every node within ``max_hops``, each edge at least so confident; roots reach others only.
 
-    Level-synchronous: each hop joins the frontier with the distinct edges and leaves out what was reached before.
+    Level-synchronous: each hop joins the frontier with the distinct edges and leaves out what was reached before. Steps and frontiers are written to
+    the shared folder, so a hop reads what earlier ones found instead of computing it again, and the walk ends with the first empty frontier.
     """
     a, b = ("dst", "src") if reverse else ("src", "dst")
-    steps = of_kind(edges, kind).where(F.col("confidence") >= min_confidence).select(F.col(a).alias("id"), F.col(b).alias("next")).distinct()
-    frontier = roots.select(F.col("id").alias("root"), "id").distinct()
-    visited = frontier.withColumn("hops", F.lit(0))
+    steps = written(of_kind(edges, kind).where(F.col("confidence") >= min_confidence).select(F.col(a).alias("id"), F.col(b).alias("next")).distinct(), "steps")
+    frontier = written(roots.select(F.col("id").alias("root"), "id", F.lit(0).alias("hops")).distinct(), "frontier")
+    visited = frontier
     for hop in range(1, max_hops + 1):
         found = frontier.join(steps, "id").select("root", F.col("next").alias("id")).distinct()
-        frontier = found.join(visited, ["root", "id"], "left_anti")
-        visited = visited.union(frontier.withColumn("hops", F.lit(hop)))
+        frontier = written(found.join(visited, ["root", "id"], "left_anti").withColumn("hops", F.lit(hop)), "frontier")
+        if frontier.isEmpty():
+            break
+        visited = visited.union(frontier)
     return visited.where("hops > 0")
 
 
+def ordered_edges(edges: DataFrame) -> DataFrame:
+    """Edges with their place by source, target and kind; producer, confidence and locks settle ties."""
+    return numbered(edges, "src", "dst", "kind", "producer", "confidence", "locks")
+
+
+def ordered_nodes(edges: DataFrame) -> DataFrame:
+    """Node ids with their place in order."""
+    return numbered(nodes(edges), "id")
+
+
 def nodes(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct()
 

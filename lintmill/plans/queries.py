@@ -15,7 +15,7 @@ from lintmill.operators import graph as G
 from lintmill.operators import metrics as M
 from lintmill.plans import sql as Q
 from lintmill.sources import text as X
-from lintmill.sources.tables import edges, findings_raw, source_lines, table
+from lintmill.sources.tables import attempts, edges, findings_raw, source_lines, table, tool_attempts
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -180,11 +180,13 @@ def win02_budget(spark, sf_dir):
     return out.select("repo", "side", "file", "fingerprint", "line", "col", "score", F.col("place").cast("bigint").alias("place"))
 
 
-@query("agg01_clusters", f"""WITH {Q.CLASSIFIED}, c AS (SELECT repo, side, rule, file, max(score) AS top_score, first(category ORDER BY ord) AS category, count(*) AS n, min(line) AS first_line FROM cl WHERE suppress_reason = '' GROUP BY repo, side, rule, file)
+@query("agg01_clusters", f"""WITH {Q.CLASSIFIED}, c AS (SELECT repo, side, rule, file, max(score) AS top_score, first(category ORDER BY ord) AS category, count(*) AS n, min(line) AS first_line, string_agg(line || ':' || col || ':' || fingerprint, ',' ORDER BY ord) AS members FROM cl WHERE suppress_reason = '' GROUP BY repo, side, rule, file)
 SELECT *, rule || '|' || file AS key, row_number() OVER (PARTITION BY repo, side ORDER BY top_score DESC, rule || '|' || file) AS place FROM c""")
 def agg01_clusters(spark, sf_dir):
     """AGG01, WIN05."""
-    return O.clusters(O.kept(classified(spark, sf_dir))).withColumn("place", F.col("place").cast("bigint"))
+    member = lambda x: F.concat_ws(":", x["line"].cast("string"), x["col"].cast("string"), x["fingerprint"])
+    out = O.clusters(O.kept(classified(spark, sf_dir)))
+    return out.withColumns({"place": F.col("place").cast("bigint"), "members": F.array_join(F.transform("members", member), ",")})
 
 
 def _diff(spark, sf_dir, rows, other):
@@ -256,6 +258,40 @@ def agg07_corpus_totals(spark, sf_dir):
     return s.agg(F.count("*").alias("reports"), F.sum("raw").alias("raw"), F.sum("reported").alias("reported"), F.sum(F.col("suppressed_structural") + F.col("suppressed_by_comment")).alias("suppressed"), F.sum("suppressed_by_comment").alias("negatives"))
 
 
+_ATTEMPTS = """att AS (SELECT 'org__repo' || n_nationkey AS repo, side, sha1(n_name) AS commit, n_nationkey * 13.37::DOUBLE + 0.25::DOUBLE AS seconds, CASE WHEN n_nationkey % 7 = 3 THEN 'clone: exit status ' || (n_nationkey + 100) END AS error
+  FROM nation, (VALUES ('base'), ('head')) s(side))"""
+_COUNTS = ("raw", "reported", "suppressed_structural", "suppressed_by_comment", "negatives", "in_tests", "critical", "high", "medium", "low")
+_ATTEMPTED = f"""{_SUMMARY}, {_ATTEMPTS}, sa AS (SELECT repo, side, CASE WHEN error IS NULL THEN substr(commit, 1, 12) ELSE '' END AS commit, CASE WHEN error IS NULL THEN 'ok' ELSE 'error: ' || error END AS status,
+  {', '.join(f"CASE WHEN error IS NULL THEN coalesce({'suppressed_by_comment' if c == 'negatives' else c}, 0) END AS {c}" for c in _COUNTS)}, floor(seconds * 10 + 0.5) / 10 AS seconds FROM att LEFT JOIN sm USING (repo, side))"""
+
+
+@query("snk02_attempt_summary", f"WITH {_ATTEMPTED} SELECT * FROM sa")
+def snk02_attempt_summary(spark, sf_dir):
+    """SNK02, AGG05: a row per attempted report, failed ones with their error and clean ones with zeros."""
+    return O.attempt_summary(classified(spark, sf_dir), findings_raw(spark, sf_dir), attempts(spark, sf_dir))
+
+
+@query("agg07_attempt_totals", f"WITH {_ATTEMPTED} SELECT count(*) FILTER (status = 'ok') AS ok, count(*) FILTER (status <> 'ok') AS failed, CAST(coalesce(sum(reported), 0) AS BIGINT) AS reported, CAST(coalesce(sum(suppressed_structural + suppressed_by_comment), 0) AS BIGINT) AS suppressed, CAST(coalesce(sum(negatives), 0) AS BIGINT) AS negatives FROM sa")
+def agg07_attempt_totals(spark, sf_dir):
+    """AGG07: succeeded and failed reports, and what the former hold."""
+    return O.corpus_totals(snk02_attempt_summary(spark, sf_dir))
+
+
+@query("flt07_without_failed", f"WITH {Q.CLASSIFIED}, {_ATTEMPTS} SELECT tool, rule, count(*) FILTER (suppress_reason = '') AS reported, count(*) FILTER (human) AS suppressed, count(DISTINCT repo) AS repos FROM cl WHERE (suppress_reason = '' OR human) AND (repo, side) NOT IN (SELECT (repo, side) FROM att WHERE error IS NOT NULL) GROUP BY tool, rule")
+def flt07_without_failed(spark, sf_dir):
+    """FLT07: rule statistics without the findings of failed repositories."""
+    return O.rule_frequency(O.succeeded(classified(spark, sf_dir), attempts(spark, sf_dir))).select("tool", "rule", "reported", "suppressed", "repos")
+
+
+@query("agg17_timed_runs", f"""WITH {Q.FINDINGS}, {_ATTEMPTS}, ta AS (SELECT repo, side, i AS ordinal, name, seconds / (i + 3) AS seconds, CASE WHEN i = 1 AND commit[-1] IN ('0', '1', '2', '3', '4') THEN 'staticcheck: executable not found' END AS error
+  FROM att, (VALUES (0, 'go vet'), (1, 'staticcheck'), (2, 'GoSec')) t(i, name) WHERE att.error IS NULL)
+SELECT repo, side, ordinal, name, error IS NULL AS ran, CASE WHEN error IS NULL THEN coalesce(n, 0) ELSE 0 END AS findings, floor(seconds * 100 + 0.5) / 100 AS seconds, coalesce(error, '') AS error
+FROM ta LEFT JOIN (SELECT repo, side, tool AS name, count(*) AS n FROM fr GROUP BY ALL) USING (repo, side, name)""")
+def agg17_timed_runs(spark, sf_dir):
+    """AGG17, SRC06: per tool that was started its raw findings, seconds, and the error of one that failed."""
+    return O.timed_runs(findings_raw(spark, sf_dir), tool_attempts(spark, sf_dir))
+
+
 def _told(text: str) -> str:
     def rest(pattern: str) -> str:
         after = f"regexp_extract({text}, '{pattern}((?s:.*))$', {2})"
@@ -296,12 +332,38 @@ def prj22_strings(spark, sf_dir):
     return p.select("p_partkey", R.short_commit(F.sha2("p_name", 256)).alias("short_commit"), R.truncated(F.concat("p_type", F.lit("\nx")), 8).alias("short_type"), R.moniker(F.col("p_name")).alias("symbol"), R.rounded(F.col("p_retailprice") / 7, 2).alias("rounded"))
 
 
-@query("flt10_posting_gate", f"""WITH {Q.CLASSIFIED}, g AS (SELECT * FROM cl WHERE suppress_reason = '' AND priority IN ('high', 'critical') AND NOT regexp_matches(file, '(^|/)vendor/|_test\\.go$|(^|/)testdata/') AND rule <> 'SA5001')
-SELECT repo, side, fingerprint, line, col, score FROM g QUALIFY row_number() OVER (PARTITION BY repo, side ORDER BY score DESC, file, line, ord) <= 2""")
+# The gate of a repository that names none, and two that name their own (least priority, least evidence, excluded files, disabled rules, most comments).
+GATES = (
+    ("", "high", "static_fact", ("vendor/**", "**/*_generated.go", "**/zz_generated.*.go"), (), 2),
+    ("org__repo1", "medium", "static_fact", ("**/vendor/**",), ("SA5001", "lostcancel"), 4),
+    ("org__repo2", "low", "static_fact", (), (), 1),
+)
+
+
+def gates(spark):
+    return spark.createDataFrame([g for g in GATES], "repo string, min_priority string, min_evidence string, exclude array<string>, disabled array<string>, max_comments int")
+
+
+@query("flt10_posting_gate", f"""WITH {Q.CLASSIFIED}, g AS (
+  SELECT *, CASE repo WHEN 'org__repo1' THEN 4 WHEN 'org__repo2' THEN 1 ELSE 2 END AS most FROM cl WHERE suppress_reason = '' AND CASE
+    WHEN repo = 'org__repo1' THEN priority <> 'low' AND NOT regexp_matches(file, '(^|/)vendor/') AND rule NOT IN ('SA5001', 'lostcancel')
+    WHEN repo = 'org__repo2' THEN TRUE
+    ELSE priority IN ('high', 'critical') AND NOT regexp_matches(file, '^vendor/|_generated\\.go$|(^|/)zz_generated\\.[^/]*\\.go$') END)
+SELECT repo, side, fingerprint, line, col, score FROM g QUALIFY row_number() OVER (PARTITION BY repo, side ORDER BY score DESC, file, line, ord) <= most""")
 def flt10_posting_gate(spark, sf_dir):
-    """FLT10, WIN08, DSG21: what a pull request would show; at most two comments."""
-    f = O.min_priority(O.kept(classified(spark, sf_dir)), "high").where(~F.col("file").rlike("(^|/)vendor/|_test\\.go$|(^|/)testdata/") & (F.col("rule") != "SA5001"))
-    return O.ranked(f).where("rank <= 2").select("repo", "side", "fingerprint", "line", "col", "score")
+    """FLT10, WIN08, DSG21: what a pull request would show, by each repository's own gate."""
+    found = O.kept(classified(spark, sf_dir)).withColumn("evidence", F.lit("static_fact"))
+    return O.gated(found, gates(spark)).select("repo", "side", "fingerprint", "line", "col", "score")
+
+
+@query("dsg21_precision_at_20", f"""WITH {Q.CLASSIFIED}, t AS (SELECT repo, side, dismissed FROM (SELECT *, human AS dismissed FROM cl WHERE suppress_reason NOT IN ('vendored', 'generated'))
+  QUALIFY row_number() OVER (PARTITION BY repo, side ORDER BY score DESC, file, line, ord) <= 20)
+SELECT repo, side, count(*) AS shown, round(avg(CASE WHEN dismissed THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END), 9) AS precision FROM t GROUP BY repo, side""")
+def dsg21_precision_at_20(spark, sf_dir):
+    """DSG21: of the twenty highest findings of a report, those that no maintainer dismissed."""
+    judged = classified(spark, sf_dir).where("suppress_reason not in ('vendored', 'generated')")
+    top = O.ranked(judged, 20)
+    return top.groupBy("repo", "side").agg(F.count("*").alias("shown"), F.round(F.avg(F.when(F.col("suppress_reason") == "", 1.0).otherwise(0.0)), 9).alias("precision"))
 
 
 @query("dsg11_lifecycle", f"""WITH {Q.FINDINGS}, s AS (SELECT DISTINCT repo, fingerprint, year(seen) AS snapshot FROM fr), m AS (SELECT repo, max(year(seen)) AS last FROM fr GROUP BY repo),
@@ -373,6 +435,17 @@ def agg15_graph_size(spark, sf_dir):
     return both.agg(F.sum("node").alias("nodes"), F.sum("edge").alias("edges"))
 
 
+@query("win06_graph_edges", f"WITH {Q.EDGES} SELECT src, dst, kind, producer, confidence, array_to_string(locks, ',') AS locks, row_number() OVER (ORDER BY src, dst, kind, producer, confidence, locks) AS place FROM ed")
+def win06_graph_edges(spark, sf_dir):
+    """WIN06: edges in order; rows that agree in all columns take any of their places."""
+    return G.ordered_edges(edges(spark, sf_dir)).select("src", "dst", "kind", "producer", "confidence", F.array_join("locks", ",").alias("locks"), "place")
+
+
+@query("win06_graph_nodes", f"WITH {Q.EDGES} SELECT id, row_number() OVER (ORDER BY id) AS place FROM (SELECT src AS id FROM ed UNION SELECT dst FROM ed)")
+def win06_graph_nodes(spark, sf_dir):
+    return G.ordered_nodes(edges(spark, sf_dir)).select("id", "place")
+
+
 _LOCKS = f"""{Q.EDGES}, ac AS (SELECT * FROM ed WHERE kind <> 'CALLS'), pf AS (SELECT dst, count(*) AS accesses, bool_or(kind = 'WRITES') AS has_write FROM ac GROUP BY dst),
 hl AS (SELECT dst, lock, count(*) AS n FROM (SELECT dst, unnest(list_distinct(locks)) AS lock FROM ac) GROUP BY ALL),
 lk AS (SELECT pf.dst AS field, accesses, has_write, coalesce((SELECT string_agg(lock, ',' ORDER BY lock) FROM hl WHERE hl.dst = pf.dst AND hl.n = pf.accesses), '') AS locks FROM pf)"""
@@ -384,7 +457,9 @@ def agg08_common_locks(spark, sf_dir):
     return G.common_locks(G.of_kind(edges(spark, sf_dir), "READS", "WRITES"))
 
 
-@query("set03_lockset_fold", f"WITH {Q.EDGES}, x AS (SELECT dst, arg_min(locks, o_orderkey) AS a, arg_max(locks, o_orderkey) AS b FROM ed WHERE kind <> 'CALLS' GROUP BY dst) SELECT dst AS field, array_to_string(list_sort(list_intersect(a, b)), ',') AS locks FROM x")
+@query("set03_lockset_fold", f"""WITH {Q.EDGES}, ac AS (SELECT dst, locks FROM ed WHERE kind <> 'CALLS')
+SELECT f.dst AS field, coalesce((SELECT string_agg(lock, ',' ORDER BY lock) FROM (SELECT DISTINCT unnest(a.locks) AS lock FROM ac a WHERE a.dst = f.dst) WHERE NOT EXISTS (SELECT 1 FROM ac o WHERE o.dst = f.dst AND NOT list_contains(o.locks, lock))), '') AS locks
+FROM (SELECT DISTINCT dst FROM ac) f""")
 def set03_lockset_fold(spark, sf_dir):
     return G.lockset_fold(G.of_kind(edges(spark, sf_dir), "READS", "WRITES"))
 
@@ -533,8 +608,7 @@ def prj35_softmax(spark, sf_dir):
     return p.groupBy("pred").agg(F.count("*").alias("n"), F.round(F.sum(1 / (1 + F.exp(F.col("l0") - F.col("l1")))), 6).alias("p"))
 
 
-@query("dsg13_rerank", """WITH q AS (SELECT vec_id AS qid, embedding AS q FROM embeddings ORDER BY vec_id LIMIT 10),
-s AS (SELECT qid, vec_id, round(list_cosine_similarity(q::DOUBLE[], embedding::DOUBLE[]), 6) AS cosine FROM q, embeddings WHERE vec_id <> qid)
+@query("dsg13_rerank", """WITH s AS (SELECT q.vec_id AS qid, e.vec_id, round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 6) AS cosine FROM embeddings q, embeddings e WHERE q.vec_id % 20 = 0 AND e.vec_id <> q.vec_id)
 SELECT qid, vec_id, cosine, row_number() OVER (PARTITION BY qid ORDER BY cosine DESC, vec_id) AS place FROM s QUALIFY place <= 5""")
 def dsg13_rerank(spark, sf_dir):
     """Top five neighbours among all others of every vector whose id is divisible by 20; pairs come from blocks of both sides, nothing is broadcast."""

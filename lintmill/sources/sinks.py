@@ -42,8 +42,7 @@ def markdown(findings: DataFrame, suppressed: DataFrame, runs: DataFrame, limit:
     names = ("critical", "high", "medium", "low")
     counts = findings.groupBy(*keys).agg(F.count("*").alias("n"), F.count_if("is_test").alias("tests"), *[F.count_if(F.col("priority") == p).alias(p) for p in names])
     hidden = suppressed.groupBy(*keys).agg(F.count("*").alias("hidden"))
-    top = O.ranked(findings)
-    top = top.where(F.col("rank") <= limit) if limit > 0 else top
+    top = O.ranked(findings, limit)
     mark = F.when(F.col("is_test"), " _(test file)_").otherwise("")
     item = F.concat(
         F.format_string("### %d. `%s` — %s", "rank", "rule", "priority"), mark, F.lit("\n\n"), F.format_string("`%s:%d` · %s · score %d · via %s", "file", "line", "category", "score", "tool"), F.lit("\n\n"), "message"

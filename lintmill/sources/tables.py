@@ -79,3 +79,19 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
         locks.alias("locks"),
         "o_orderkey",
     )
+
+
+def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """repo, side, commit, seconds, error (null: none) per attempted report, clean and failed repositories among them."""
+    n = F.col("n_nationkey")
+    sides = F.explode(F.array(F.lit("base"), F.lit("head"))).alias("side")
+    error = F.when(n % 7 == 3, F.concat(F.lit("clone: exit status "), (n + 100).cast("string")))
+    return table(spark, sf_dir, "nation").select(F.concat(F.lit("org__repo"), n.cast("string")).alias("repo"), sides, F.sha1(F.col("n_name").cast("binary")).alias("commit"), (n * 13.37 + 0.25).alias("seconds"), error.alias("error"))
+
+
+def tool_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """repo, side, ordinal, name, seconds, error (null: none) per started tool."""
+    tools = F.explode(F.array(*[F.struct(F.lit(i).alias("ordinal"), F.lit(t).alias("name")) for i, t in enumerate(("go vet", "staticcheck", "GoSec"))]))
+    rows = attempts(spark, sf_dir).where("error is null").select("repo", "side", "seconds", F.substring("commit", -1, 1).alias("last"), tools.alias("t"))
+    error = F.when((F.col("t.ordinal") == 1) & F.col("last").isin("0", "1", "2", "3", "4"), "staticcheck: executable not found")
+    return rows.select("repo", "side", "t.ordinal", "t.name", (F.col("seconds") / (F.col("t.ordinal") + 3)).alias("seconds"), error.alias("error"))
