@@ -30,7 +30,8 @@ def findings_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """repo, side, tool, rule, severity, category, file, doc_id, line, col, message, fingerprint, ord (input order) per reported finding."""
     t = table(spark, sf_dir, "lineitem")
     part, supp, flag = F.col("l_partkey"), F.col("l_suppkey"), F.col("l_returnflag")
-    file = F.concat(_pick(DIRS, supp % 5), F.lit("/f"), (part % 40).cast("string"), F.when(part % 40 % 5 == 0, "_test.go").otherwise(".go"))
+    doc = part % F.lit(max(1, table(spark, sf_dir, "documents").count()))  # files are as many as documents
+    file = F.concat(_pick(DIRS, supp % 5), F.lit("/f"), doc.cast("string"), F.when(doc % 5 == 0, "_test.go").otherwise(".go"))
     rule = F.when(flag == "A", _pick(VET_RULES, part % 9)).when(flag == "N", _pick(STATIC_RULES, part % 22)).otherwise(F.concat(F.lit("G10"), (part % 5).cast("string")))
     out = t.select(
         F.concat(F.lit("org__repo"), (supp % 8).cast("string")).alias("repo"),
@@ -38,7 +39,7 @@ def findings_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(flag == "A", "go vet").when(flag == "N", "staticcheck").otherwise("GoSec").alias("tool"),
         rule.alias("rule"),
         file.alias("file"),
-        (part % 40).alias("doc_id"),
+        doc.alias("doc_id"),
         F.col("l_quantity").cast("int").alias("line"),
         F.col("l_linenumber").cast("int").alias("col"),
         F.concat(F.lit("m"), (F.floor(F.col("l_discount") * 100 + 0.5) % 3).cast("string")).alias("message"),
