@@ -14,14 +14,13 @@ import hashlib
 import zlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lintmill.llm.common import collected, shared_folder
-from lintmill.llm.packing import CAPACITY, Encoder, Packer
+from lintmill.llm.common import collected, mapped, schema_with, shared_folder
+from lintmill.llm.packing import CAPACITY, ENCODE_ROWS, Encoder, Packer
 
 PER_SHARD, ROUNDS, PAD_ID = 4096, 6, 0
 MARKER = "\r\n\r\n"
@@ -73,6 +72,8 @@ class _Sequences(Packer):
 
     def _sequence(self, pieces) -> None:
         ids = np.frombuffer(b"".join(p[0][2] for p in pieces), dtype="<u4")
+        if len(ids) and int(ids.max()) >> 8 * np.dtype(self.kind).itemsize:
+            raise ValueError(f"id {ids.max()} does not fit {np.dtype(self.kind).itemsize} bytes; set id_bytes")
         padded = np.full(self.capacity, PAD_ID, dtype=self.kind)
         padded[: len(ids)] = ids
         self.rows.append((self.next_sequence, len(ids), padded.tobytes()))
@@ -91,16 +92,15 @@ def sequences(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, id
             return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["sequence_id", "length", "ids"])
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                texts = [x or "" for x in batch.column(0).slice(at, 512).to_pylist()]
-                for ids in encoder.encode(texts):
+            for at in range(0, batch.num_rows, ENCODE_ROWS):
+                for ids in encoder.encode(batch.column(0).slice(at, ENCODE_ROWS)):
                     packer.add(None, ids)
-                if len(packer.rows) >= 2048:
+                if len(packer.rows) >= 1024:
                     yield out()
         packer.close()
         yield out()
 
-    return docs.select(F.col(text_col).cast("string")).mapInArrow(run, "sequence_id bigint, length bigint, ids binary")
+    return mapped(docs.select(F.col(text_col).cast("string")), run, "sequence_id bigint, length bigint, ids binary")
 
 
 def slotted(packed: DataFrame, key: str = KEY) -> tuple[DataFrame, int]:
@@ -112,12 +112,15 @@ def slotted(packed: DataFrame, key: str = KEY) -> tuple[DataFrame, int]:
     permutation = Feistel(max(total, 1), key)
     first = np.array([starts.get(p, 0) for p in range(max(starts, default=0) + 1)], dtype=np.int64)
 
-    @F.pandas_udf("bigint")
-    def slot(ids: pd.Series) -> pd.Series:
-        x = ids.to_numpy()
-        return pd.Series(permutation.slot(first[x >> PARTITION_BITS] + (x & ((1 << PARTITION_BITS) - 1))))
+    at = packed.columns.index("sequence_id")
 
-    return packed.withColumn("slot", slot("sequence_id")), total
+    def run(batches):
+        for batch in batches:
+            x = batch.column(at).to_numpy()
+            slot = permutation.slot(first[x >> PARTITION_BITS] + (x & ((1 << PARTITION_BITS) - 1)))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(slot)], names=[*batch.schema.names, "slot"])
+
+    return mapped(packed, run, schema_with(packed, "slot bigint")), total
 
 
 def write_shards(rows: DataFrame, total: int, path: str, per_shard: int = PER_SHARD, passes: int = PASSES) -> None:
@@ -153,18 +156,19 @@ def read_shards(spark: SparkSession, path: str, capacity: int = CAPACITY, id_byt
                 columns = [pa.array(slots, pa.int64()), pa.array([shard] * len(ids), pa.int64()), pa.array(list(at), pa.int64()), pa.array(sums, pa.int64()), pa.array(ids, pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, names=["slot", "shard", "byte_offset", "ids_crc32", "ids"])
 
-    return files.select(F.col("shard").cast("bigint"), "content").mapInArrow(run, "slot bigint, shard bigint, byte_offset bigint, ids_crc32 bigint, ids binary")
+    return mapped(files.select(F.col("shard").cast("bigint"), "content"), run, "slot bigint, shard bigint, byte_offset bigint, ids_crc32 bigint, ids binary")
 
 
-def materialise(docs: DataFrame, tokenizer_path: str, *, key: str = KEY, per_shard: int = PER_SHARD, capacity: int = CAPACITY, path: str | None = None) -> DataFrame:
+def materialise(docs: DataFrame, tokenizer_path: str, *, key: str = KEY, per_shard: int = PER_SHARD, capacity: int = CAPACITY, id_bytes: int = 2, path: str | None = None) -> DataFrame:
     """Documents as packed sequences in training order, written as shards at ``path`` (default: a new shared folder), and what the shards hold.
 
+    A vocabulary of more than 65,536 ids needs an ``id_bytes`` of 4; an id that does not fit is an error.
     A null text is the end id alone; repeated rows count each by itself; an empty table writes no shard and gives no rows. Other columns are not read.
     """
     spark = docs.sparkSession
     path = path or shared_folder(spark, "shards")
     store = shared_folder(spark, "sequences")
-    made = sequences(docs, tokenizer_path, capacity)
+    made = sequences(docs, tokenizer_path, capacity, id_bytes)
     made.write.option("compression", "zstd").parquet(store)
     for x in (path, store):
         hadoop = spark._jvm.org.apache.hadoop.fs.Path(x)
@@ -175,4 +179,4 @@ def materialise(docs: DataFrame, tokenizer_path: str, *, key: str = KEY, per_sha
     write_shards(rows, total, path, per_shard)
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(store)
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
-    return read_shards(spark, path, capacity, per_shard=per_shard)
+    return read_shards(spark, path, capacity, id_bytes, per_shard)
