@@ -6,6 +6,7 @@ import hashlib
 import itertools
 import math
 import random
+import re
 import zlib
 
 import numpy as np
@@ -429,6 +430,51 @@ def test_pages_with_nulls_and_clashing_columns(spark):
     assert html_extract.extract_text(rows.limit(0)).count() == 0
 
 
+def plain(html):
+    """A page without any semantic element or name."""
+    return re.sub(r"<(/?)(article|nav|footer|main|aside|header)\b[^>]*>", r"<\1div>", re.sub(r' (class|id)="[^"]*"', "", html))
+
+
+def test_the_cut_corrects_labels_of_pages_without_semantic_elements(spark, sf_dir, monkeypatch):
+    """Truth is what the same pages' own elements say; the ties must mend more labels than they spoil, and maximum flow must run."""
+    pages = [r.html for r in spark.read.parquet(f"{sf_dir}/pages.parquet").orderBy("page_id").select("html").collect()]
+    weights = html_extract.train(pages)
+    flows, flow = [], html_extract._max_flow_side
+    monkeypatch.setattr(html_extract, "_max_flow_side", lambda *a: flows.append(1) or flow(*a))
+    wrong = wrong_alone = changed = 0
+    for page in pages:
+        truth = {b.text for b in html_extract.blocks_of(page) if b.article and not b.chrome}
+        blocks, alone = html_extract.blocks_of(plain(page)), []
+        found = html_extract.label(blocks, weights, alone)
+        wrong += sum((b.text in truth) != x for b, x in zip(blocks, found, strict=True))
+        wrong_alone += sum((b.text in truth) != x for b, x in zip(blocks, alone, strict=True))
+        changed += sum(x != y for x, y in zip(found, alone, strict=True))
+    assert changed > 0 and flows and wrong < wrong_alone
+
+
+@pytest.mark.parametrize(
+    "part",
+    [
+        '<h2 id="related-work">Related work of others</h2><p>It is told here, in a long sentence with commas, and it ends.</p>',
+        '<section id="social-history"><p>The history of the society, in a long sentence with commas, is told here.</p></section>',
+        '<section id="related-work"><p>The work of others, in a long sentence with commas, is told here.</p></section>',
+        "<p>We have <math><mi>x</mi><mo>=</mo><mn>1</mn></math> in this long sentence, as was told, and so on.</p>",
+    ],
+)
+def test_names_of_sections_and_formulas_stay(part):
+    body = "<p>A first paragraph of the article, with commas, and a good number of words to read.</p>"
+    page = f'<html><body><nav><a href="/">Home</a></nav><article><h1>Title of it</h1>{body}{part}{body}</article><footer>© us</footer></body></html>'
+    text = html_extract.extract(page, [0.0] * html_extract.N_FEATURES)
+    assert text.split("\n") == ["Title of it", *[b.text for b in html_extract.blocks_of(body + re.sub("</?section[^>]*>", "", part) + body)]]
+
+
+def test_a_long_page_is_extracted_whole(spark):
+    body = "".join(f"<p>Paragraph {i} of a long article, with commas, and words enough to read it.</p>" for i in range(4000))
+    pages = spark.createDataFrame([(1, "u", f"<nav><a>Home</a></nav><article>{body}</article>", 5), (None, None, None, None)], "page_id bigint, url string, html string, n_chars int")
+    got = {r.page_id: r for r in html_extract.extract_text(pages, weights=[0.0] * html_extract.N_FEATURES).collect()}
+    assert got[1].text.count("\n") == 3999 and got[1].n_chars == len(got[1].text) and (got[None].text, got[None].n_chars) == ("", 0)
+
+
 # --- training order --------------------------------------------------------------------------------------------------------------------
 
 
