@@ -5,7 +5,6 @@ from __future__ import annotations
 import ctypes
 import gc
 import time
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -13,6 +12,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lintmill.sources.store import forget, shared_folder, written
+
+__all__ = ["binaries", "collected", "forget", "fresh", "let", "mapped", "schema_with", "shared_folder", "slices", "spread_join", "table", "written"]
+
 #: What one batch between the JVM and a Python worker may hold; a longer text comes by itself.
 BATCH_BYTES = 8 << 20
 #: A key is hot if it has more than one in HOT_SHARE of all rows, and HOT_ROWS at least.
@@ -30,16 +33,6 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that the cluster names in spark.checkpoint.dir. Only a session in one process may do without: it has /tmp/checkpoints."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.split("[")[0] == "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = "file:///tmp/checkpoints"
-    return f"{base.rstrip('/')}/lintmill/{name}-{uuid.uuid4().hex}"
-
-
 def _give_back() -> None:
     """Return a worker's free memory to the system: an idle worker is kept for the next task and counts as long."""
     gc.collect()
@@ -65,21 +58,6 @@ def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
     return df.mapInArrow(task, schema)
 
 
-def written(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
-    """Write ``df`` to the shared folder and read it again: the lineage ends there, and a lost executor costs nothing.
-
-    The folder goes when the application ends, or with ``forget``.
-    """
-    spark = df.sparkSession
-    path = shared_folder(spark, name)
-    df.write.mode("overwrite").option("compression", codec).parquet(path)
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.__dict__["lintmill_path"] = path
-    return out
-
-
 def fresh(df: DataFrame, name: str) -> str:
     """``name``, with underscores before it until ``df`` has no such column, in either case."""
     taken = {c.lower() for c in df.columns}
@@ -99,15 +77,6 @@ def spread_join(rows: DataFrame, groups: DataFrame, on: list[str], total: int, s
     return rows.join(hot, on, "inner").unionByName(rows.join(hot.select(*on), on, "left_anti").join(cold, on, how))
 
 
-def forget(*frames: DataFrame) -> None:
-    """Remove what ``written`` wrote; only for frames that nothing reads any more."""
-    for df in frames:
-        if path := df.__dict__.get("lintmill_path"):
-            jvm = df.sparkSession._jvm
-            hadoop = jvm.org.apache.hadoop.fs.Path(path)
-            hadoop.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(hadoop, True)
-
-
 def collected(spark: SparkSession) -> None:
     """Let the driver drop what finished steps no longer need; the files of their shuffles go with it."""
     for _ in range(2):

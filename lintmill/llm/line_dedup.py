@@ -1,11 +1,16 @@
-"""Line deduplication by windows of lines, in DataFrame functions alone.
+"""Line deduplication by winnowing over line hashes, in DataFrame functions alone.
 
 A window is the fewest consecutive lines that have ``RUN_WORDS`` = 50 words together, from a given line on or up to a given line; lines
-without a word don't count. A place is in a run of RUN_WORDS or more that an earlier place has exactly if one of its windows is there, so
-each window is judged against the first occurrence of that same window, in the order of document and line, and no pair of documents is compared.
+without a word don't count. The line of a window's least hash, the first of them, is its fingerprint. Two runs of RUN_WORDS words or more
+that agree have equal windows and so the same fingerprints: no common run is without one.
 
-A window that a third of all documents have is aggregated before the shuffle, and the join back has one row for it, so its side can be
-split. Hashes of 96 bits stand for windows; the texts themselves move once, at the end.
+Positions are joined by fingerprint first: one that stands at a single place of all documents ends there, with its windows. Every other
+place is then extended to both sides of the fingerprint, window by window, and each window is judged against the first occurrence of that same
+window in the order of document and line. The windows of neighbouring fingerprints overlap, so together they give a match in its whole
+length. No pair of documents is compared, so a run is found wherever its parts occurred first, and a passage that n documents have costs n rows.
+
+A line or window that a third of all documents have is aggregated before the shuffle, and the join back broadcasts what is so frequent.
+Hashes of 96 bits stand for windows; the texts themselves move once, at the end.
 """
 
 from __future__ import annotations
@@ -13,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lintmill.llm.common import SPACE, let, written
+from lintmill.llm.common import SPACE, collected, forget, fresh, let, spread_join, written
 from lintmill.llm.quality import split_words
 
 RUN_WORDS = 50
@@ -24,13 +29,13 @@ def _lines(text: Column) -> Column:
     return F.split(text, "\n")
 
 
-def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``docs`` with the key of a document: its id, null ids last, and the hash of its text."""
-    return docs.withColumn("__o", F.coalesce(F.col(f"`{id_col}`").cast("bigint"), F.lit(_LAST))).withColumn("__t", F.xxhash64(F.col(f"`{text_col}`")))
+def _keys(id_col: str, text_col: str) -> tuple[Column, Column]:
+    """The key of a document: its id, null ids last, and the hash of its text."""
+    return F.coalesce(F.col(f"`{id_col}`").cast("bigint"), F.lit(_LAST)), F.xxhash64(F.col(f"`{text_col}`"))
 
 
 def windows(h: Column, w: Column) -> Column:
-    """(g, c, s, e) of the least windows, end exclusive; g, c: hashes, h: line hashes, w: the lines' words, one each at least."""
+    """(f, p, g, c, s, e) of the least windows: fingerprint and its line, hashes, lines with the end exclusive; h: line hashes, w: the lines' words, one each at least."""
     # The sum of at most 2 * RUN_WORDS - 1 words is in the low 7 bits, the number of lines above them.
     fold = lambda part: F.aggregate(part, F.lit(0), lambda a, n: F.when(a.bitwiseAND(127) < RUN_WORDS, a + n + 128).otherwise(a))
     lines = lambda a, other: F.when(a.bitwiseAND(127) >= RUN_WORDS, F.shiftright(a, 7)).otherwise(other)
@@ -49,35 +54,48 @@ def windows(h: Column, w: Column) -> Column:
 
     def hashed(x: Column) -> Column:
         start, size = F.shiftright(x, 6).cast("int"), x.bitwiseAND(63).cast("int")
-        return let(F.slice(h, start + 1, size), lambda part: F.struct(F.xxhash64(part).alias("g"), F.hash(part).alias("c"), start.alias("s"), (start + size).alias("e")))
+
+        def window(part: Column) -> Column:
+            least = F.array_min(part)
+            at = start + F.array_position(part, least).cast("int") - 1
+            return F.struct(least.alias("f"), at.alias("p"), F.xxhash64(part).alias("g"), F.hash(part).alias("c"), start.alias("s"), (start + size).alias("e"))
+
+        return let(F.slice(h, start + 1, size), window)
 
     capped = F.transform(w, lambda n: F.least(n, F.lit(RUN_WORDS)))
     return F.transform(F.filter(F.array_distinct(let(capped, both)), lambda x: x.isNotNull()), hashed)
 
 
 def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per window of each document: __o, __t, g, c, s, e; lines are counted among those with words."""
-    keyed = _keyed(docs.select(id_col, text_col), id_col, text_col).where(F.col(f"`{text_col}`").isNotNull())
-    worded = F.filter(_lines(F.col(f"`{text_col}`")), lambda x: x.rlike(f"[^{SPACE}]"))
+    """One row per window of each document: o, t, f, p, g, c, s, e; lines are counted among those with words."""
+    text, (o, t) = F.col(f"`{text_col}`"), _keys(id_col, text_col)
+    worded = F.filter(_lines(text), lambda x: x.rlike(f"[^{SPACE}]"))
     both = F.transform(worded, lambda x: F.struct(F.xxhash64(F.regexp_replace(x, f"^[{SPACE}]+|[{SPACE}]+$", "")).alias("h"), F.size(split_words(x)).alias("w")))
-    rows = keyed.select("__o", "__t", both.alias("__b")).select("__o", "__t", F.col("__b.h").alias("__h"), F.col("__b.w").alias("__w"))
-    rows = rows.where(F.aggregate("__w", F.lit(0), lambda a, n: a + n) >= RUN_WORDS)
-    found = let(F.col("__w"), lambda w: let(F.col("__h"), lambda h: windows(h, w)))
-    return rows.select("__o", "__t", F.explode(found).alias("f")).select("__o", "__t", "f.*")
+    rows = docs.where(text.isNotNull()).select(o.alias("o"), t.alias("t"), both.alias("b")).select("o", "t", F.col("b.h").alias("h"), F.col("b.w").alias("w"))
+    rows = rows.where(F.aggregate("w", F.lit(0), lambda a, n: a + n) >= RUN_WORDS)
+    found = let(F.col("w"), lambda w: let(F.col("h"), lambda h: windows(h, w)))
+    return rows.select("o", "t", F.explode(found).alias("x")).select("o", "t", "x.*")
+
+
+def repeated_places(places: DataFrame) -> DataFrame:
+    """The windows whose fingerprint stands at more than one place."""
+    place = F.xxhash64("o", "t", "p")
+    joined = places.groupBy("f").agg(F.min(place).alias("lo"), F.max(place).alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("f", "n")
+    return spread_join(places, joined, ["f"], places.count()).drop("n")
 
 
 def repeated_runs(places: DataFrame) -> DataFrame:
-    """(__o, __t, __runs): the lines of each document, counting those with words, that an earlier run already has."""
-    first = places.groupBy("g", "c").agg(F.min(F.struct("__o", "__t", "s")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    later = places.join(first, ["g", "c"]).where(F.struct("__o", "__t", "s") > F.col("first"))
-    sorted_runs = later.groupBy("__o", "__t").agg(F.sort_array(F.collect_list(F.struct("s", "e"))).alias("__r"))
+    """(o, t, runs): the lines of each document, counting those with words, that an earlier run already has; ``places`` are written ones."""
+    first = places.groupBy("g", "c").agg(F.min(F.struct("o", "t", "s")).alias("first"), F.count("*").alias("n")).where("n > 1")
+    later = spread_join(places, first, ["g", "c"], places.count()).where(F.struct("o", "t", "s") > F.col("first"))
+    sorted_runs = later.groupBy("o", "t").agg(F.sort_array(F.collect_list(F.struct("s", "e"))).alias("r"))
 
     def apart(runs: Column) -> Column:
         """The same lines in ranges that don't overlap; in this order the ends never fall."""
         cut = F.transform(runs, lambda r, i: F.struct(F.greatest(r["s"], F.get(runs, i - 1)["e"]).alias("s"), r["e"].alias("e")))
         return F.filter(cut, lambda r: r["s"] < r["e"])
 
-    return sorted_runs.select("__o", "__t", let(F.col("__r"), apart).alias("__runs"))
+    return sorted_runs.select("o", "t", let(F.col("r"), apart).alias("runs"))
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -85,15 +103,23 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     The first occurrence, by id and then line, stays; rows with a null id come last, and rows of one id by the hash of their text. Rows that
     agree in id and text are one document and are treated alike. A null text stays null with no lines. A text of which all lines go becomes
-    empty. Texts without a repeated run stay as they are, to the byte. All columns of ``docs`` pass through.
+    empty. Texts without a repeated run stay as they are, to the byte; an empty table gives no rows. All columns of ``docs`` pass through;
+    if one has a name that is added here, the added one gets underscores before it, so they are best found as the last four columns.
     """
-    runs = repeated_runs(written(sketches(docs, id_col, text_col), "line-windows"))
-    joined = _keyed(docs, id_col, text_col).join(runs, ["__o", "__t"], "left")
+    every = written(sketches(docs, id_col, text_col), "line-windows")
+    collected(docs.sparkSession)
+    places = written(repeated_places(every), "line-places")
+    forget(every)
+    collected(docs.sparkSession)
+    own, runs_name, x = (fresh(docs, name) for name in ("__key", "__runs", "__x"))
+    o, t = _keys(id_col, text_col)
+    runs = repeated_runs(places).select(F.struct("o", "t").alias(own), F.col("runs").alias(runs_name))
+    joined = docs.withColumn(own, F.struct(o.alias("o"), t.alias("t"))).join(runs, own, "left")
 
     def places(lines: Column) -> Column:
         """The numbers of the deleted lines among all lines."""
         worded = F.filter(F.transform(lines, lambda x, i: F.when(x.rlike(f"[^{SPACE}]"), i)), lambda i: i.isNotNull())
-        counted = F.flatten(F.transform("__runs", lambda r: F.sequence(r["s"], r["e"] - 1)))
+        counted = F.flatten(F.transform(runs_name, lambda r: F.sequence(r["s"], r["e"] - 1)))
         return let(worded, lambda at: F.transform(counted, lambda k: F.get(at, k)))
 
     def taken(lines: Column) -> Column:
@@ -107,14 +133,16 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     text = F.col(f"`{text_col}`")
     none = F.struct(text.alias("clean"), F.lit(0).cast("bigint").alias("lines"), F.lit(0).cast("bigint").alias("words"))
-    joined = joined.withColumn("__x", F.when(F.col("__runs").isNull(), none).otherwise(let(_lines(text), taken)))
+    joined = joined.withColumn(x, F.when(F.col(runs_name).isNull(), none).otherwise(let(_lines(text), taken)))
     n_lines = F.when(text.isNull(), 0).otherwise(F.size(_lines(text))).cast("bigint")
-    out = {"__clean": F.col("__x.clean"), "__n_lines": n_lines, "__deleted_lines": F.col("__x.lines"), "__deleted_words": F.col("__x.words")}
-    return joined.select(*(F.col(f"`{c}`") for c in docs.columns), *(v.alias(k) for k, v in out.items()))
+    out = {"__clean": F.col(x)["clean"], "__n_lines": n_lines, "__deleted_lines": F.col(x)["lines"], "__deleted_words": F.col(x)["words"]}
+    return joined.select(*(F.col(f"`{c}`") for c in docs.columns), *(v.alias(fresh(docs, k)) for k, v in out.items()))
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
-    """``docs`` without repeated runs; n_chars follows the text."""
-    new = {"text": F.col("__clean"), "n_chars": F.length("__clean").cast("bigint")}
-    changed = F.col("__deleted_lines") > 0
-    return deduplicated(docs).select(*(F.when(changed, new[c]).otherwise(F.col(c)).alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns))
+    """``docs`` without repeated runs; n_chars follows the text. Other columns stay, whatever their names."""
+    found = deduplicated(docs)
+    clean, _, lines, _ = found.columns[-4:]
+    new = {"text": F.col(clean), "n_chars": F.length(clean).cast("bigint")}
+    changed = F.col(lines) > 0
+    return found.select(*(F.when(changed, new[c]).otherwise(F.col(c)).alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns))
