@@ -634,3 +634,6 @@ def dsg20_funnel(spark, sf_dir):
     """Precision at a base rate, with a recall of 0.8 and a specificity of 0.95."""
     rate = (F.col("n_nationkey") + 1) / 1000.0
     return table(spark, sf_dir, "nation").select(rate.alias("rate"), (rate * 0.8 / (rate * 0.8 + (1 - rate) * 0.05)).alias("precision"))
+
+
+from lintmill.plans import designs  # noqa: E402, F401  registers its queries here
