@@ -76,6 +76,12 @@ def call_graph(refined: DataFrame, coarse: DataFrame, vta_used: bool) -> DataFra
     return out.withColumns({"producer": F.lit("vta" if vta_used else "cha"), "confidence": R.edge_confidence(F.lit(vta_used), F.col("known"))}).drop("known")
 
 
+def call_graph_result(before: DataFrame, calls: DataFrame, vta_used: bool) -> DataFrame:
+    """One row: nodes that the call edges add to a graph, the edges added, and whether they were refined (AGG16)."""
+    added = nodes(calls).join(nodes(before), "id", "left_anti").agg(F.count("*").alias("nodes_added"))
+    return added.crossJoin(calls.agg(F.count("*").alias("edges_added"))).withColumn("vta_used", F.lit(vta_used))  # one row each
+
+
 def race_candidates(edges: DataFrame, roots: DataFrame, max_hops: int = 3, min_confidence: float = 0.6) -> DataFrame:
     """Fields that at least two roots reach, one access writes and no lock is common to all accesses (a design of the reference)."""
     reach = reachable(edges, roots, "CALLS", max_hops, min_confidence).select("root", F.col("id").alias("src"))

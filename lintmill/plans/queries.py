@@ -487,6 +487,14 @@ def grf04_call_graph(spark, sf_dir):
     return merged.groupBy("src", "dst", "producer", "confidence").agg(F.count("*").alias("n"))
 
 
+@query("agg16_call_graph_result", f"""WITH {Q.EDGES}, ca AS (SELECT src, dst FROM ed WHERE kind = 'CALLS'), be AS (SELECT src, dst FROM ed WHERE kind <> 'CALLS')
+SELECT (SELECT count(*) FROM (SELECT src AS id FROM ca UNION SELECT dst FROM ca) n WHERE id NOT IN (SELECT src FROM be UNION SELECT dst FROM be)) AS nodes_added, (SELECT count(*) FROM ca) AS edges_added, TRUE AS vta_used""")
+def agg16_call_graph_result(spark, sf_dir):
+    """AGG16: what the call edges add to a graph of accesses."""
+    e = edges(spark, sf_dir)
+    return G.call_graph_result(G.of_kind(e, "READS", "WRITES"), G.of_kind(e, "CALLS"), True)
+
+
 @query("jon09_symbols", """WITH o AS (SELECT 'sym' || (l_partkey % 500) AS moniker, l_orderkey AS doc, l_linenumber AS line, l_orderkey * 10 + l_linenumber AS ordinal, l_quantity > 45 AS is_definition FROM lineitem)
 SELECT moniker, min(ordinal) FILTER (is_definition) AS definition, count(*) FILTER (NOT is_definition) AS "references" FROM o GROUP BY moniker""")
 def jon09_symbols(spark, sf_dir):

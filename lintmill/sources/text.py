@@ -76,3 +76,17 @@ def walk(spark, root: str) -> DataFrame:
     """Files (path, text) below a directory, for ``inventory``."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     return raw.select(F.regexp_replace("path", f"^.*?{root.rstrip('/')}/", "").alias("path"), F.col("content").cast("string").alias("text"))
+
+
+OCCURRENCES = "moniker string, path string, line int, col int, is_definition boolean"
+CHUNKS = "path string, start_line int, end_line int, kind string, name string, text string"
+
+
+def symbols(spark: SparkSession, path: str) -> DataFrame:
+    """Symbol occurrences of an index as JSON lines, with their place in input order; rows without a moniker are left out."""
+    return spark.read.schema(OCCURRENCES).json(path).where("moniker is not null")
+
+
+def chunks(spark: SparkSession, path: str) -> DataFrame:
+    """Syntax chunks of source files as JSON lines; a chunk that ends before it starts is left out."""
+    return spark.read.schema(CHUNKS).json(path).where("path is not null and end_line >= start_line")

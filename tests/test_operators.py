@@ -2,12 +2,14 @@
 
 import json
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lintmill.operators import evidence as E
 from lintmill.operators import findings as O
 from lintmill.operators import graph as G
 from lintmill.operators import metrics as M
+from lintmill.operators.order import numbered, numbered_within
 from lintmill.plans import sql as Q
 from lintmill.plans.queries import QUERIES, classified
 from lintmill.sources import sinks as S
@@ -89,7 +91,7 @@ def test_reports_are_written(spark, sf_dir, tmp_path):
     assert log["version"] == "2.1.0" and [r["id"] for r in run["tool"]["driver"]["rules"]] == sorted({r["ruleId"] for r in run["results"]})
     tools = rows(spark, [(1, "go vet"), (2, "semgrep")], "ordinal int, name string")
     text = S.markdown(kept, O.by_human(c), O.tool_runs(findings_raw(spark, sf_dir).where("repo = 'org__repo1'"), tools), 3).first().markdown
-    assert "### 3. " in text and "### 4. " not in text and "| semgrep | **no** | 0 |" in text
+    assert "### 3. " in text and "### 4. " not in text and "| semgrep | **no** | 0 | - |" in text
     S.csv_table(O.repo_summary(c, findings_raw(spark, sf_dir)), f"{tmp_path}/summary")
     assert spark.read.option("header", True).csv(f"{tmp_path}/summary").count() == O.repo_summary(c, findings_raw(spark, sf_dir)).count()
     S.json_report(kept, f"{tmp_path}/report")
@@ -147,3 +149,60 @@ def test_citations_into_any_document_are_grounded(spark, tmp_path):
     spark.createDataFrame([(45, "\n".join(map(str, range(10))))], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(45, 1), (45, 3)], "conv_id bigint, turn int").write.parquet(f"{tmp_path}/conversations.parquet")
     assert [tuple(r) for r in QUERIES["jon08_ungrounded"](spark, str(tmp_path)).collect()] == [(45, "f45:16")]
+
+
+def test_markdown_tells_commit_seconds_and_errors(spark):
+    found = rows(spark, [], "repo string, side string, score int, file string, line int, ord int, is_test boolean, priority string, rule string, category string, tool string, message string")
+    runs = rows(spark, [("r", "head", 0, "go vet", True, 0, 1.5, ""), ("r", "head", 1, "staticcheck", False, 0, 0.25, "not found")], "repo string, side string, ordinal int, name string, ran boolean, findings bigint, seconds double, error string")
+    attempts = rows(spark, [("r", "head", "0123456789abcdef")], "repo string, side string, commit string")
+    text = S.markdown(found, found, runs, 5, attempts).first().markdown
+    assert "| staticcheck | **no**: not found | 0 | 0.25 |" in text and "| go vet | yes | 0 | 1.50 |" in text and " at `0123456789ab`" in text and "No finding to show." in text
+
+
+def test_corpora_merge(spark, tmp_path):
+    negative = "repo string, side string, file string, line int, col int, rule string, message string"
+    for k, (repo, status) in enumerate([("b", "ok"), ("a", "error: clone")]):
+        summary = rows(spark, [(repo, "head", "c", status, *((5, 4, 0, 1, 1, 0, 0, 1, 1, 2) if status == "ok" else (None,) * 10), 1.5)], S.SUMMARY)
+        S.summary_table(summary, f"{tmp_path}/in/{k}/summary")
+        frequency = rows(spark, [("t", "x", "C", 4, 1 + k, 0.2, 1)], "tool string, rule string, category string, reported bigint, suppressed bigint, rate double, repos bigint")
+        S.frequency_table(frequency, f"{tmp_path}/in/{k}/rule_frequency")
+        S.negatives(rows(spark, [(repo, "head", "f", 1, 1, "x", "m")], negative), f"{tmp_path}/in/{k}/negatives")
+    S.merge_corpus(spark, f"{tmp_path}/in/*", f"{tmp_path}/out")
+    merged = S.read_tables(spark, f"{tmp_path}/out/rule_frequency", S.FREQUENCY).collect()
+    assert [tuple(r) for r in merged] == [("t", "x", "C", 8, 3, 0.273, 2)]
+    assert [(r.repo, r.raw) for r in S.read_tables(spark, f"{tmp_path}/out/summary", S.SUMMARY).collect()] == [("a", None), ("b", 5)]
+    assert [json.loads(r.value)["repo"] for r in spark.read.text(f"{tmp_path}/out/negatives").orderBy("value").collect()] == ["a", "b"]
+    assert "1 reports, 1 failed" in spark.read.text(f"{tmp_path}/out/report", wholetext=True).first().value
+
+
+def test_metric_report(spark, tmp_path):
+    S.metric_report(rows(spark, [("b", 0.5, 3), ("a", None, 4)], "model string, auc double, n int"), f"{tmp_path}/metrics")
+    assert spark.read.text(f"{tmp_path}/metrics/markdown", wholetext=True).first().value.strip().split("\n")[2:] == ["| a | - | 4 |", "| b | 0.500 | 3 |"]
+    assert spark.read.json(f"{tmp_path}/metrics/json").count() == 2
+
+
+def test_loaders_of_symbols_and_chunks(spark, tmp_path):
+    (tmp_path / "s.json").write_text('{"moniker":"m","path":"p","line":1,"col":2,"is_definition":true}\n{"path":"q"}\nnot json\n')
+    (tmp_path / "c.json").write_text('{"path":"p","start_line":3,"end_line":5,"kind":"func"}\n{"path":"p","start_line":3,"end_line":1}\n')
+    assert [r.moniker for r in X.symbols(spark, f"{tmp_path}/s.json").collect()] == ["m"] and X.chunks(spark, f"{tmp_path}/c.json").count() == 1
+
+
+def test_places_of_ties_and_one_hot_key(spark):
+    data = spark.range(5000).select(F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("k"), (F.col("id") % 50).cast("string"))).alias("k"), (F.col("id") % 7).alias("v"))
+    got = numbered_within(data, ("k",), F.desc("v"))
+    want = data.withColumn("place", F.row_number().over(W.partitionBy("k").orderBy(F.desc("v"))).cast("bigint"))
+    assert spark_rows(got) == spark_rows(want) and numbered(data.limit(0), "v").count() == 0
+    assert "Window" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_plan_of_reachability_grows_by_a_scan_per_hop(spark, sf_dir):
+    start = rows(spark, [("fn:7",)], "id string")
+    sizes = [G.reachable(edges(spark, sf_dir), start, "CALLS", hops, 0.6)._jdf.queryExecution().optimizedPlan().toString().count("Relation") for hops in (1, 2, 3)]
+    assert sizes[0] == 2 and all(0 <= b - a <= 1 for a, b in zip(sizes, sizes[1:], strict=False))
+
+
+def test_gate_globs_and_evidence(spark):
+    schema = "repo string, side string, file string, line int, ord int, score int, priority string, rule string, evidence string"
+    f = rows(spark, [("r", "h", p, 1, i, 90, "high", "x", e) for i, (p, e) in enumerate([("a/b.go", "static_fact"), ("vendor/a.go", "static_fact"), ("x/vendor/a.go", "static_fact"), ("a/c_generated.go", "reproduced"), ("a.go", "hypothesis")])], schema)
+    gates = rows(spark, [("", "high", "static_fact", ["vendor/**", "**/*_generated.go"], [], 9)], "repo string, min_priority string, min_evidence string, exclude array<string>, disabled array<string>, max_comments int")
+    assert {r.file for r in O.gated(f, gates).collect()} == {"a/b.go", "x/vendor/a.go"}
