@@ -1,4 +1,8 @@
-"""A training corpus in five stages, each of which reads what the one before it wrote."""
+"""A training corpus in five stages, each of which reads what the one before it wrote.
+
+Null texts go in the first stage, as do very short ones. Rows with a null id stay until the end; repeated rows of one id are each judged by
+themselves and stay together. An empty table runs through all stages and gives no pieces. Columns beside doc_id, text and n_chars pass through.
+"""
 
 from __future__ import annotations
 
@@ -40,7 +44,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality", quality), ("line_dedup", line_dedup), ("near_copies", near_copies), ("benchmarks", benchmarks), ("packing", packing)]
 
-#: Tokenising and the model stages cannot be written in SQL; the tests hold the stages against brute force instead.
+#: Tokenising and packing cannot be written in SQL; tests/llm/test_pipeline.py holds each stage against brute force instead.
 ORACLE_SQL = None
 
 
