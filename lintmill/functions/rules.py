@@ -13,6 +13,7 @@ PRIORS = {
 }
 FAMILY_PRIORS = (("SA2", 70), ("SA5", 65), ("SA1", 45), ("SA4", 45), ("SA6", 25), ("SA9", 40), ("S1", 15), ("ST1", 10), ("QF1", 10))
 DEFAULT_PRIOR = 40
+# Least scores of priorities, and what kinds of files leave of a prior.
 PRIORITIES = (("critical", 80), ("high", 55), ("medium", 30))
 DISCOUNTS = (("vendored", 0.05), ("generated", 0.10), ("test", 0.30))
 # Phrases of vet messages and their rules, in order; categories of rules and rule families.
@@ -118,6 +119,7 @@ def linter_names(tool: Column, rule: Column) -> Column:
     return F.when(low == "go vet", F.array(F.lit("govet"), F.lit("vet"))).when(low == "staticcheck", static.otherwise(F.array(F.lit("staticcheck")))).otherwise(F.array(low))
 
 
+# How suppression comments are written.
 NOLINT = "//\\s*nolint(?::\\s*([\\w\\-,\\s]+))?"
 LINT_IGNORE = "//\\s*lint:ignore\\s+([\\w,\\s]+)"
 FILE_IGNORE = "//\\s*lint:file-ignore\\s+([\\w,\\s]+)"

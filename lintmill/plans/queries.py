@@ -297,7 +297,7 @@ def _told(text: str) -> str:
         after = f"regexp_extract({text}, '{pattern}((?s:.*))$', {2})"
         return f"nullif(trim(CASE WHEN contains({after}, '//') THEN substr({after}, strpos({after}, '//') + 2) ELSE {after} END), '')"
 
-    return f"CASE WHEN regexp_matches({text}, '{R.NOLINT}') THEN {rest(R.NOLINT)} WHEN regexp_matches({text}, '{R.LINT_IGNORE}') THEN {rest(R.LINT_IGNORE)} END"
+    return f"CASE WHEN regexp_matches({text}, '{Q.NOLINT}') THEN {rest(Q.NOLINT)} WHEN regexp_matches({text}, '{Q.LINT_IGNORE}') THEN {rest(Q.LINT_IGNORE)} END"
 
 
 @query("min01_hard_negatives", f"""WITH {Q.CLASSIFIED}

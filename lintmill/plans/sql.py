@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from lintmill.functions import rules as R
 from lintmill.sources import tables as S
 
 
@@ -14,14 +13,22 @@ def _case(pairs, default: str) -> str:
     return "CASE " + " ".join(f"WHEN {c} THEN {v}" for c, v in pairs) + f" ELSE {default} END"
 
 
-def _starts(column: str, pairs, quote: str = "") -> list[tuple[str, str]]:
-    return [(f"starts_with({column}, '{p}')", f"{quote}{v}{quote}") for p, v in pairs]
-
-
-VET_CATEGORY = _case([(f"rule = '{r}'", f"'{c}'") for r, c in R.VET_CATEGORIES.items()], "'UNCATEGORIZED'")
-FAMILY_CATEGORY = _case(_starts("rule", R.FAMILY_CATEGORIES, "'"), "'UNCATEGORIZED'")
-PRIOR = _case([(f"rule = '{r}'", v) for r, v in R.PRIORS.items()] + _starts("rule", R.FAMILY_PRIORS), str(R.DEFAULT_PRIOR))
-VET_RULE = _case([(f"contains(lower(message), '{p}')", f"'{r}'") for r, ps in R.VET_PHRASES for p in ps], "'vet.other'")
+# Fixed values, stated here once more so that a wrong one in the library shows.
+VET_CATEGORY = """CASE rule WHEN 'lostcancel' THEN 'CTX.PROPAGATION' WHEN 'copylocks' THEN 'CONC.MISUSE' WHEN 'loopclosure' THEN 'CONC.MISUSE' WHEN 'printf' THEN 'API.MISUSE' WHEN 'structtag' THEN 'API.MISUSE'
+  WHEN 'unsafeptr' THEN 'API.MISUSE' WHEN 'unreachable' THEN 'CODE.SMELL' WHEN 'assign' THEN 'CODE.SMELL' ELSE 'UNCATEGORIZED' END"""
+FAMILY_CATEGORY = """CASE WHEN rule LIKE 'SA1%' THEN 'API.MISUSE' WHEN rule LIKE 'SA2%' THEN 'CONC.MISUSE' WHEN rule LIKE 'SA3%' THEN 'TEST.MISUSE' WHEN rule LIKE 'SA4%' THEN 'CODE.SMELL' WHEN rule LIKE 'SA5%' THEN 'CORRECTNESS'
+  WHEN rule LIKE 'SA6%' THEN 'PERF' WHEN rule LIKE 'SA9%' THEN 'CORRECTNESS' WHEN rule LIKE 'S1%' THEN 'CODE.SMELL' WHEN rule LIKE 'ST1%' THEN 'CODE.STYLE' WHEN rule LIKE 'QF1%' THEN 'CODE.STYLE' ELSE 'UNCATEGORIZED' END"""
+PRIOR = """CASE WHEN rule IN ('lostcancel', 'copylocks', 'SA2000', 'SA2003', 'SA5001') THEN 85 WHEN rule IN ('loopclosure', 'SA2001', 'SA1012', 'SA5007', 'SA5011') THEN 80 WHEN rule = 'SA1015' THEN 75
+  WHEN rule IN ('SA2002', 'unsafeptr') THEN 70 WHEN rule IN ('SA4006', 'SA4010') THEN 55 WHEN rule = 'printf' THEN 50 WHEN rule IN ('SA1029', 'structtag') THEN 45 WHEN rule IN ('SA1019', 'vet.other') THEN 40
+  WHEN rule = 'assign' THEN 35 WHEN rule = 'unreachable' THEN 30 WHEN rule = 'SA9003' THEN 25
+  WHEN rule LIKE 'SA2%' THEN 70 WHEN rule LIKE 'SA5%' THEN 65 WHEN rule LIKE 'SA1%' THEN 45 WHEN rule LIKE 'SA4%' THEN 45 WHEN rule LIKE 'SA6%' THEN 25 WHEN rule LIKE 'SA9%' THEN 40
+  WHEN rule LIKE 'S1%' THEN 15 WHEN rule LIKE 'ST1%' THEN 10 WHEN rule LIKE 'QF1%' THEN 10 ELSE 40 END"""
+VET_RULE = """CASE WHEN lower(message) LIKE '%cancel function%' OR lower(message) LIKE '%lost cancel%' THEN 'lostcancel' WHEN lower(message) LIKE '%passes lock by value%' OR lower(message) LIKE '%copies lock value%' THEN 'copylocks'
+  WHEN lower(message) LIKE '%loop variable%' THEN 'loopclosure' WHEN lower(message) LIKE '%unreachable code%' THEN 'unreachable' WHEN lower(message) LIKE '%format%' OR lower(message) LIKE '%printf%' THEN 'printf'
+  WHEN lower(message) LIKE '%self-assignment%' THEN 'assign' WHEN lower(message) LIKE '%possible misuse of%' THEN 'unsafeptr' WHEN lower(message) LIKE '%struct field%' OR lower(message) LIKE '%struct tag%' THEN 'structtag' ELSE 'vet.other' END"""
+NOLINT = r"//\s*nolint(?::\s*([\w\-,\s]+))?"
+LINT_IGNORE = r"//\s*lint:ignore\s+([\w,\s]+)"
+FILE_IGNORE = r"//\s*lint:file-ignore\s+([\w,\s]+)"
 PRIORITY = "CASE WHEN score >= 80 THEN 'critical' WHEN score >= 55 THEN 'high' WHEN score >= 30 THEN 'medium' ELSE 'low' END"
 IS_TEST = "ends_with({0}, '_test.go') OR starts_with({0}, 'testdata/') OR contains({0}, '/testdata/')"
 IS_VENDORED = "starts_with({0}, 'vendor/') OR contains({0}, '/vendor/')"
@@ -57,9 +64,9 @@ _NAMES = """['all'] || CASE WHEN lower(tool) = 'go vet' THEN ['govet', 'vet'] WH
 
 
 def nolint(line: str) -> str:
-    listed = f"regexp_extract({line}, '{R.NOLINT}', 1)"
+    listed = f"regexp_extract({line}, '{NOLINT}', 1)"
     hit = f"list_filter(list_transform(string_split({listed}, ','), lambda x: trim(lower(x), {_BLANK})), lambda x: list_contains({_NAMES}, x))[1]"
-    return f"CASE WHEN {line} IS NULL OR NOT regexp_matches({line}, '{R.NOLINT}') THEN '' WHEN trim({listed}) = '' THEN 'nolint' ELSE coalesce('nolint:' || {hit}, '') END"
+    return f"CASE WHEN {line} IS NULL OR NOT regexp_matches({line}, '{NOLINT}') THEN '' WHEN trim({listed}) = '' THEN 'nolint' ELSE coalesce('nolint:' || {hit}, '') END"
 
 
 def listed(rules: str) -> str:
@@ -71,12 +78,12 @@ gen AS (
   SELECT doc_id FROM (
     SELECT doc_id, min(line_no) FILTER (regexp_matches(trim(text, {_BLANK}), '^// Code generated .* DO NOT EDIT\\.$')) AS m, min(line_no) FILTER (starts_with(trim(text, {_BLANK}), 'package ')) AS p
     FROM sl WHERE line_no <= 20 GROUP BY doc_id) WHERE m < coalesce(p, 21)),
-fi AS (SELECT doc_id, line_no, regexp_extract(text, '{R.FILE_IGNORE}', 1) AS rules FROM sl WHERE line_no <= 50 AND regexp_matches(text, '{R.FILE_IGNORE}')),
+fi AS (SELECT doc_id, line_no, regexp_extract(text, '{FILE_IGNORE}', 1) AS rules FROM sl WHERE line_no <= 50 AND regexp_matches(text, '{FILE_IGNORE}')),
 hit AS (SELECT d.*, (SELECT first(trim(fi.rules) ORDER BY fi.line_no) FROM fi WHERE fi.doc_id = d.doc_id AND {listed('fi.rules')}) AS fhit FROM dd d),
 sup AS (
   SELECT d.*, {IS_TEST.format('d.file')} AS is_test, {IS_VENDORED.format('d.file')} AS is_vendored, d.doc_id IN (SELECT doc_id FROM gen) AS is_generated,
     CASE WHEN d.line < 1 THEN '' ELSE coalesce('lint:file-ignore ' || fhit, nullif({nolint('h.text')}, ''), nullif({nolint('a.text')}, ''),
-      CASE WHEN regexp_matches(a.text, '{R.LINT_IGNORE}') AND {listed(f"regexp_extract(a.text, '{R.LINT_IGNORE}', 1)")} THEN 'lint:ignore ' || trim(regexp_extract(a.text, '{R.LINT_IGNORE}', 1)) END, '') END AS directive,
+      CASE WHEN regexp_matches(a.text, '{LINT_IGNORE}') AND {listed(f"regexp_extract(a.text, '{LINT_IGNORE}', 1)")} THEN 'lint:ignore ' || trim(regexp_extract(a.text, '{LINT_IGNORE}', 1)) END, '') END AS directive,
     {PRIOR} AS prior
   FROM hit d LEFT JOIN sl h ON h.doc_id = d.doc_id AND h.line_no = d.line LEFT JOIN sl a ON a.doc_id = d.doc_id AND a.line_no = d.line - 1),
 sc AS (
