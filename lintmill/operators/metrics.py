@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lintmill.operators.order import numbered
+
 
 def _ratio(a, b):
     return F.when(b == 0, 0.0).otherwise(a / b)
@@ -20,10 +21,10 @@ def confusion(predictions: DataFrame) -> DataFrame:
 
 
 def auc(predictions: DataFrame) -> DataFrame:
-    """Area under the ROC curve by ranks, ties averaged; NaN with one class. Ranks come from counts per score, so that no task needs all rows."""
-    per = predictions.groupBy("score").agg(F.count("*").alias("n"), F.count_if(F.col("y") == 1).alias("pos"))
-    below = F.coalesce(F.sum("n").over(W.orderBy("score").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    sums = per.withColumn("below", below).agg(F.sum(F.col("pos") * (F.col("below") + (F.col("n") + 1) / 2)).alias("r"), F.sum("pos").alias("p"), F.sum(F.col("n") - F.col("pos")).alias("q"))
+    """Area under the ROC curve by ranks, ties averaged; NaN with one class. Ranks are places in a distributed sort, so that no task needs all scores."""
+    placed = numbered(predictions.select("y", "score"), "score")
+    per = placed.groupBy("score").agg(F.avg("place").alias("rank"), F.count("*").alias("n"), F.count_if(F.col("y") == 1).alias("pos"))
+    sums = per.agg(F.sum(F.col("pos") * F.col("rank")).alias("r"), F.sum("pos").alias("p"), F.sum(F.col("n") - F.col("pos")).alias("q"))
     p, q = F.col("p").cast("double"), F.col("q").cast("double")
     return sums.select(F.when((p == 0) | (q == 0), F.lit(float("nan"))).otherwise((F.col("r") - p * (p + 1) / 2) / (p * q)).alias("auc"))
 
