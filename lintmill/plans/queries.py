@@ -13,6 +13,7 @@ from lintmill.operators import evidence as E
 from lintmill.operators import findings as O
 from lintmill.operators import graph as G
 from lintmill.operators import metrics as M
+from lintmill.operators.vectors import nearest
 from lintmill.plans import sql as Q
 from lintmill.sources import text as X
 from lintmill.sources.tables import attempts, edges, findings_raw, source_lines, table, tool_attempts
@@ -619,14 +620,9 @@ def prj35_softmax(spark, sf_dir):
 @query("dsg13_rerank", """WITH s AS (SELECT q.vec_id AS qid, e.vec_id, round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 6) AS cosine FROM embeddings q, embeddings e WHERE q.vec_id % 20 = 0 AND e.vec_id <> q.vec_id)
 SELECT qid, vec_id, cosine, row_number() OVER (PARTITION BY qid ORDER BY cosine DESC, vec_id) AS place FROM s QUALIFY place <= 5""")
 def dsg13_rerank(spark, sf_dir):
-    """Top five neighbours among all others of every vector whose id is divisible by 20; pairs come from blocks of both sides, nothing is broadcast."""
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    e = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v")).withColumn("norm", F.sqrt(dot("v", "v")))
-    q = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), F.col("v").alias("q"), F.col("norm").alias("q_norm"))
-    cosine = F.round(dot("q", "v") / (F.col("q_norm") * F.col("norm")), 6)
-    s = e.join(q.hint("shuffle_replicate_nl"), F.col("vec_id") != F.col("qid")).select("qid", "vec_id", cosine.alias("cosine"))
-    best = s.withColumn("place", F.row_number().over(W.partitionBy("qid").orderBy(F.desc("cosine"), "vec_id"))).where("place <= 5")
-    return best.withColumn("place", F.col("place").cast("bigint"))
+    """Top five neighbours among all others of every vector whose id is divisible by 20."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("v"))
+    return nearest(e, e.where("vec_id % 20 = 0"), 5)
 
 
 @query("dsg16_stratified_sample", """SELECT source, doc_id FROM documents QUALIFY row_number() OVER (PARTITION BY source ORDER BY sha256('7' || doc_id), doc_id) <= 3""")

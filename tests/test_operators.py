@@ -9,6 +9,7 @@ from lintmill.operators import evidence as E
 from lintmill.operators import findings as O
 from lintmill.operators import graph as G
 from lintmill.operators import metrics as M
+from lintmill.operators.vectors import nearest
 from lintmill.operators.order import numbered, numbered_within
 from lintmill.plans import sql as Q
 from lintmill.plans.queries import QUERIES, classified
@@ -206,3 +207,16 @@ def test_gate_globs_and_evidence(spark):
     f = rows(spark, [("r", "h", p, 1, i, 90, "high", "x", e) for i, (p, e) in enumerate([("a/b.go", "static_fact"), ("vendor/a.go", "static_fact"), ("x/vendor/a.go", "static_fact"), ("a/c_generated.go", "reproduced"), ("a.go", "hypothesis")])], schema)
     gates = rows(spark, [("", "high", "static_fact", ["vendor/**", "**/*_generated.go"], [], 9)], "repo string, min_priority string, min_evidence string, exclude array<string>, disabled array<string>, max_comments int")
     assert {r.file for r in O.gated(f, gates).collect()} == {"a/b.go", "x/vendor/a.go"}
+
+
+def test_nearest_in_blocks_with_ties_and_zero_vectors(spark):
+    data = [(i, [float(i % 5), 1.0, float(i % 3)]) for i in range(40)] + [(100, [0.0, 0.0, 0.0]), (101, None), (None, [1.0, 1.0, 1.0])]
+    v = rows(spark, data, "vec_id bigint, v array<double>").repartition(3)
+    norm = lambda x: sum(a * a for a in x) ** 0.5
+    want = set()
+    for q, x in data[:40:4]:
+        ranked = sorted((-round(sum(a * b for a, b in zip(x, y, strict=True)) / norm(x) / norm(y), 6), i) for i, y in data[:40] if i != q)
+        want |= {(q, i, -c, p) for p, (c, i) in enumerate(ranked[:3], 1)}
+    for block in (1024, 3):
+        assert {tuple(r) for r in nearest(v, v.where("vec_id % 4 = 0"), 3, block).collect()} == want
+    assert nearest(v.limit(0), v, 3).count() == 0 and nearest(v, v.limit(0), 3).count() == 0
