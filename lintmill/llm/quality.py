@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lintmill.llm.common import SPACE, let
+from lintmill.llm.common import SPACE, fresh, let
 
 WINDOW = 5
 MIN_WORDS = 10
@@ -21,11 +21,18 @@ MIN_WORDS = 10
 SIGNS, SEPARATORS = "#*$%&<>", "|»›•"
 SHORT_LINE, LONG_LINE = 4, 8
 MARKS = "[.,!?;:…]"
+#: Phrases of notices and menus in English, German, Spanish and French; a dot stands for an accented letter in either case.
 BOILERPLATE = (
     "(?i)all rights reserved|cookie polic|privacy polic|terms of (use|service)|uses? cookies|enable javascript|click here|"
-    "sign up (now|for)|subscribe to our|skip to (main )?content|follow us on|share this|licen[sc]ed under|copyright (\\(c\\)|©|[0-9]{4})|lorem ipsum"
+    "sign up (now|for)|subscribe to our|skip to (main )?content|follow us on|share this|licen[sc]ed under|copyright (\\(c\\)|©|[0-9]{4})|lorem ipsum|"
+    "alle rechte vorbehalten|datenschutzerkl|verwendet cookies|hier klicken|newsletter abonnieren|"
+    "todos los derechos|pol.tica de (cookies|privacidad)|utiliza cookies|haga clic|s.guenos en|"
+    "tous droits r.serv|politique de confidentialit|utilise des cookies|cliquez ici|suivez-nous"
+)
+NAVIGATION = (
+    "(?i)^\\W*((home|menu|login|log in|sign in|register|search|about( us)?|contact( us)?|next|previous|back to top|faq|help|sitemap|"
+    "startseite|anmelden|suche|kontakt|impressum|weiter|inicio|buscar|contacto|siguiente|anterior|accueil|connexion|recherche|suivant)\\W*)+$"
 )
-NAVIGATION = "(?i)^\\W*((home|menu|login|log in|sign in|register|search|about( us)?|contact( us)?|next|previous|back to top|faq|help|sitemap)\\W*)+$"
 
 
 def split_words(text: Column) -> Column:
@@ -78,33 +85,35 @@ def line_fails(line: Column) -> Column:
 
 
 def measured(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with the struct __q: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, text.
+    """``docs`` with a struct as last column: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, text.
 
-    __q.text is the text without failed lines. A null text has no words and fails the base rules; its __q.text is null. Repeated rows are
-    judged each by itself. All columns of ``docs`` pass through.
+    It is named __q, with more underscores if ``docs`` has such a column. Its text is the text without failed lines. A null text has no words
+    and fails the base rules, and the struct's text is null then; an empty text fails them too. A text of any length is judged whole. Repeated
+    rows are judged each by itself; an empty table gives no rows. All columns of ``docs`` pass through.
     """
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     worded = F.filter(F.split(text, "\n"), lambda x: x.rlike(f"[^{SPACE}]"))
     long = lambda c: c.cast("bigint")
-    base = docs.withColumn("__words", split_words(text))
-    base = base.withColumn(
-        "__base",
-        F.struct(
-            long(F.size("__words")).alias("n_words"),
-            long(F.length(F.array_join("__words", ""))).alias("word_chars"),
+    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+
+    def counted(words: Column) -> Column:
+        return F.struct(
+            long(F.size(words)).alias("n_words"),
+            long(F.length(F.array_join(words, ""))).alias("word_chars"),
             long(_count(text, "#*$%&|<>")).alias("n_symbols"),
             long(let(worded, lambda x: F.size(x) - F.size(F.array_distinct(x)))).alias("n_dup_lines"),
-            repeated_words(F.col("__words")).alias("n_repeat_words"),
+            repeated_words(words).alias("n_repeat_words"),
             F.filter(F.split(F.col(f"`{text_col}`"), "\n"), lambda x: ~line_fails(x)).alias("lines"),
-        ),
-    )
-    b = F.col("__base")
-    failed = (b["n_words"] < MIN_WORDS) | (b["n_repeat_words"] * 100 > b["n_words"] * 20)
-    left = F.aggregate(b["lines"], F.lit(0).cast("bigint"), lambda total, x: total + F.size(split_words(x)))
-    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-    kept = F.when(failed, False).otherwise(left * 2 >= b["n_words"])
-    out = F.struct(*(b[n].alias(n) for n in names), failed.alias("base_failed"), kept.alias("kept"), F.array_join(b["lines"], "\n").alias("text"))
-    return base.withColumn("__q", out).drop("__words", "__base")
+        )
+
+    def judged(b: Column) -> Column:
+        failed = (b["n_words"] < MIN_WORDS) | (b["n_repeat_words"] * 100 > b["n_words"] * 20)
+        left = F.aggregate(b["lines"], F.lit(0).cast("bigint"), lambda total, x: total + F.size(split_words(x)))
+        kept = F.when(failed, False).otherwise(F.coalesce(left * 2 >= b["n_words"], F.lit(False)))
+        return F.struct(*(b[n].alias(n) for n in names), failed.alias("base_failed"), kept.alias("kept"), F.array_join(b["lines"], "\n").alias("text"))
+
+    # what makes rows of an array is never computed twice, as a filter and as a column
+    return docs.select("*", F.explode(F.array(let(let(split_words(text), counted), judged))).alias(fresh(docs, "__q")))
 
 
 def report(docs: DataFrame) -> DataFrame:
@@ -115,9 +124,10 @@ def report(docs: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame) -> DataFrame:
     """The documents that are kept, without their failed lines, with their own columns; n_chars follows the text."""
-    q = measured(docs).where("__q.kept")
-    new = {"text": F.col("__q.text"), "n_chars": F.length("__q.text").cast("bigint")}
-    return q.select(*(new[c].alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns))
+    found = measured(docs)
+    q = F.col(found.columns[-1])
+    new = {"text": q["text"], "n_chars": F.length(q["text"]).cast("bigint")}
+    return found.where(q["kept"]).select(*(new[c].alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns))
 
 
 _W = "[\\x20\\x09-\\x0D]+"
