@@ -6,8 +6,9 @@ its positions sorted by the words that follow, to the depth of a window. Positio
 length can start, because a foreign word is too near, are left out. Every test suffix is looked up by two binary searches for its
 first ``window`` words, which give all locations; neighbouring hits on one diagonal join to the longest verbatim match.
 
-A document is never split, so that no shard depends on another and nothing is shuffled. The benchmark is broadcast in blocks of at
-most ``BLOCK_BYTES``; a larger benchmark takes several passes inside the same stage.
+A document is never split, so that no shard depends on another and nothing is shuffled. A benchmark of at most ``BLOCK_BYTES`` is broadcast. A
+larger one is dealt to blocks of about that size by the hashes of its ids; one block at a time is broadcast and dropped again, its hits are
+written, and the hits of all blocks are joined with the documents at the end.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lintmill.llm.common import binaries, mapped, schema_with, slices
+from lintmill.llm.common import binaries, fresh, mapped, slices, spread_join, written
 
 WINDOW = 10
 SHARD_BYTES = 8 << 20
@@ -56,7 +57,9 @@ class Benchmark:
                 at[m][tuple(ids[start : start + m])].append((item, start))
         self.lengths = sorted(at)
         self.windows = {m: np.array(list(at[m]), dtype=np.int64) for m in at}
-        self.owners = {m: [np.array(x, dtype=np.int64) for x in at[m].values()] for m in at}
+        #: for every window, where items have it: the item's number in the high half, the place in the low half, ascending
+        self.owners = [np.array([item << 32 | start for item, start in x], dtype=np.int64) for m in self.lengths for x in at[m].values()]
+        self.first = dict(zip(self.lengths, np.cumsum([0, *(len(at[m]) for m in self.lengths)]).tolist(), strict=False))
 
     def keys(self, ids: np.ndarray, n: int) -> np.ndarray:
         """For each of the first n positions, the next ``per_key`` word numbers packed into one integer."""
@@ -66,8 +69,8 @@ class Benchmark:
         return key
 
     def search(self, ids: np.ndarray) -> np.ndarray:
-        """Rows (location, length, item, start in the item) of every window of every item in the shard ``ids``."""
-        none = np.zeros((0, 4), dtype=np.int64)
+        """Rows (location, length, number of the window) of every window of every item in the shard ``ids``."""
+        none = np.zeros((0, 3), dtype=np.int64)
         if not self.lengths or not len(ids):
             return none
         least, depth = self.lengths[0], self.lengths[-1]
@@ -90,8 +93,8 @@ class Benchmark:
             high = self._packed(self.windows[m], levels, (1 << self.bits) - 1)
             first, last = self._bisect(columns, low, False), self._bisect(columns, high, True)
             for q in np.flatnonzero(last > first):
-                where, owners = suffixes[first[q] : last[q]], self.owners[m][q]
-                found.append(np.column_stack([np.repeat(where, len(owners)), np.full(len(where) * len(owners), m), np.tile(owners, (len(where), 1))]))
+                where = suffixes[first[q] : last[q]]
+                found.append(np.column_stack([where, np.full(len(where), m), np.full(len(where), self.first[m] + q)]))
         return np.concatenate(found)
 
     def _packed(self, windows: np.ndarray, levels: int, fill: int) -> list[np.ndarray]:
@@ -131,14 +134,28 @@ def _merged(starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def _longest(hits: np.ndarray) -> list[tuple[int, int, int, int]]:
-    """Rows (item, item start, document start, words): hits on one diagonal that follow each other are one match."""
-    where, m, item, start = hits[np.lexsort((hits[:, 0], hits[:, 0] - hits[:, 3], hits[:, 2]))].T
-    new = np.ones(len(where), dtype=bool)
-    new[1:] = (item[1:] != item[:-1]) | (where[1:] - start[1:] != where[:-1] - start[:-1]) | (where[1:] != where[:-1] + 1)
-    heads = np.flatnonzero(new)
-    tails = np.append(heads[1:], len(where)) - 1
-    return list(zip(item[heads].tolist(), start[heads].tolist(), where[heads].tolist(), (where[tails] + m[tails] - where[heads]).tolist(), strict=True))
+def _longest(hits: np.ndarray, bench: Benchmark) -> list[tuple[str, int, int, int]]:
+    """Rows (item, item start, document start, words): hits that follow each other in one item are one match, as long as it can be to both sides.
+
+    Of several items with the same match the first is named; no match is listed for every owner of a window that many items share.
+    """
+    out = []
+    for m in np.unique(hits[:, 1]).tolist():
+        own = hits[hits[:, 1] == m]
+        own = own[np.argsort(own[:, 0])]
+        where, owners = own[:, 0].tolist(), [bench.owners[q] for q in own[:, 2].tolist()]
+        i = 0
+        while i < len(where):
+            active, j = owners[i], i
+            while j + 1 < len(where) and where[j + 1] == where[j] + 1 and len(more := np.intersect1d(active + 1, owners[j + 1], assume_unique=True)):
+                active, j = more, j + 1
+            active, k = active - (j - i), i
+            while k and where[k - 1] == where[k] - 1 and len(more := np.intersect1d(active - 1, owners[k - 1], assume_unique=True)):
+                active, k = more, k - 1
+            item, start = divmod(int(active[0]), 1 << 32)
+            out.append((bench.names[item], start, where[k], where[j] + m - where[k]))
+            i = j + 1
+    return sorted(out, key=lambda x: (x[2], x[3], x[0]))
 
 
 def scan(texts: list[bytes | None], bench: Benchmark, shard_bytes: int = SHARD_BYTES) -> list[tuple[int, list, list, list]]:
@@ -162,23 +179,80 @@ def scan(texts: list[bytes | None], bench: Benchmark, shard_bytes: int = SHARD_B
             if not len(own):
                 out.append((n, [], [], []))
                 continue
-            own = own - np.array([begin[k], 0, 0, 0])
-            items = sorted({bench.names[i] for i in np.unique(own[:, 2])})
-            longest = [(bench.names[i], s, d, length) for i, s, d, length in _longest(own)]
-            out.append((n, _merged(own[:, 0], own[:, 0] + own[:, 1]), items, longest))
+            own = own - np.array([begin[k], 0, 0])
+            items = {i for q in np.unique(own[:, 2]).tolist() for i in np.unique(bench.owners[q] >> 32).tolist()}
+            out.append((n, _merged(own[:, 0], own[:, 0] + own[:, 1]), sorted({bench.names[i] for i in items}), _longest(own, bench)))
     return out
 
 
-def _blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int) -> list[list[tuple[str, bytes]]]:
-    """The test items, a bounded block at a time."""
-    rows = benchmark.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("string"), F.col(text_col).cast("binary"))
-    blocks, size = [[]], 0
-    for name, text in rows.toLocalIterator(prefetchPartitions=False):
-        if size and size + len(text) > block_bytes:
-            blocks, size = [*blocks, []], 0
-        blocks[-1].append((name, bytes(text)))
-        size += len(text)
-    return blocks
+_FIELDS = [x.strip().split(" ", 1) for x in FOUND.split(", ")]
+
+
+def _columns(rows: list[tuple], kinds: list[pa.DataType]) -> list[pa.Array]:
+    """Spans, items and matches of scanned texts."""
+    spans = [[{"start": s, "end": e} for s, e in r[1]] for r in rows]
+    matches = [[dict(zip(("item_id", "item_start", "doc_start", "n_words"), m, strict=True)) for m in r[3]] for r in rows]
+    return [pa.array(x, type=kind) for x, kind in zip((spans, [r[2] for r in rows], matches), kinds, strict=True)]
+
+
+def _loaded(items: DataFrame, window: int):
+    """The broadcast index of some test items."""
+    return items.sparkSession.sparkContext.broadcast(Benchmark([(r[0], bytes(r[1])) for r in items.collect()], window))
+
+
+def _in_one(docs: DataFrame, items: DataFrame, text_col: str, window: int, names: list[str]) -> DataFrame:
+    shared, at = _loaded(items, window), docs.columns.index(text_col)
+    empty = [F.lit(0).cast("bigint"), *(F.expr(f"cast(array() as {kind})") for _, kind in _FIELDS[1:])]
+    out = docs.select("*", *(e.alias(n) for e, n in zip(empty, names, strict=True)))
+
+    def look(batches):
+        for batch in batches:
+            rows = scan(binaries(batch.column(at)), shared.value)
+            found = [pa.array([r[0] for r in rows], pa.int64()), *_columns(rows, [c.type for c in batch.columns[-3:]])]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-4], *found], schema=batch.schema)
+
+    return mapped(out, look, out.schema)
+
+
+def _in_blocks(docs: DataFrame, items: DataFrame, blocks: int, text_col: str, window: int, names: list[str]) -> DataFrame:
+    spark, text = docs.sparkSession, F.col(f"`{text_col}`").cast("string")
+    dealt = written(items.withColumn("block", F.pmod(F.xxhash64("item"), F.lit(blocks))), "benchmark")
+    texts = docs.where(text.isNotNull()).select(F.unhex(F.sha1(text.cast("binary"))).alias("key"), text.alias("text"))
+    shape = ", ".join(f"{n[2:]} {kind}" for n, kind in _FIELDS[1:])
+    hits = None
+    for block in range(blocks):
+        shared = _loaded(dealt.where(F.col("block") == block).select("item", "body"), window)
+        kinds = [pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.list_(pa.string()), pa.list_(pa.struct([("item_id", pa.string()), ("item_start", pa.int32()), ("doc_start", pa.int64()), ("n_words", pa.int32())]))]
+
+        def look(batches, shared=shared, kinds=kinds):
+            for batch in batches:
+                rows = scan(binaries(batch.column(1)), shared.value)
+                hit = np.flatnonzero([bool(r[1]) for r in rows])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(hit)), *_columns([rows[i] for i in hit], kinds)], names=["key", "spans", "items", "matches"])
+
+        # copies of one text have one row, made before the shuffle
+        found = mapped(texts, look, f"key binary, {shape}").groupBy("key").agg(*(F.first(c).alias(c) for c in ("spans", "items", "matches")), F.count("*").alias("n"))
+        found = written(found, "benchmark-hits")
+        shared.destroy()
+        hits = found if hits is None else hits.unionByName(found)
+    lists = [F.flatten(F.collect_list(c)).alias(c) for c in ("spans", "items", "matches")]  # of as many lists as blocks
+    hits = written(hits.groupBy("key").agg(F.max("n").alias("n"), *lists), "benchmark-hits")
+
+    def together(s):
+        """Sorted spans, those that touch made one."""
+        last = lambda a: F.element_at(a, -1)
+        grown = lambda a, x: F.concat(F.slice(a, 1, F.size(a) - 1), F.array(F.struct(last(a)["start"].alias("start"), F.greatest(last(a)["end"], x["end"]).alias("end"))))
+        return F.aggregate(F.array_sort(s), F.expr(f"cast(array() as {_FIELDS[1][1]})"), lambda a, x: F.when((F.size(a) > 0) & (F.try_element_at(a, F.lit(-1))["end"] >= x["start"]), grown(a, x)).otherwise(F.concat(a, F.array(x))))
+
+    key = fresh(docs, "key")
+    hits = hits.select(F.col("key").alias(key), "n", together(F.col("spans")).alias(names[1]), F.array_sort(F.array_distinct("items")).alias(names[2]), F.col("matches").alias(names[3]))
+    size = fresh(docs, "n")
+    keyed = docs.withColumn(key, F.unhex(F.sha1(text.cast("binary"))))
+    out = spread_join(keyed.where(F.col(key).isNotNull()), hits.withColumnRenamed("n", size), [key], docs.count(), size=size, how="left")
+    out = out.unionByName(keyed.where(F.col(key).isNull()), allowMissingColumns=True)
+    count = F.size(F.array_remove(F.split(F.coalesce(text, F.lit("")), "[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"), "")).cast("bigint")
+    none = [F.coalesce(F.col(n), F.expr(f"cast(array() as {kind})")).alias(n) for n, (_, kind) in zip(names[1:], _FIELDS[1:], strict=True)]
+    return out.select(*(F.col(f"`{c}`") for c in docs.columns), count.alias(names[0]), *none)
 
 
 def benchmark_matches(
@@ -186,35 +260,18 @@ def benchmark_matches(
 ) -> DataFrame:
     """``docs`` with __n_words, __spans (merged spans of hit words), __items (ids found) and __matches (longest verbatim matches).
 
-    A window is ``window`` consecutive words of an item, or the whole of a shorter item. Null and empty texts have no words and no
-    matches; benchmark rows without id or text are left out; an empty benchmark hits nothing; repeated rows each get their own
-    result. All columns of ``docs`` pass through unchanged, whatever their names.
+    A window is ``window`` consecutive words of an item, or the whole of a shorter item; items may have any length. Null and empty texts have no
+    words and no matches; benchmark rows without id or text are left out; an empty benchmark hits nothing; repeated rows each get their own
+    result, and items that repeat an id count once. An empty table gives no rows. All columns of ``docs`` pass through unchanged; if one has a name
+    that is added here, the added one gets underscores before it, so they are best found as the last four columns.
     """
-    spark = docs.sparkSession
-    out = docs.select("*", F.lit(0).cast("bigint").alias("__n_words"), *(F.expr(f"cast(array() as {kind})").alias(name) for name, kind in (x.strip().split(" ", 1) for x in FOUND.split(", ")[1:])))
-    schema = schema_with(docs, FOUND)
-    for items in _blocks(benchmark, item_id_col, item_text_col, block_bytes):
-        shared = spark.sparkContext.broadcast(Benchmark(items, window))
-        at = docs.columns.index(text_col)
-
-        def look(batches, shared=shared, at=at):
-            for batch in batches:
-                columns = list(batch.columns)
-                rows = scan(binaries(columns[at]), shared.value)
-                spans, names, matches = (columns[-k].to_pylist() for k in (3, 2, 1))
-                for i, (_, own_spans, own_items, own_matches) in enumerate(rows):
-                    if own_spans:
-                        both = [(x["start"], x["end"]) for x in spans[i]] + own_spans
-                        spans[i] = _merged(*np.array(both, dtype=np.int64).T) if spans[i] else own_spans
-                        spans[i] = [{"start": s, "end": e} for s, e in spans[i]]
-                        names[i] = sorted({*names[i], *own_items})
-                        matches[i] = matches[i] + [dict(zip(("item_id", "item_start", "doc_start", "n_words"), m, strict=True)) for m in own_matches]
-                kinds = [c.type for c in columns[-4:]]
-                found = [pa.array(x, type=kind) for x, kind in zip(([r[0] for r in rows], spans, names, matches), kinds, strict=True)]
-                yield pa.RecordBatch.from_arrays([*columns[:-4], *found], schema=batch.schema)
-
-        out = mapped(out, look, schema)
-    return out
+    names = [fresh(docs, n) for n, _ in _FIELDS]
+    items = benchmark.where(F.col(f"`{item_id_col}`").isNotNull() & F.col(f"`{item_text_col}`").isNotNull())
+    items = items.select(F.col(f"`{item_id_col}`").cast("string").alias("item"), F.col(f"`{item_text_col}`").cast("string").cast("binary").alias("body"))
+    size = items.agg(F.sum(F.octet_length("body"))).first()[0] or 0
+    if size <= block_bytes:
+        return _in_one(docs, items, text_col, window, names)
+    return _in_blocks(docs, items, -(-size // block_bytes), text_col, window, names)
 
 
 def report(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
@@ -234,4 +291,5 @@ def report(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The documents that hold no window of any benchmark item, with their own columns."""
-    return benchmark_matches(docs, benchmark, **options).where(F.size("__items") == 0).select(*[F.col(f"`{c}`") for c in docs.columns])
+    found = benchmark_matches(docs, benchmark, **options)
+    return found.where(F.size(found.columns[-2]) == 0).select(*[F.col(f"`{c}`") for c in docs.columns])
