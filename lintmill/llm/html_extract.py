@@ -25,7 +25,7 @@ from lintmill.llm.common import mapped
 TRAIN_PAGES = 200
 TRAIN_CHARS = 50_000
 #: A boilerplate container's prior is less than TEXT_LIMIT and the ties to both neighbours together; only hidden text is settled by its markup.
-PRIOR_HIDDEN, PRIOR_CHROME, PRIOR_ARTICLE, PRIOR_OUTSIDE = -9.0, -4.0, 5.0, -5.0
+PRIOR_HIDDEN, PRIOR_CHROME, PRIOR_ARTICLE, PRIOR_OUTSIDE = -9.0, -4.0, 3.0, -3.5
 TEXT_LIMIT = 2.5
 TIE_NEXT, TIE_NEXT_APART, TIE_PARENT, TIE_GRANDPARENT = 1.0, 0.3, 0.5, 0.25
 
@@ -34,14 +34,16 @@ _TOKEN = re.compile(
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)([^>]*+)>|<[!?/][^>]*+>",
     re.S | re.I,
 )
-_NAMES = re.compile(r"\b(?:class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
+_NAMES = re.compile(r"\b(class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _PARTS = re.compile(r"[a-z]+|\d+")
 
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data dfn em font i img input ins kbd label mark meter nobr output progress q rp rt ruby s samp small source span strike strong sub sup time tt u var wbr del picture".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-CHROME_TAGS = frozenset("nav footer aside form dialog menu button select option datalist fieldset svg template object canvas audio video map math head".split())
+CHROME_TAGS = frozenset("nav footer aside form dialog menu button select option datalist fieldset svg template object canvas audio video map head".split())
 ARTICLE_TAGS = frozenset(["article", "main"])
+#: Elements whose names say what they are about, not what they hold.
+UNNAMED = frozenset("html body h1 h2 h3 h4 h5 h6 a abbr b cite code dfn em i kbd mark math pre q s samp strong sub sup u var".split())
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "p": ("p",)}
 SCOPES = frozenset("ul ol dl table tbody thead select article section div main body aside nav footer header form td".split())
 CHROME_WORDS = frozenset(
@@ -61,15 +63,17 @@ def _role(tag: str, attributes: str, inside: bool) -> int:
         return -1
     if tag in ARTICLE_TAGS:
         return 1
-    if tag in ("html", "body") or not attributes:
+    if tag in UNNAMED or not attributes:
         return 0
     good = False
     for m in _NAMES.finditer(attributes):
-        for name in (m[1] or m[2] or m[3] or "").lower().split():
+        # an id inside an article is the anchor of a section about something, unless it ends with the name of a container
+        anchor = inside and m[1].lower() == "id"
+        for name in (m[2] or m[3] or m[4] or "").lower().split():
             parts = _PARTS.findall(name)
             if not parts or parts[0] in BLIND:
                 continue
-            if parts[-1] in CHROME_WORDS or parts[0] in CHROME_WORDS and not ARTICLE_WORDS & set(parts):
+            if parts[-1] in CHROME_WORDS and not (anchor and len(parts) > 1 and tag == "section") or parts[0] in CHROME_WORDS and not anchor and not ARTICLE_WORDS & set(parts):
                 if not (parts[-1] == "header" and inside):
                     return -1
             good |= bool(ARTICLE_WORDS & set(parts))
@@ -270,14 +274,16 @@ def _max_flow_side(rest: list[int], gain: list[float], near: list[dict[int, floa
                     turns[path[-1]] = iter(list(cap[path[-1]]))
 
 
-def label(blocks: list[Block], weights: list[float]) -> list[bool]:
-    """Which blocks are content."""
+def label(blocks: list[Block], weights: list[float], alone: list[bool] | None = None) -> list[bool]:
+    """Which blocks are content; ``alone`` gets what each would be without its ties."""
     has_article = any(b.article and not b.chrome for b in blocks)
     gain = []
     for b in blocks:
         own = sum(w * x for w, x in zip(weights, features(b), strict=True))
         prior = PRIOR_HIDDEN if b.hidden else PRIOR_CHROME if b.chrome else PRIOR_ARTICLE if b.article else PRIOR_OUTSIDE if has_article else 0.0
         gain.append(prior + max(-TEXT_LIMIT, min(TEXT_LIMIT, own)))
+    if alone is not None:
+        alone.extend(g > 0 for g in gain)
     edges, last = [], {}
     for i, b in enumerate(blocks):
         if i:
