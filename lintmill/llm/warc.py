@@ -26,7 +26,7 @@ from lintmill.llm.common import binaries, forget, mapped, shared_folder, slices,
 
 ARCHIVE_BYTES = 4 << 20
 MIN_BYTES = 0
-FILE_RECORDS, MEMBER_BYTES, LEVEL = 5000, 8 << 20, 4
+FILE_RECORDS, MEMBER_BYTES, LEVEL = 5000, 8 << 20, 6
 #: What ends a WARC record.
 END = b"\r\n\r\n"
 FIELDS_1 = b"URL IP-address Archive-date Content-type Archive-length"
@@ -178,8 +178,18 @@ def arc_to_warc(archives: DataFrame, content_col: str = "content") -> DataFrame:
 
 
 def pages_to_warc(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", body_col: str = "html") -> DataFrame:
-    """One row of RECORDS per page, by way of archives that never leave the worker."""
-    return mapped(_bodies(pages, id_col, url_col, body_col), lambda batches: (x for _, content in _archives(batches) for x in _records(content)), RECORDS)
+    """One row of RECORDS per page, by way of archives that never leave the worker; payloads are compressed, since they are stored and moved once more."""
+    return mapped(_bodies(pages, id_col, url_col, body_col), lambda batches: (_compressed(x) for _, content in _archives(batches) for x in _records(content)), RECORDS)
+
+
+def _codec() -> pa.Codec:
+    return pa.Codec("zstd", compression_level=3)
+
+
+def _compressed(records: pa.RecordBatch) -> pa.RecordBatch:
+    codec = _codec()
+    payloads = pa.array([codec.compress(x.as_buffer(), asbytes=True) for x in records.column("payload")], pa.binary())
+    return records.set_column(records.schema.get_field_index("payload"), "payload", payloads)
 
 
 def revisits(records: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
@@ -194,10 +204,11 @@ def revisits(records: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
     return later.where("key <> refers_to").select("key", *same, "refers_to", "refers_to_id").distinct()
 
 
-def _warc(record: dict) -> bytes:
+def _warc(record: dict, codec: pa.Codec | None) -> bytes:
     """A record without the two blank lines that end it."""
     revisit = record["refers_to"] is not None
-    block = record["http_head"] if revisit else record["http_head"] + record["payload"]
+    payload = b"" if revisit else codec.decompress(record["payload"], record["payload_bytes"], asbytes=True) if codec else record["payload"]
+    block = record["http_head"] + payload
     lines = [
         "WARC/1.1",
         f"WARC-Type: {'revisit' if revisit else record['warc_type']}",
@@ -224,14 +235,14 @@ def _members(record: bytes) -> bytes:
     return b"".join(gzip.compress(x, LEVEL, mtime=0) for x in parts)[:-1]
 
 
-def write_warc(records: DataFrame, path: str) -> None:
+def write_warc(records: DataFrame, path: str, compressed: bool = False) -> None:
     """Write RECORDS with columns refers_to and refers_to_id (null: none) as WARC files of at most ``FILE_RECORDS`` records under ``path``."""
     about = b"software: lintmill\r\nformat: WARC File Format 1.1\r\n"
     head = f"WARC/1.1\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, path)}>\r\nWARC-Date: 2024-01-01T00:00:00Z\r\nContent-Type: application/warc-fields\r\nContent-Length: {len(about)}\r\n\r\n"
     info = _members(head.encode() + about + END)
 
     def run(batches):
-        written_rows = 0
+        written_rows, codec = 0, _codec() if compressed else None
         for batch in batches:
             for lo in range(0, batch.num_rows, 500):
                 rows = []
@@ -239,7 +250,7 @@ def write_warc(records: DataFrame, path: str) -> None:
                     if written_rows % FILE_RECORDS == 0:  # Spark begins a new file after as many rows
                         rows.append(info)
                         written_rows += 1
-                    rows.append(_members(_warc(r) + END))
+                    rows.append(_members(_warc(r, codec) + END))
                     written_rows += 1
                 yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], names=["value"])
 
@@ -314,7 +325,7 @@ def round_trip(pages: DataFrame, *, min_bytes: int = MIN_BYTES, path: str | None
     same = ["key", "payload_digest", "payload_bytes"]
     named = records.where("key is not null").join(revisits(records, min_bytes), same, "left")
     none = F.lit(None)
-    write_warc(named.unionByName(records.where("key is null").withColumns({"refers_to": none.cast("bigint"), "refers_to_id": none.cast("string")})), path)
+    write_warc(named.unionByName(records.where("key is null").withColumns({"refers_to": none.cast("bigint"), "refers_to_id": none.cast("string")})), path, compressed=True)
     forget(records)
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
