@@ -25,7 +25,7 @@ from lintmill.llm.common import binaries, fresh, mapped, slices, spread_join, wr
 
 WINDOW = 10
 SHARD_BYTES = 8 << 20
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 4 << 20
 FOUND = (
     "__n_words bigint, __spans array<struct<start:bigint,end:bigint>>, __items array<string>, "
     "__matches array<struct<item_id:string,item_start:int,doc_start:bigint,n_words:int>>"
@@ -49,17 +49,22 @@ class Benchmark:
         self.vocabulary = {w: i for i, w in enumerate(sorted({x for w in cut for x in w}), 1)}
         self.bits = max(1, len(self.vocabulary).bit_length())
         self.per_key = max(1, 63 // self.bits)
-        at: dict[int, dict[tuple[int, ...], list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
+        at: dict[int, list[tuple[np.ndarray, np.ndarray]]] = defaultdict(list)
         for item, w in enumerate(cut):
-            ids = [self.vocabulary[x] for x in w]
-            m = min(window, len(ids))
-            for start in range(len(ids) - m + 1):
-                at[m][tuple(ids[start : start + m])].append((item, start))
-        self.lengths = sorted(at)
-        self.windows = {m: np.array(list(at[m]), dtype=np.int64) for m in at}
-        #: for every window, where items have it: the item's number in the high half, the place in the low half, ascending
-        self.owners = [np.array([item << 32 | start for item, start in x], dtype=np.int64) for m in self.lengths for x in at[m].values()]
-        self.first = dict(zip(self.lengths, np.cumsum([0, *(len(at[m]) for m in self.lengths)]).tolist(), strict=False))
+            ids, m = np.fromiter(map(self.vocabulary.__getitem__, w), dtype=np.int32, count=len(w)), min(window, len(w))
+            at[m].append((np.lib.stride_tricks.sliding_window_view(ids, m), (item << 32) + np.arange(len(ids) - m + 1)))
+        self.lengths, self.windows, self.first = sorted(at), {}, {}
+        owners, sizes, before = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)], 0
+        for m in self.lengths:
+            self.windows[m], which = np.unique(np.concatenate([x for x, _ in at[m]]), axis=0, return_inverse=True)
+            owners.append(np.concatenate([x for _, x in at[m]])[np.argsort(which.ravel(), kind="stable")])
+            sizes.append(np.bincount(which.ravel()))
+            self.first[m], before = before, before + len(self.windows[m])
+        self.owned, self.bound = np.concatenate(owners), np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
+
+    def owners(self, q: int) -> np.ndarray:
+        """Where items have window q: the item's number in the high half, the place in the low half, ascending."""
+        return self.owned[self.bound[q] : self.bound[q + 1]]
 
     def keys(self, ids: np.ndarray, n: int) -> np.ndarray:
         """For each of the first n positions, the next ``per_key`` word numbers packed into one integer."""
@@ -143,7 +148,7 @@ def _longest(hits: np.ndarray, bench: Benchmark) -> list[tuple[str, int, int, in
     for m in np.unique(hits[:, 1]).tolist():
         own = hits[hits[:, 1] == m]
         own = own[np.argsort(own[:, 0])]
-        where, owners = own[:, 0].tolist(), [bench.owners[q] for q in own[:, 2].tolist()]
+        where, owners = own[:, 0].tolist(), [bench.owners(q) for q in own[:, 2].tolist()]
         i = 0
         while i < len(where):
             active, j = owners[i], i
@@ -180,7 +185,7 @@ def scan(texts: list[bytes | None], bench: Benchmark, shard_bytes: int = SHARD_B
                 out.append((n, [], [], []))
                 continue
             own = own - np.array([begin[k], 0, 0])
-            items = {i for q in np.unique(own[:, 2]).tolist() for i in np.unique(bench.owners[q] >> 32).tolist()}
+            items = {i for q in np.unique(own[:, 2]).tolist() for i in np.unique(bench.owners(q) >> 32).tolist()}
             out.append((n, _merged(own[:, 0], own[:, 0] + own[:, 1]), sorted({bench.names[i] for i in items}), _longest(own, bench)))
     return out
 
