@@ -31,6 +31,8 @@ SIGNATURE_BYTES, WIDE_BYTES = 64, 4096
 LEAF, BLOCK, PIVOTS = 16, 1024, 16
 #: What a block's sets hold together, but for single larger sets.
 BLOCK_TOKENS = 1 << 20
+#: Components are found in files of so many edges, four at least.
+EDGES_PER_FILE = 200_000
 #: A token is frequent in so many documents, or in one of a thousand; at most so many go last.
 FREQUENT, FREQUENT_LIMIT = 50, 200_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -264,14 +266,15 @@ def components(edges: DataFrame) -> DataFrame:
     edges = written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     state = lambda e: tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
     old = state(edges)
+    files = old[0] // EDGES_PER_FILE + 4
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
         large = spread_join(both, least, ["u"], 2 * old[0]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        large = written(large, "edges")
+        large = written(large.coalesce(files), "edges")
         lower = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
         small = spread_join(large, lower, ["u"], old[0]).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(lower.select("u", F.col("m").alias("v"))).distinct()
-        new = written(small, "edges")
+        new = written(small.coalesce(files), "edges")
         forget(edges, large)
         edges, now = new, state(new)
         if now == old:
@@ -480,7 +483,7 @@ def jaccard_components(docs: DataFrame, *, k: int = WORDS, num: int = NUM, den:
 
 
 def drop_near_copies(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
-    """One document of each group stays, that of the smallest id; ``docs`` keeps its columns. Rows with a null id stay unless an equal text has an id."""
+    """One document of each group stays, that of the smallest id; ``docs`` keeps its columns. Rows with a null id can't be named and stay; repeated rows of the id that stays all do."""
     gone = fresh(docs, "gone")
     found = jaccard_components(docs, id_col=id_col, **options).where("doc_id <> component_id").select(F.col("doc_id").alias(gone)).distinct()
     return docs.join(found, docs[f"`{id_col}`"].cast("bigint") == found[gone], "left_anti")
