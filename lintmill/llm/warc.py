@@ -27,6 +27,8 @@ from lintmill.llm.common import binaries, forget, mapped, shared_folder, slices,
 ARCHIVE_BYTES = 4 << 20
 MIN_BYTES = 0
 FILE_RECORDS, MEMBER_BYTES, LEVEL = 5000, 8 << 20, 6
+#: So many revisits, of some 150 bytes each, are broadcast instead of moving all payloads.
+BROADCAST_ROWS = 100_000
 #: What ends a WARC record.
 END = b"\r\n\r\n"
 FIELDS_1 = b"URL IP-address Archive-date Content-type Archive-length"
@@ -323,7 +325,10 @@ def round_trip(pages: DataFrame, *, min_bytes: int = MIN_BYTES, path: str | None
     path = path or shared_folder(spark, "warc")
     records = written(pages_to_warc(pages), "records", "zstd")
     same = ["key", "payload_digest", "payload_bytes"]
-    named = records.where("key is not null").join(revisits(records, min_bytes), same, "left")
+    earlier = written(revisits(records, min_bytes), "revisits")
+    if earlier.count() <= BROADCAST_ROWS:  # else the records move to them
+        earlier = F.broadcast(earlier)
+    named = records.where("key is not null").join(earlier, same, "left")
     none = F.lit(None)
     write_warc(named.unionByName(records.where("key is null").withColumns({"refers_to": none.cast("bigint"), "refers_to_id": none.cast("string")})), path, compressed=True)
     forget(records)

@@ -53,6 +53,21 @@ def test_reports_do_not_read_clashing_columns(clashing, spark):
     assert scanned.columns[: len(clashing.columns)] == clashing.columns and scanned.columns[-1] == "___spans"
 
 
+def test_blocks_of_few_tokens_lose_no_link(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK_TOKENS", 100)
+    words = [f"w{i}" for i in range(60)]
+    docs = [(i, " ".join([*words[:-1], f"x{i}"] if i % 3 else words[: 30 + i])) for i in range(40)]
+    got = {r.doc_id: r.component_id for r in jaccard.jaccard_components(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()}
+    sets = {i: {tuple(w[k : k + 5]) for w in [t.split()] for k in range(len(w) - 4)} for i, t in docs}
+    want = {i: i for i in sets}
+    for _ in sets:
+        for a in sets:
+            for b in sets:
+                if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                    want[a] = min(want[a], want[b])
+    assert got == want
+
+
 def test_one_id_with_two_texts_in_the_join(spark):
     words = [f"w{i}" for i in range(60)]
     one, near, other = " ".join(words), " ".join([*words[:-1], "x"]), " ".join(f"v{i}" for i in range(60))
@@ -61,7 +76,9 @@ def test_one_id_with_two_texts_in_the_join(spark):
     assert runs[0] == runs[1] and {r[0] for r in runs[0]} == {1, 2, 3} and all(r[2] == 1 for r in runs[0] if r[0] == 1)
 
 
-def test_repeated_page_ids_keep_their_own_payload(spark):
+@pytest.mark.parametrize("most", [0, 100_000])
+def test_repeated_page_ids_keep_their_own_payload(spark, monkeypatch, most):
+    monkeypatch.setattr(warc, "BROADCAST_ROWS", most)
     rows = [(1, "u", "same"), (2, "u", "same"), (2, "u", "different"), (3, "u", "different"), (3, "u", "different"), (None, "u", "same"), (None, None, None)]
     df = spark.createDataFrame([(*r, "k", 7) for r in rows], "page_id bigint, url string, html string, key string, payload int").repartition(3)
     got = collections.Counter((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in warc.round_trip(df).collect())
