@@ -15,7 +15,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lintmill.llm.common import let
+from lintmill.llm.common import fresh, let
 from lintmill.llm.quality import split_words
 
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-=."
@@ -71,12 +71,18 @@ def _base(text: Column) -> Column:
 
 
 def sample(spark: SparkSession, docs: DataFrame, n_strings: int = SAMPLE_STRINGS, n_docs: int = SAMPLE_DOCS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Labelled strings (text, secret): ``n_strings`` random ones, and the words of ``n_docs`` documents, alone and joined to identifiers."""
+    """Labelled strings (text, secret): ``n_strings`` random ones, and the words of ``n_docs`` documents, alone and joined to identifiers.
+
+    What the fixed patterns match is taken out of the documents first, so that their secrets don't count as ordinary. Null ids and texts add nothing.
+    """
     coded = F.base64(F.unhex(F.sha2(F.concat(F.lit("s"), F.col("id")), 256)))
     shapes = F.array(coded, F.translate(coded, "+/=", "xQ7"), F.translate(coded, "+/=", "-_"), F.upper(F.translate(coded, "+/=", "9B")), F.sha2(F.concat(F.lit("h"), F.col("id")), 224))
     secrets = spark.range(n_strings).select(F.get(shapes, (F.col("id") % 5).cast("int")).alias("text"), F.lit(True).alias("secret"))
     ids = [r[0] for r in docs.select(id_col).where(F.col(id_col).isNotNull()).orderBy(id_col).limit(n_docs).collect()]
-    words = docs.where(F.col(id_col).isin(ids)).select(F.filter(split_words(F.coalesce(text_col, F.lit(""))), lambda w: w.rlike("^[A-Za-z0-9_.-]{2,60}$")).alias("w"))
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    for _, pattern, _, _ in BASE:
+        text = F.regexp_replace(text, pattern, " ")
+    words = docs.where(F.col(id_col).isin(ids)).select(F.filter(split_words(text), lambda w: w.rlike("^[A-Za-z0-9_.-]{2,60}$")).alias("w"))
 
     def joined(w: Column) -> Column:
         pair = lambda sep, second: F.transform(w, lambda x, i: F.concat(x, F.lit(sep), second(F.coalesce(F.get(w, i + 1), F.lit("id")))))
@@ -145,18 +151,20 @@ def stretches(token: Column, model: list[float], min_total: float = MIN_TOTAL) -
 
 
 def scan(docs: DataFrame, model: list[float], text_col: str = "text", min_total: float = MIN_TOTAL) -> DataFrame:
-    """``docs`` with __base and __spans: arrays of (start, rank, kind, end), the spans of the fixed patterns and all spans.
+    """``docs`` with __base and __spans as last columns: arrays of (start, rank, kind, end), the spans of the fixed patterns and all spans.
 
-    A null text is empty and has none. Repeated rows are scanned each by itself. Other columns pass through.
+    A null or empty text has none; a text of any length is read whole. Repeated rows are scanned each by itself, null ids like others; an empty
+    table gives no rows. Other columns pass through; if one has a name that is added here, the added one gets underscores before it.
     """
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    based = docs.withColumn("__base", _base(text))
+    base_name, spans_name = fresh(docs, "__base"), fresh(docs, "__spans")
+    based = docs.withColumn(base_name, _base(text))
 
     def added(base: Column) -> Column:
         runs = _spans(text, len(BASE), "markov", RUN, inside=lambda m: stretches(m, model, min_total))
         return F.filter(runs, lambda r: ~F.exists(base, lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"])))
 
-    return based.withColumn("__spans", F.sort_array(F.concat("__base", added(F.col("__base")))))
+    return based.withColumn(spans_name, F.sort_array(F.concat(base_name, added(F.col(base_name)))))
 
 
 def _joined(spans: Column) -> Column:
