@@ -165,7 +165,8 @@ def flt02_classified(spark, sf_dir):
 
 @query("win04_rank", f"WITH {Q.CLASSIFIED} SELECT repo, side, fingerprint, line, col, row_number() OVER (PARTITION BY repo, side ORDER BY score DESC, file, line, ord) AS rank FROM cl WHERE suppress_reason = ''")
 def win04_rank(spark, sf_dir):
-    return O.ranked(O.kept(classified(spark, sf_dir))).select("repo", "side", "fingerprint", "line", "col", F.col("rank").cast("bigint").alias("rank"))
+    needed = O.kept(classified(spark, sf_dir)).select("repo", "side", "fingerprint", "file", "line", "col", "score", "ord")
+    return O.ranked(needed).select("repo", "side", "fingerprint", "line", "col", F.col("rank").cast("bigint").alias("rank"))
 
 
 @query("flt01_min_priority", f"WITH {Q.CLASSIFIED} SELECT repo, side, priority, count(*) AS n FROM cl WHERE suppress_reason = '' AND priority IN ('high', 'critical') GROUP BY ALL")
