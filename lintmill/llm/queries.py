@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lintmill.llm import quality
+from lintmill.llm import fill_middle, quality
 from lintmill.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -79,6 +79,10 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_text(table(spark, sf_dir, "pages"))
 
 
+def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.report(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_jaccard": op1_jaccard,
     "op2_line_dedup": op2_line_dedup,
@@ -90,5 +94,6 @@ QUERIES: dict[str, Query] = {
     "op8_decontaminate": op8_decontaminate,
     "op9_secrets": op9_secrets,
     "op10_html": op10_html,
+    "op11_fill_middle": op11_fill_middle,
 }
-ORACLES: dict[str, str] = {"op3_quality": quality.ORACLE}
+ORACLES: dict[str, str] = {"op3_quality": quality.ORACLE, "op11_fill_middle": fill_middle.ORACLE}
