@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lintmill.llm import fill_middle, quality
+from lintmill.llm import divergence, fill_middle, quality
 from lintmill.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -83,6 +83,10 @@ def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_middle.report(table(spark, sf_dir, "documents"))
 
 
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_jaccard": op1_jaccard,
     "op2_line_dedup": op2_line_dedup,
@@ -95,5 +99,6 @@ QUERIES: dict[str, Query] = {
     "op9_secrets": op9_secrets,
     "op10_html": op10_html,
     "op11_fill_middle": op11_fill_middle,
+    "op12_divergence": op12_divergence,
 }
-ORACLES: dict[str, str] = {"op3_quality": quality.ORACLE, "op11_fill_middle": fill_middle.ORACLE}
+ORACLES: dict[str, str] = {"op3_quality": quality.ORACLE, "op11_fill_middle": fill_middle.ORACLE, "op12_divergence": divergence.ORACLE}
