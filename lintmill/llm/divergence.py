@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lintmill.llm.common import forget, mapped, written
+from lintmill.llm.common import mapped, written
 
 LEAST_DOCS, TOP = 10, 10
 SCALE_STEPS, STEP = 3, 1000  # 10^9, a thousand at a time

@@ -87,6 +87,14 @@ def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.divergence(table(spark, sf_dir, "documents"))
 
 
+def op13_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From 16 shards that documents were dealt to by their source, a third of them to one, to 24 of nearly equal bytes."""
+    from lintmill.llm.reshard import report
+
+    place = F.xxhash64("_metadata.file_name", "_metadata.row_index")
+    return report(table(spark, sf_dir, "documents"), F.pmod(F.crc32(F.coalesce("source", F.lit(""))), F.lit(16)), place)
+
+
 QUERIES: dict[str, Query] = {
     "op1_jaccard": op1_jaccard,
     "op2_line_dedup": op2_line_dedup,
@@ -100,5 +108,6 @@ QUERIES: dict[str, Query] = {
     "op10_html": op10_html,
     "op11_fill_middle": op11_fill_middle,
     "op12_divergence": op12_divergence,
+    "op13_reshard": op13_reshard,
 }
 ORACLES: dict[str, str] = {"op3_quality": quality.ORACLE, "op11_fill_middle": fill_middle.ORACLE, "op12_divergence": divergence.ORACLE}
