@@ -29,10 +29,13 @@ BOILERPLATE = (
     "todos los derechos|pol.tica de (cookies|privacidad)|utiliza cookies|haga clic|s.guenos en|"
     "tous droits r.serv|politique de confidentialit|utilise des cookies|cliquez ici|suivez-nous"
 )
-NAVIGATION = (
-    "(?i)^\\W*((home|menu|login|log in|sign in|register|search|about( us)?|contact( us)?|next|previous|back to top|faq|help|sitemap|"
-    "startseite|anmelden|suche|kontakt|impressum|weiter|inicio|buscar|contacto|siguiente|anterior|accueil|connexion|recherche|suivant)\\W*)+$"
+#: Entries of menus; none begins another one but "contact", which comes after "contacto", so a line falls into entries in one way only.
+MENU = (
+    "home|menu|login|log in|sign in|register|search|about(?: us)?|contacto|contact(?: us)?|next|previous|back to top|faq|help|sitemap|"
+    "startseite|anmelden|suche|kontakt|impressum|weiter|inicio|buscar|siguiente|anterior|accueil|connexion|recherche|suivant"
 )
+#: A line of entries and signs alone. Possessive, since the engine follows a group that may give back by recursion, which a long line would let overflow.
+NAVIGATION = f"(?i)^\\W*+(?:(?:{MENU})\\W*+)++$"
 
 
 def split_words(text: Column) -> Column:
@@ -147,7 +150,7 @@ judged AS (
     OR len(v) >= {SHORT_LINE} AND (length(regexp_replace(line, '[^!]+', '', 'g')) * 10 > len(v) * 3
       OR len(list_filter(range(2, len(v) + 1), lambda i: v[i] = v[i - 1])) * 10 > len(v) * 3)
     OR len(v) >= {LONG_LINE} AND NOT regexp_matches(line, '{MARKS}')
-    OR regexp_matches(line, '{BOILERPLATE}') OR regexp_matches(line, '{NAVIGATION}')) AS fails
+    OR regexp_matches(line, '{BOILERPLATE}') OR regexp_matches(line, '(?i)^\\W*(({MENU})\\W*)+$')) AS fails
   FROM lw),
 per AS (
   SELECT doc_id, count(*) FILTER (n > 0) - count(DISTINCT line) FILTER (n > 0) AS n_dup_lines, coalesce(sum(n) FILTER (NOT fails), 0) AS left_words

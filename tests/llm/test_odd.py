@@ -68,12 +68,29 @@ def test_blocks_of_few_tokens_lose_no_link(spark, monkeypatch):
     assert got == want
 
 
-def test_one_id_with_two_texts_in_the_join(spark):
-    words = [f"w{i}" for i in range(60)]
-    one, near, other = " ".join(words), " ".join([*words[:-1], "x"]), " ".join(f"v{i}" for i in range(60))
-    docs = spark.createDataFrame([(1, one), (1, other), (2, near), (3, other)], "doc_id bigint, text string")
-    runs = [sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.jaccard_components(d).collect()) for d in (docs, docs.orderBy(F.desc("text")))]
-    assert runs[0] == runs[1] and {r[0] for r in runs[0]} == {1, 2, 3} and all(r[2] == 1 for r in runs[0] if r[0] == 1)
+def linked(rows, k, num, den):
+    """Brute force: (doc_id, size of the row's set, least id in reach). An id is one document, whatever texts it has."""
+    sets = [(i, {tuple(w[j : j + k]) for w in [(t or "").lower().split()] for j in range(max(1, len(w) - k + 1)) if w}) for i, t in rows]
+    least = {i: i for i, _ in sets}
+    for _ in least:
+        for i, a in sets:
+            for j, b in sets:
+                if a and b and den * len(a & b) >= num * len(a | b):
+                    least[i] = least[j] = min(least[i], least[j])
+    return sorted((i, len(s), least[i]) for i, s in sets)
+
+
+def test_ids_with_several_texts_lose_no_link(spark):
+    words = lambda c, n=60: [f"{c}{i}" for i in range(n)]
+    text = lambda w: " ".join(w)
+    a, b, c, d = (words(x) for x in "abcd")
+    rows = [(1, text(a)), (1, text(b)), (2, text(b)), (3, text([*b, "x"])), (4, text(a))]
+    rows += [(9, text(c)), (9, text(d)), (7, text(d)), (8, text([*c[:-1], "y"])), (8, text(words("e"))), (5, text([*words("e"), "z"])), (11, text(words("f"))), (11, text(words("g"))), (11, text(words("h"))), (12, text([*words("h"), "q"]))]
+    rows += [(20 + i, text([*words("a", 40), f"u{i}"])) for i in range(5)] + [(20, text(words("k"))), (24, text(words("k"))), (30, None), (30, ""), (31, "one"), (31, "two"), (32, "two")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    want = linked(rows, 4, 85, 100)
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.jaccard_components(docs.orderBy(F.desc("text")), k=4, num=85, den=100).collect()) == want
+    assert {x[2] for x in want if x[0] in (1, 2, 3, 4)} == {1} and {x[2] for x in want if x[0] in (9, 7, 8, 5)} == {5}
 
 
 @pytest.mark.parametrize("most", [0, 100_000])
@@ -184,3 +201,21 @@ def test_the_pipeline_on_empty_null_and_repeated_rows(spark, sf_dir, odd):
             docs = common.written(stage(spark, docs, sf_dir), "odd")
         assert {r.doc_id for r in docs.collect()} == ids
         assert {r.doc_id for r in corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir).collect()} == ids
+
+
+MENU_LINE = "home menu " * 50_000 + "."
+
+
+def test_a_line_of_very_many_menu_words(spark, sf_dir):
+    """Neither the rules nor a later stage may follow such a line by recursion."""
+    body = " ".join(f"The number {i} stands here, and then {i + 1} follows." for i in range(40))
+    texts = [MENU_LINE, f"{MENU_LINE}\n{body}", body, "home | menu\n" * 3 + body, "contacto contact about us log in", "about us now here " * 30_000, "#" * 200_000 + " " + body, "a" * 300_000, "! " * 100_000 + body]
+    rows = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    got = {r.doc_id: r for r in quality.report(rows).collect()}
+    assert not got[0].kept and got[0].n_words == 100_001 and not got[1].kept and got[2].kept and got[3].kept
+    lines = spark.createDataFrame([(t,) for t in ("contacto contact about us log in", "contact", "Home", "contactome", "homemenu", "--", "a home", "about  us", "home\r")], "t string")
+    assert [r[0] for r in lines.select(F.col("t").rlike(quality.NAVIGATION)).collect()] == [True, True, True, False, True, False, False, False, True]
+    docs = rows
+    for name, stage in corpus_pipeline.STAGES[1:]:  # the first stage would leave such lines out
+        docs = common.written(stage(spark, docs, sf_dir), name)
+    assert {2, 4, 7} <= {r.doc_id for r in docs.collect()}
