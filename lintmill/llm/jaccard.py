@@ -22,9 +22,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from lintmill.llm.common import binaries, collected, forget, fresh, mapped, spread_join, written
+from lintmill.operators.order import numbered
 
 WORDS, NUM, DEN = 5, 80, 100
 SIGNATURE_BYTES, WIDE_BYTES = 64, 4096
@@ -436,12 +436,22 @@ def verified(pairs: DataFrame, active: DataFrame, k: int, num: int, den: int) ->
     return mapped(rows.select("a", "b", "ta", "tb"), run, "a bigint, b bigint")
 
 
+def same_ids(every: DataFrame, reps: DataFrame) -> DataFrame:
+    """Edges (a, b) between the sets of ids that have more than one set."""
+    named = every.where("key is not null and doc_id is not null")
+    several = named.groupBy("doc_id").agg(F.min("key").alias("__lo"), F.max("key").alias("__hi"), F.count("*").alias("n")).where("__lo <> __hi").select("doc_id", "n")
+    own = spread_join(named.select("doc_id", "key"), several, ["doc_id"], every.count()).select("doc_id", "key").distinct().join(reps.select("key", "rep"), "key")
+    own = own.select("doc_id", "rep")
+    least = own.groupBy("doc_id").agg(F.min("rep").alias("least"), F.count("*").alias("n"))
+    return spread_join(own, least, ["doc_id"], every.count()).where("rep <> least").select(F.col("least").alias("a"), F.col("rep").alias("b"))
+
+
 def jaccard_components(docs: DataFrame, *, k: int = WORDS, num: int = NUM, den: int = DEN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id): per document the size of its set and the smallest id that it reaches by links.
 
     Null texts and texts without words have empty sets and link with nothing; a text of fewer than k words is one shingle. Sets are
-    compared as sets of 64-bit hashes. Rows that repeat an id and a text each get a row. If one id has different texts and is the smallest
-    id of more than one set, the set of the smallest hash stands for it and the others link with nothing. A null id gets the component of
+    compared as sets of 64-bit hashes. Rows that repeat an id and a text each get a row. An id with different texts is one document with several
+    sets: all their links count, and join each other by the id. A null id gets the component of
     an equal text with an id, else null. An empty table gives no rows. Other columns are not read.
     """
     spark = docs.sparkSession
@@ -451,10 +461,14 @@ def jaccard_components(docs: DataFrame, *, k: int = WORDS, num: int = NUM, den:
     same = every.where("key is not null and doc_id is not null").groupBy("key").agg(
         F.min(F.struct("doc_id", "text_hash")).alias("first"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("signature").alias("signature"), F.first("wide").alias("wide")
     )
-    reps = written(same.select("key", F.col("first.doc_id").alias("rep"), F.col("first.text_hash").alias("text_hash"), "n", "prefix", "signature", "wide"), "reps")
-    twice = reps.groupBy("rep").agg(F.min("key").alias("key"), F.count("*").alias("times")).where("times > 1")
-    if not twice.isEmpty():
-        reps = written(reps.join(reps.select("rep", "key").join(twice.select("rep", F.col("key").alias("least")), "rep").where("key <> least").select("key"), "key", "left_anti"), "reps")
+    reps = written(same.select("key", F.col("first.doc_id").alias("rep"), F.col("first.doc_id").alias("id"), F.col("first.text_hash").alias("text_hash"), "n", "prefix", "signature", "wide"), "reps")
+    twice = reps.groupBy("rep").agg(F.min("key").alias("least"), F.count("*").alias("times")).where("times > 1").drop("times")
+    if not twice.isEmpty():  # a set whose least id stands for another set gets a number above all ids
+        top = reps.agg(F.max("rep")).first()[0]
+        named = numbered(reps.join(twice, "rep").where("key <> least").select("key"), "key").select("key", "place")
+        reps = written(reps.join(named, "key", "left").withColumn("rep", F.coalesce(F.col("place") + top, "rep")).drop("place"), "reps")
+    edges = written(same_ids(every, reps), "links")
+    labels = None if edges.isEmpty() else components(edges)
     sets = written(every.select("doc_id", "n", "key"), "members")
     forget(every)
     collected(spark)
@@ -463,10 +477,9 @@ def jaccard_components(docs: DataFrame, *, k: int = WORDS, num: int = NUM, den:
     collected(spark)
     ends = shared.groupBy("rep").agg(F.min("token").alias("k1"), F.max("token").alias("k2"))
     text = F.col(f"`{text_col}`").cast("string")
-    texts = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("rep"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
-    active = written(ends.join(reps.select("rep", "text_hash", "n", "signature"), "rep").join(texts, ["rep", "text_hash"]).dropDuplicates(["rep"]), "active")
+    texts = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
+    active = written(ends.join(reps.select("rep", "id", "text_hash", "n", "signature"), "rep").join(texts, ["id", "text_hash"]).dropDuplicates(["rep"]).drop("id"), "active")
     collected(spark)
-    edges, labels = spark.createDataFrame([], T.StructType.fromDDL("a bigint, b bigint")), None
     for key in ("k1", "k2"):
         edges = edges.union(written(round_links(active, key, labels, k, num, den), "links"))
         labels = components(edges)
