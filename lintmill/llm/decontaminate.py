@@ -43,9 +43,11 @@ class Benchmark:
     """The windows of some test items, numbered by their own vocabulary."""
 
     def __init__(self, items: list[tuple[str, bytes]], window: int = WINDOW):
-        cut = [(name, words(text)) for name, text in items]
+        cut = [(name, words(text)) for name, text in sorted(items, key=lambda x: (x[0].encode(), x[1]))]
         self.names = [name for name, w in cut if w]
         cut = [w for _, w in cut if w]
+        rank = {name: i for i, name in enumerate(dict.fromkeys(self.names))}
+        self.rank = np.array([rank[name] for name in self.names], dtype=np.int64)
         self.vocabulary = {w: i for i, w in enumerate(sorted({x for w in cut for x in w}), 1)}
         self.bits = max(1, len(self.vocabulary).bit_length())
         self.per_key = max(1, 63 // self.bits)
@@ -140,9 +142,11 @@ def _merged(starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _longest(hits: np.ndarray, bench: Benchmark) -> list[tuple[str, int, int, int]]:
-    """Rows (item, item start, document start, words): hits that follow each other in one item are one match, as long as it can be to both sides.
+    """Rows (item, item start, document start, words): hits that follow each other in one item are one match, and none lies within another.
 
-    Of several items with the same match the first is named; no match is listed for every owner of a window that many items share.
+    A hit that no match has yet is followed to the left as far as one of its items goes, and from there to the right; so every stretch that can't be
+    longer is found once, without a row for every owner of a window that many items share. Of items with the same stretch the least id is named, at its
+    first place. Which items are at hand decides nothing else, so ``uncovered`` gives the same for all blocks of a benchmark together.
     """
     out = []
     for m in np.unique(hits[:, 1]).tolist():
@@ -151,16 +155,28 @@ def _longest(hits: np.ndarray, bench: Benchmark) -> list[tuple[str, int, int, in
         where, owners = own[:, 0].tolist(), [bench.owners(q) for q in own[:, 2].tolist()]
         i = 0
         while i < len(where):
-            active, j = owners[i], i
-            while j + 1 < len(where) and where[j + 1] == where[j] + 1 and len(more := np.intersect1d(active + 1, owners[j + 1], assume_unique=True)):
-                active, j = more, j + 1
-            active, k = active - (j - i), i
+            active, k = owners[i], i
             while k and where[k - 1] == where[k] - 1 and len(more := np.intersect1d(active - 1, owners[k - 1], assume_unique=True)):
                 active, k = more, k - 1
-            item, start = divmod(int(active[0]), 1 << 32)
-            out.append((bench.names[item], start, where[k], where[j] + m - where[k]))
+            active, j = active + (i - k), i
+            while j + 1 < len(where) and where[j + 1] == where[j] + 1 and len(more := np.intersect1d(active + 1, owners[j + 1], assume_unique=True)):
+                active, j = more, j + 1
+            active = active - (j - k)
+            rank = bench.rank[active >> 32]
+            first = active[rank == rank.min()]
+            out.append((bench.names[int(first[0]) >> 32], int((first & 0xFFFFFFFF).min()), where[k], where[j] + m - where[k]))
             i = j + 1
-    return sorted(out, key=lambda x: (x[2], x[3], x[0]))
+    return uncovered(out)
+
+
+def uncovered(matches: list[tuple[str, int, int, int]]) -> list[tuple[str, int, int, int]]:
+    """The matches that lie in no other one, one of each stretch, in the order of the document."""
+    out, end = [], -1
+    for x in sorted(matches, key=lambda x: (x[2], -x[3], x[0].encode(), x[1])):
+        if x[2] + x[3] > end:
+            out.append(x)
+            end = x[2] + x[3]
+    return out
 
 
 def scan(texts: list[bytes | None], bench: Benchmark, shard_bytes: int = SHARD_BYTES) -> list[tuple[int, list, list, list]]:
@@ -249,8 +265,15 @@ def _in_blocks(docs: DataFrame, items: DataFrame, blocks: int, text_col: str, wi
         grown = lambda a, x: F.concat(F.slice(a, 1, F.size(a) - 1), F.array(F.struct(last(a)["start"].alias("start"), F.greatest(last(a)["end"], x["end"]).alias("end"))))
         return F.aggregate(F.array_sort(s), F.expr(f"cast(array() as {_FIELDS[1][1]})"), lambda a, x: F.when((F.size(a) > 0) & (F.try_element_at(a, F.lit(-1))["end"] >= x["start"]), grown(a, x)).otherwise(F.concat(a, F.array(x))))
 
+    def longest(found):
+        """As ``uncovered``, over the matches of all blocks."""
+        end = lambda x: x["doc_start"] + x["n_words"]
+        ordered = F.array_sort(F.transform(found, lambda x: F.struct(x["doc_start"].alias("s"), (-x["n_words"]).alias("l"), x["item_id"].alias("i"), x["item_start"].alias("p"), x.alias("x"))))
+        grown = lambda a, x: F.when((F.size(a) > 0) & (end(F.try_element_at(a, F.lit(-1))) >= end(x)), a).otherwise(F.concat(a, F.array(x)))
+        return F.aggregate(F.transform(ordered, lambda y: y["x"]), F.expr(f"cast(array() as {_FIELDS[3][1]})"), grown)
+
     key = fresh(docs, "key")
-    hits = hits.select(F.col("key").alias(key), "n", together(F.col("spans")).alias(names[1]), F.array_sort(F.array_distinct("items")).alias(names[2]), F.col("matches").alias(names[3]))
+    hits = hits.select(F.col("key").alias(key), "n", together(F.col("spans")).alias(names[1]), F.array_sort(F.array_distinct("items")).alias(names[2]), longest(F.col("matches")).alias(names[3]))
     size = fresh(docs, "n")
     keyed = docs.withColumn(key, F.unhex(F.sha1(text.cast("binary"))))
     out = spread_join(keyed.where(F.col(key).isNotNull()), hits.withColumnRenamed("n", size), [key], docs.count(), size=size, how="left")

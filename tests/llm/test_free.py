@@ -11,6 +11,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lintmill.llm import decontaminate, html_extract, jaccard, lm, packing, training_order, warc
 from lintmill.llm.queries import QUERIES, tokenizer_path
@@ -135,6 +136,35 @@ def test_longest_matches(spark):
     assert decontaminate.decontaminate(d, b).count() == 0 and decontaminate.decontaminate(d, b.limit(0)).count() == 1
 
 
+def brute_matches(text, items, window):
+    """Every stretch of a document that an item has, at least a window long, within no longer one; the least id and place of those that have it."""
+    w, found = decontaminate.words((text or "").encode()), {}
+    for name, item in items:
+        v = decontaminate.words(item.encode())
+        m = min(window, len(v))
+        for s in range(len(w)):
+            for p in range(len(v)):
+                n = 0
+                while s + n < len(w) and p + n < len(v) and w[s + n] == v[p + n]:
+                    n += 1
+                if v and n >= m:
+                    found[s, s + n] = min(found.get((s, s + n), (str(name), p)), (str(name), p))
+    return [(name, p, s, e - s) for (s, e), (name, p) in sorted(found.items()) if not any(a <= s and e <= b and (a, b) != (s, e) for a, b in found)]
+
+
+def test_matches_are_the_same_for_any_block_size(spark):
+    r = random.Random(11)
+    shared = [f"s{i}" for i in range(30)]
+    text = lambda n: [r.choice("abc") for _ in range(n)]
+    items = [(f"i{i}", " ".join([*text(i), *shared[i : 30 - i], *text(5)])) for i in range(6)] + [(f"k{i}", " ".join(text(r.choice([2, 12, 20])))) for i in range(8)] + [("i2", " ".join(shared))]
+    docs = [(i, " ".join([*text(r.randint(0, 30)), *(shared if i % 3 else shared[3:22]), *text(r.randint(0, 15))])) for i in range(40)]
+    d, b = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id string, text string")
+    want = {i: brute_matches(t, items, 10) for i, t in docs}
+    for size in (decontaminate.BLOCK_BYTES, 400, 60):
+        rows = decontaminate.report(d, b.orderBy(F.rand(size)), block_bytes=size).collect()
+        assert {x.doc_id: [tuple(m) for m in x.matches] for x in rows} == want
+
+
 def test_decontamination_of_odd_rows(spark, odd, empty):
     b = spark.createDataFrame([(1, "tail words here"), (None, "one"), (2, None)], "item_id bigint, text string")
     kept = decontaminate.decontaminate(odd, b)
