@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lintmill.sources.store import forget, written
@@ -33,3 +34,22 @@ def numbered_within(rows: DataFrame, keys: tuple[str, ...], *order: str | Column
     out = numbered(rows, *keys, *order, name=name)
     first = out.groupBy(*keys).agg(F.min(name).alias("__first"))
     return out.join(first, list(keys)).withColumn(name, F.col(name) - F.col("__first") + 1).drop("__first")
+
+
+def carried(rows: DataFrame, value: str, *order: str | Column, name: str = "latest") -> DataFrame:
+    """``rows`` with the latest value of a column that is not null, at each row or before it in the order; null before the first.
+
+    An as-of join is this over both of its sides together. Range partitions are sorted and written as in ``numbered``; the driver adds the last value of each.
+    """
+    whole = written(rows, "order-input")
+    spread = written(whole.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__raw", F.monotonically_increasing_id()), "order")
+    forget(whole)
+    part = F.shiftright("__raw", _BITS).cast("int")
+    last = spread.where(F.col(f"`{value}`").isNotNull()).groupBy(part.alias("part")).agg(F.max_by(value, "__raw").alias("last")).collect()  # a row per partition
+    known, before = {r["part"]: r["last"] for r in last}, [None]
+    for p in range(max(known, default=0) + 1):
+        before.append(known.get(p, before[-1]))
+    kind = rows.schema[value].dataType
+    above = F.get(F.array(*(F.lit(x).cast(kind) for x in before)), F.least(part, F.lit(len(before) - 1)))
+    here = F.last(value, ignorenulls=True).over(W.partitionBy("__part").orderBy("__raw").rowsBetween(W.unboundedPreceding, W.currentRow))
+    return spread.withColumn("__part", part).withColumn(name, F.coalesce(here, above)).drop("__raw", "__part")

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lintmill.functions import rules as R
+from lintmill.operators import calibration as C
 from lintmill.operators import evidence as E
 from lintmill.operators import findings as O
 from lintmill.operators import graph as G
@@ -606,6 +607,35 @@ def dsg19_calibration_error(spark, sf_dir):
     return M.calibration_error(predictions(spark, sf_dir)).select(F.round("ece", 9).alias("ece"))
 
 
+# The step function's value at i is the greatest, over starts at or before i, of the least mean, over ends at or after i.
+_ISOTONIC = f"""{Q.PREDICTIONS}, fs AS (SELECT score, count(*) AS n, sum(y) AS t FROM pp GROUP BY score), fc AS (SELECT score, row_number() OVER o AS i, sum(n) OVER o AS cn, sum(t) OVER o AS ct, n, t FROM fs WINDOW o AS (ORDER BY score)),
+fm AS (SELECT a.i AS a, b.i AS b, (b.ct - a.ct + a.t)::DOUBLE / (b.cn - a.cn + a.n)::DOUBLE AS m FROM fc a JOIN fc b ON a.i <= b.i), fl AS (SELECT c.i, a, min(m) AS m FROM fc c JOIN fm ON a <= c.i AND b >= c.i GROUP BY c.i, a),
+iso AS (SELECT score, max(m) AS calibrated FROM fl JOIN fc USING (i) GROUP BY score)"""
+
+
+def scored(spark, sf_dir):
+    p = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "n_chars"), "doc_id")
+    return p.select("doc_id", F.col("toxic").alias("y"), ((F.col("n_chars") * 37 % 101) / 101.0).alias("score"))
+
+
+@query("dsg19_calibrated", f"WITH {_ISOTONIC} SELECT doc_id, toxic AS y, score, round(calibrated, 9) AS calibrated FROM labels JOIN documents USING (doc_id) JOIN iso ON score = (n_chars * 37 % 101) / 101.0::DOUBLE")
+def dsg19_calibrated(spark, sf_dir):
+    """DSG19: every prediction with its score calibrated by pooled adjacent violators."""
+    rows = scored(spark, sf_dir)
+    return C.calibrated(rows, C.isotonic(rows)).select("doc_id", "y", "score", F.round("calibrated", 9).alias("calibrated"))
+
+
+@query("dsg19_calibration_gain", f"""WITH {_ISOTONIC}, e AS (SELECT y, score, calibrated FROM pp JOIN iso USING (score)),
+b AS (SELECT count(*) AS n, abs(avg(score) - avg(CAST(y AS DOUBLE))) AS gap FROM e GROUP BY least(floor(score * 10), 9)), c AS (SELECT count(*) AS n, abs(avg(calibrated) - avg(CAST(y AS DOUBLE))) AS gap FROM e GROUP BY least(floor(calibrated * 10), 9))
+SELECT (SELECT round(sum(n * gap) / sum(n), 9) FROM b) AS before, (SELECT round(sum(n * gap) / sum(n), 9) FROM c) AS after""")
+def dsg19_calibration_gain(spark, sf_dir):
+    """DSG19: the expected calibration error before and after."""
+    rows = scored(spark, sf_dir)
+    done = C.calibrated(rows, C.isotonic(rows)).withColumn("raw", F.col("score"))
+    before, after = (M.calibration_error(done.select("y", F.col(c).alias("score"))).select(F.round("ece", 9).alias(name)) for c, name in (("raw", "before"), ("calibrated", "after")))
+    return before.crossJoin(after)  # one row each
+
+
 @query("dsg18_kappa", "WITH s AS (SELECT count(*) AS n, count(*) FILTER (toxic = quality) AS same, sum(toxic) AS a, sum(quality) AS b FROM labels JOIN documents USING (doc_id)) SELECT round((same / n - (a * b + (n - a) * (n - b)) / (n * n)) / (1 - (a * b + (n - a) * (n - b)) / (n * n)), 9) AS kappa FROM s")
 def dsg18_kappa(spark, sf_dir):
     return M.kappa(predictions(spark, sf_dir).select(F.col("y").alias("a"), "b")).select(F.round("kappa", 9).alias("kappa"))
