@@ -111,3 +111,33 @@ def serving_cost(load: DataFrame, seconds_per_candidate: float, price_per_hour:
     """``load`` (requests, candidates) with the seconds and the price of its requests (DSG26)."""
     seconds = F.col("requests") * F.col("candidates") * F.lit(seconds_per_candidate)
     return load.withColumn("gpu_seconds", seconds).withColumn("price", F.col("gpu_seconds") / 3600.0 * price_per_hour)
+
+
+_HISTORY = ("id", "owner")
+
+
+def history(changes: DataFrame, now, half_life_days: float) -> DataFrame:
+    """Per node and owner (id, owner) of changes (id, owner, at): as_of, changes, churn, first and last (DSG09). Churn counts a change less the older it is, a half after ``half_life_days``.
+
+    Such tables of different parts of the changes, taken at different times, are put together by ``merged_history``. Changes after ``now`` are left out.
+    """
+    at, now = F.col("at").cast("date"), F.lit(now).cast("date")
+    old = F.date_diff(now, at)
+    counted = changes.where(F.col("id").isNotNull() & (at <= now)).groupBy(*_HISTORY)
+    return counted.agg(F.lit(now).alias("as_of"), F.count("*").alias("changes"), F.sum(F.pow(F.lit(0.5), old / half_life_days)).alias("churn"), F.min(at).alias("first"), F.max(at).alias("last"))
+
+
+def merged_history(tables: DataFrame, now, half_life_days: float) -> DataFrame:
+    """``history`` tables, of one schema and any times up to ``now``, as one at ``now``: what was counted before decays by the time since then."""
+    since = F.date_diff(F.lit(now).cast("date"), F.col("as_of"))
+    return tables.groupBy(*_HISTORY).agg(
+        F.lit(now).cast("date").alias("as_of"), F.sum("changes").alias("changes"), F.sum(F.col("churn") * F.pow(F.lit(0.5), since / half_life_days)).alias("churn"), F.min("first").alias("first"), F.max("last").alias("last")
+    )
+
+
+def history_features(table: DataFrame) -> DataFrame:
+    """Per node: changes, churn, age and days since the last change, and how many owners it has, from one ``history`` table."""
+    as_of = F.max("as_of")
+    return table.groupBy("id").agg(
+        F.sum("changes").alias("changes"), F.sum("churn").alias("churn"), F.date_diff(as_of, F.min("first")).alias("age_days"), F.date_diff(as_of, F.max("last")).alias("idle_days"), F.count("owner").alias("owners")
+    )

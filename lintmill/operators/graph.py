@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from lintmill.functions import rules as R
 from lintmill.operators.order import numbered
-from lintmill.sources.store import written
+from lintmill.sources.store import forget, written
 
 
 def of_kind(edges: DataFrame, *kinds: str) -> DataFrame:
@@ -89,3 +89,32 @@ def race_candidates(edges: DataFrame, roots: DataFrame, max_hops: int = 3, min_c
     accesses = of_kind(edges, "READS", "WRITES")
     by_root = accesses.join(reach, "src").groupBy(F.col("dst").alias("field")).agg(F.count_distinct("root").alias("roots"))
     return by_root.where("roots >= 2").join(common_locks(accesses).where("has_write and locks = ''"), "field").select("field", "roots", "accesses")
+
+
+def centrality(edges: DataFrame, kind: str, damping: float = 0.85, tolerance: float = 1e-12, max_rounds: int = 1000) -> DataFrame:
+    """(id, centrality) of every node of the graph: the share of time that a walk spends there which follows a random edge of ``kind``, or, from nodes without
+    one and else in 1 - ``damping`` of all steps, goes anywhere (DSG09).
+
+    Parallel edges count once. Each round joins the shares with the edges, adds up what arrives per node before the shuffle, and is written, so the
+    plan stays that of one round. The mass of nodes without edges follows from what did not arrive. Rounds end when all changes together are below ``tolerance``.
+    """
+    steps = of_kind(edges, kind).select("src", "dst").distinct()
+    degrees = steps.groupBy("src").agg(F.count("*").alias("degree"))
+    steps = written(steps.join(degrees, "src").select("src", "dst", (1.0 / F.col("degree")).alias("part")), "steps")
+    every = written(nodes(edges), "nodes")
+    n = every.count()
+    shares = every.withColumn("centrality", F.lit(1.0 / max(n, 1)))
+    last = None
+    for _ in range(max_rounds if n else 0):
+        arrived = steps.join(shares, F.col("src") == F.col("id")).groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("centrality") * F.col("part")).alias("arrived"))
+        found = written(shares.withColumnRenamed("centrality", "before").join(arrived, "id", "left").withColumn("arrived", F.coalesce("arrived", F.lit(0.0))), "shares")
+        lost = found.agg(F.sum("before") - F.sum("arrived")).first()[0]
+        shares = found.select("id", "before", ((1 - damping) / n + damping * (F.col("arrived") + lost / n)).alias("centrality"))
+        change = shares.agg(F.sum(F.abs(F.col("centrality") - F.col("before")))).first()[0]
+        shares = shares.drop("before")
+        if last is not None:
+            forget(last)
+        last = found
+        if change < tolerance:
+            break
+    return shares

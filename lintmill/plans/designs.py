@@ -91,6 +91,30 @@ def dsg09_ranking_features(spark, sf_dir):
     return D.ranking_features(edges(spark, sf_dir), roots(spark), "CALLS", 3, 0.60)
 
 
+@query("dsg09_centrality", f"""WITH RECURSIVE {Q.EDGES}, ca AS (SELECT src, dst, 1.0::DOUBLE / count(*) OVER (PARTITION BY src) AS part FROM (SELECT DISTINCT src, dst FROM ed WHERE kind = 'CALLS')),
+nd AS (SELECT id, count(*) OVER () AS n FROM (SELECT src AS id FROM ed UNION SELECT dst FROM ed)),
+w(i, id, c) AS (SELECT 0, id, 1.0::DOUBLE / n FROM nd UNION ALL
+  SELECT i, id, 0.15::DOUBLE / n + 0.85::DOUBLE * (a + (1 - sum(a) OVER ()) / n) FROM (
+    SELECT (SELECT max(i) + 1 FROM w) AS i, nd.id, n, coalesce(a, 0) AS a FROM nd LEFT JOIN (SELECT dst AS id, sum(c * part) AS a FROM w JOIN ca ON ca.src = w.id GROUP BY dst) USING (id)) WHERE i <= 250)
+SELECT id, round(c, 9) AS centrality FROM w WHERE i = 250""")
+def dsg09_centrality(spark, sf_dir):
+    """DSG09: centrality of functions and fields by their calls, as the fixed point of a random walk."""
+    return G.centrality(edges(spark, sf_dir), "CALLS").select("id", F.round("centrality", 9).alias("centrality"))
+
+
+_AS_OF, _HALF_LIFE = "1998-12-31", 180.0
+
+
+@query("dsg09_history", f"""WITH c AS (SELECT 'part:' || l_partkey AS id, l_suppkey AS owner, CAST(l_shipdate AS DATE) AS day FROM lineitem WHERE CAST(l_shipdate AS DATE) <= DATE '{_AS_OF}')
+SELECT id, count(*) AS changes, round(sum(pow(0.5::DOUBLE, (DATE '{_AS_OF}' - day) / {_HALF_LIFE}::DOUBLE)), 6) AS churn, CAST(DATE '{_AS_OF}' - min(day) AS INT) AS age_days, CAST(DATE '{_AS_OF}' - max(day) AS INT) AS idle_days, count(DISTINCT owner) AS owners FROM c GROUP BY id""")
+def dsg09_history(spark, sf_dir):
+    """DSG09: churn, age and owners of every part, from two tables of its changes that were counted at different times and put together."""
+    t = table(spark, sf_dir, "lineitem").select(F.concat(F.lit("part:"), F.col("l_partkey").cast("string")).alias("id"), F.col("l_suppkey").alias("owner"), F.col("l_shipdate").alias("at"))
+    then = F.col("at").cast("date") <= F.lit("1995-06-30").cast("date")
+    tables = D.history(t.where(then), "1995-06-30", _HALF_LIFE).unionByName(D.history(t.where(~then), _AS_OF, _HALF_LIFE))
+    return D.history_features(D.merged_history(tables, _AS_OF, _HALF_LIFE)).select("id", "changes", F.round("churn", 6).alias("churn"), "age_days", "idle_days", "owners")
+
+
 @query("dsg10_guards", f"""WITH {Q.EDGES}, ac AS (SELECT dst, locks FROM ed WHERE kind <> 'CALLS')
 SELECT DISTINCT l.lock, a.dst AS field FROM ac a, unnest(a.locks) l(lock) WHERE NOT EXISTS (SELECT 1 FROM ac o WHERE o.dst = a.dst AND NOT list_contains(o.locks, l.lock))""")
 def dsg10_guards(spark, sf_dir):
