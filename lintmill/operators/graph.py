@@ -118,3 +118,25 @@ def centrality(edges: DataFrame, kind: str, damping: float = 0.85, tolerance: fl
         if change < tolerance:
             break
     return shares
+
+
+def connected(edges: DataFrame) -> DataFrame:
+    """(id, component) of the ends of undirected edges (a, b): the least id that each one reaches.
+
+    Every step points an id's neighbours at the least id known there, larger and smaller neighbours in turn, and is written; it ends when a step changes no edge.
+    """
+    edges = written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+    state = lambda e: tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+    old = state(edges)
+    while True:
+        both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        lower = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(lower, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(lower.select("u", F.col("m").alias("v"))).distinct()
+        new = written(small, "edges")
+        forget(edges)
+        edges, now = new, state(new)
+        if now == old:
+            return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).union(edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
+        old = now

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lintmill.operators import copies as N
 from lintmill.operators import designs as D
 from lintmill.operators import evidence as E
 from lintmill.operators import findings as O
 from lintmill.operators import graph as G
 from lintmill.plans import sql as Q
 from lintmill.plans.queries import _ROOTS, _walk, classified, query, roots
+from lintmill.sources.store import written
 from lintmill.sources.tables import edges, table
 
 
@@ -153,11 +155,38 @@ def dsg14_split_recall(spark, sf_dir):
 @query("dsg15_splits", """WITH l AS (SELECT o_custkey, max(o_orderdate) AS latest, bool_or(o_custkey % 11 = 0) AS held FROM orders GROUP BY o_custkey)
 SELECT o_orderkey, CASE WHEN held THEN 'test' WHEN latest < DATE '1997-06-01' THEN 'train' WHEN latest < DATE '1998-03-01' THEN 'validation' ELSE 'test' END AS split FROM orders JOIN l USING (o_custkey)""")
 def dsg15_splits(spark, sf_dir):
-    """DSG15: splits by time that keep pairs together, with held-out repositories; near copies are not removed here."""
+    """DSG15: splits by time that keep pairs together, with held-out repositories; ``dsg15_clean_splits`` removes near copies first."""
     rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
     return D.splits(rows, "o_orderdate", "o_custkey", F.col("o_custkey") % 11 == 0, "1997-06-01", "1998-03-01").select("o_orderkey", "split")
 
 
+_COPIES = """WITH RECURSIVE cw AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+cs AS (SELECT DISTINCT doc_id, s FROM (SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s FROM cw)),
+cn AS (SELECT doc_id, count(*) AS n FROM cs GROUP BY doc_id),
+cp AS (SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS n FROM cs x JOIN cs y ON x.s = y.s AND x.doc_id < y.doc_id GROUP BY ALL) p JOIN cn u ON u.doc_id = a JOIN cn v ON v.doc_id = b WHERE 180 * p.n >= 80 * (u.n + v.n)),
+cb AS (SELECT a, b FROM cp UNION ALL SELECT b, a FROM cp),
+cr(id, other) AS (SELECT doc_id, doc_id FROM documents UNION SELECT cr.id, cb.b FROM cr JOIN cb ON cb.a = cr.other),
+cm AS (SELECT id AS doc_id, min(other) AS representative FROM cr GROUP BY id)"""
+
+
+@query("dsg15_near_copies", f"{_COPIES} SELECT doc_id, representative FROM cm")
+def dsg15_near_copies(spark, sf_dir):
+    """DSG15: the document that stands for each one's group of near copies, by buckets of signatures and exact comparison."""
+    return N.near_copies(table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "representative")
+
+
+@query("dsg15_clean_splits", f"""{_COPIES}, cg AS (SELECT representative, max(doc_id) AS latest, bool_or(source IN ('src3', 'src7')) AS held FROM documents JOIN cm USING (doc_id) GROUP BY representative), ct AS (SELECT max(doc_id) + 1 AS n FROM documents)
+SELECT representative AS doc_id, CASE WHEN held THEN 'test' WHEN latest * 10 < n * 8 THEN 'train' WHEN latest * 10 < n * 9 THEN 'validation' ELSE 'test' END AS split FROM cg, ct""")
+def dsg15_clean_splits(spark, sf_dir):
+    """DSG15: one document of each group of near copies with its split: by the latest of the group, ids in place of dates, and held-out sources."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source")
+    copies = written(N.near_copies(table(spark, sf_dir, "documents")), "copies")
+    n = docs.agg(F.max("doc_id") + 1).first()[0] or 0
+    grouped = docs.join(copies.withColumnRenamed("id", "doc_id"), "doc_id")
+    out = D.splits(grouped, "doc_id", "representative", F.col("source").isin("src3", "src7"), -(-n * 8 // 10), -(-n * 9 // 10))
+    return N.without_copies(out, copies).select("doc_id", "split")
+
+
 @query("dsg16_label_mix", """WITH e AS (SELECT source, doc_id, quality = 0 AS negative FROM labels JOIN documents USING (doc_id)), c AS (SELECT source, floor(count(*) FILTER (negative) * 1.5::DOUBLE) AS most FROM e GROUP BY source),
 n AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY sha256('7' || doc_id), doc_id) AS n FROM e WHERE NOT negative)
 SELECT source, doc_id, negative FROM n JOIN c USING (source) WHERE n <= most UNION ALL SELECT source, doc_id, negative FROM e WHERE negative""")
