@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lintmill.functions import rules as R
 from lintmill.operators import calibration as C
+from lintmill.operators import callgraph as K
 from lintmill.operators import evidence as E
 from lintmill.operators import findings as O
 from lintmill.operators import graph as G
@@ -490,6 +491,66 @@ def grf04_call_graph(spark, sf_dir):
     return merged.groupBy("src", "dst", "producer", "confidence").agg(F.count("*").alias("n"))
 
 
+# Program tables over the star schema: types and interfaces are suppliers, ten to a package, variables customers and parts, dynamic calls open orders.
+_PROGRAM = """WITH RECURSIVE mt AS (SELECT DISTINCT 'T' || l_suppkey AS type, 'p' || (l_suppkey // 10) || 'm' || (l_partkey % 12) AS method, 'v' || (l_suppkey * 12 + l_partkey % 12) AS variable FROM lineitem WHERE l_quantity <= 1),
+itf AS (SELECT 'I' || s_suppkey AS interface, 'p' || (s_suppkey // 10) || 'm' || unnest([s_suppkey % 12, (s_suppkey * 5 + 1) % 12]) AS method FROM supplier),
+al AS (SELECT 'v' || l_partkey AS variable, 'T' || l_suppkey AS type FROM lineitem WHERE l_quantity >= 50),
+sa AS (SELECT 'v' || o_custkey AS src, 'v' || (o_custkey // 2 + o_orderkey % 3) AS dst FROM orders WHERE o_orderstatus = 'F'),
+dc AS (SELECT 'fn:' || (o_custkey % 500) AS src, 'v' || o_custkey AS receiver, 'I' || (o_custkey // 15) AS interface, 'p' || (o_custkey // 150) || 'm' || (o_custkey // 15 % 12) AS method, CASE WHEN o_orderkey % 4 = 0 THEN 'v' || (o_custkey + 1) END AS argument FROM orders WHERE o_orderstatus = 'O'),
+im AS (SELECT i.interface, t.type FROM (SELECT DISTINCT interface FROM itf) i, (SELECT DISTINCT type FROM mt) t WHERE NOT EXISTS (SELECT 1 FROM itf n WHERE n.interface = i.interface AND NOT EXISTS (SELECT 1 FROM mt m WHERE m.type = t.type AND m.method = n.method))),
+cc AS (SELECT dc.*, type || '.' || method AS dst FROM dc JOIN im USING (interface)),
+asg AS (SELECT src, dst FROM sa UNION SELECT argument, variable FROM cc JOIN mt ON mt.type || '.' || mt.method = cc.dst WHERE argument IS NOT NULL),
+vt(variable, type) AS (SELECT variable, type FROM al UNION SELECT asg.dst, vt.type FROM vt JOIN asg ON asg.src = vt.variable),
+rf AS (SELECT dc.src, vt.type || '.' || dc.method AS dst FROM dc JOIN vt ON vt.variable = dc.receiver JOIN im ON im.interface = dc.interface AND im.type = vt.type)"""
+
+
+def program(spark, sf_dir):
+    """Keyword arguments of ``callgraph.built``."""
+    line, order, supplier = (table(spark, sf_dir, t) for t in ("lineitem", "orders", "supplier"))
+    text = lambda prefix, c: F.concat(F.lit(prefix), c.cast("string"))
+    part, supp, cust, key, n = (F.col(c) for c in ("l_partkey", "l_suppkey", "o_custkey", "o_orderkey", "s_suppkey"))
+    method = lambda owner, number: F.concat(text("p", F.floor(owner / 10)), text("m", number % 12))
+    callee = F.floor(cust / 15)
+    methods = line.where("l_quantity <= 1").select(text("T", supp).alias("type"), method(supp, part).alias("method"), text("v", supp * 12 + part % 12).alias("variable")).distinct()
+    calls = order.where("o_orderstatus = 'O'").select(
+        text("fn:", cust % 500).alias("src"), text("v", cust).alias("receiver"), text("I", callee).alias("interface"), method(callee, callee).alias("method"), F.when(key % 4 == 0, text("v", cust + 1)).alias("argument")
+    )
+    return {
+        "calls": calls,
+        "methods": methods,
+        "interfaces": supplier.select(text("I", n).alias("interface"), F.explode(F.array(method(n, n), method(n, n * 5 + 1))).alias("method")),
+        "allocations": line.where("l_quantity >= 50").select(text("v", part).alias("variable"), text("T", supp).alias("type")),
+        "assignments": order.where("o_orderstatus = 'F'").select(text("v", cust).alias("src"), text("v", F.floor(cust / 2) + key % 3).alias("dst")),
+        "parameters": methods.select(F.concat_ws(".", "type", "method").alias("function"), "variable"),
+    }
+
+
+@query("grf04_built_graph", f"{_PROGRAM}, ce AS (SELECT DISTINCT src, dst FROM cc) SELECT rf.src, rf.dst, 'vta' AS producer, CASE WHEN ce.src IS NOT NULL THEN 0.92::DOUBLE ELSE 0.60::DOUBLE END AS confidence, count(*) AS n FROM rf LEFT JOIN ce USING (src, dst) GROUP BY ALL")
+def grf04_built_graph(spark, sf_dir):
+    """GRF04: the call graph built from types, methods and assignments, refined and merged with the coarse one."""
+    refined, coarse = K.built(**program(spark, sf_dir))
+    merged = G.call_graph(refined.select("src", "dst"), coarse.select("src", "dst"), True)
+    return merged.groupBy("src", "dst", "producer", "confidence").agg(F.count("*").alias("n"))
+
+
+@query("grf04_coarse_graph", f"{_PROGRAM} SELECT src, dst, 'cha' AS producer, 0.75::DOUBLE AS confidence, count(*) AS n FROM cc GROUP BY src, dst")
+def grf04_coarse_graph(spark, sf_dir):
+    """GRF04: the coarse graph, which counts where the refinement fails."""
+    p = program(spark, sf_dir)
+    coarse = K.coarse_calls(p["calls"], K.implementations(p["methods"], p["interfaces"])).select("src", "dst")
+    merged = G.call_graph(coarse, coarse, False)
+    return merged.groupBy("src", "dst", "producer", "confidence").agg(F.count("*").alias("n"))
+
+
+@query("grf04_variable_types", f"{_PROGRAM} SELECT variable, count(*) AS types, string_agg(type, ',' ORDER BY type) AS names FROM vt GROUP BY variable")
+def grf04_variable_types(spark, sf_dir):
+    """GRF04: the types that reach each variable."""
+    p = program(spark, sf_dir)
+    coarse = K.coarse_calls(p["calls"], K.implementations(p["methods"], p["interfaces"]))
+    types = K.variable_types(p["allocations"], p["assignments"].union(K.passed(coarse, p["parameters"])))
+    return types.groupBy("variable").agg(F.count("*").alias("types"), F.array_join(F.array_sort(F.collect_list("type")), ",").alias("names"))
+
+
 @query("agg16_call_graph_result", f"""WITH {Q.EDGES}, ca AS (SELECT src, dst FROM ed WHERE kind = 'CALLS'), be AS (SELECT src, dst FROM ed WHERE kind <> 'CALLS')
 SELECT (SELECT count(*) FROM (SELECT src AS id FROM ca UNION SELECT dst FROM ca) n WHERE id NOT IN (SELECT src FROM be UNION SELECT dst FROM be)) AS nodes_added, (SELECT count(*) FROM ca) AS edges_added, TRUE AS vta_used""")
 def agg16_call_graph_result(spark, sf_dir):
