@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lintmill.operators import graph as G
+from lintmill.operators.order import least_by_digest
 
 
 def neighbourhood(edges: DataFrame, roots: DataFrame, kind: str, max_hops: int, min_confidence: float) -> DataFrame:
@@ -73,11 +73,10 @@ def splits(rows: DataFrame, date: str, pair: str, held_out, train_until: str, va
 
 
 def label_mix(examples: DataFrame, negative, part: int, whole: int, order) -> DataFrame:
-    """``examples`` (source, ...) with hard negatives at ``part`` in ``whole`` of a source's rows at least (DSG16): all of them, and as many others, in ``order``, as that allows."""
-    counts = examples.groupBy("source").agg(F.floor(F.count_if(negative) * (whole - part) / part).alias("__most"))
-    others = examples.where(~negative).withColumn("__n", F.row_number().over(W.partitionBy("source").orderBy(*order)))
-    kept = others.join(counts, "source").where(F.col("__n") <= F.col("__most")).drop("__n", "__most")
-    return kept.unionByName(examples.where(negative))
+    """``examples`` (source, ...) with hard negatives at ``part`` in ``whole`` of a source's rows at least (DSG16): all of them, and as many others, in
+    ``order``, as that allows; its first column is a hexadecimal digest. Sources of any size: none is sorted whole."""
+    limits = examples.groupBy("source").agg(F.floor(F.count_if(negative) * (whole - part) / part).alias("most"))
+    return least_by_digest(examples.where(~negative), ("source",), limits, *order).unionByName(examples.where(negative))
 
 
 def weighted_rate(votes: DataFrame, least: float) -> DataFrame:

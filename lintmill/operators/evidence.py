@@ -2,29 +2,50 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lintmill.functions import rules as R
+from lintmill.sources.store import written
+
+
+def _taken(budget: int):
+    """Over rows (group, id, tokens) in order: those that still fit, with their place in the group. What is carried from batch to batch is the group and what it has used."""
+
+    def run(batches):
+        key, used, place = None, 0, 0
+        for batch in batches:
+            groups, tokens = batch.column(0).to_pylist(), batch.column(2).to_pylist()
+            take, places = [], []
+            for i, (group, t) in enumerate(zip(groups, tokens, strict=True)):
+                if (group,) != key:
+                    key, used, place = (group,), 0, 0
+                if used + t <= budget:
+                    take.append(i)
+                    places.append(place)
+                    used, place = used + t, place + 1
+            yield pa.RecordBatch.from_arrays([*(c.take(pa.array(take, pa.int64())) for c in batch.columns), pa.array(places, pa.int32())], names=[*batch.schema.names, "place"])
+
+    return run
 
 
 def packed(units: DataFrame, budget: int, key: str = "grp") -> DataFrame:
     """Units (key, id, seq, priority, tokens, text) that fit a token budget: by priority, then input order; one that doesn't fit is skipped.
 
-    An ordered fold over one group's units, whose number a group's budget bounds in practice; a running sum would give another result.
+    A fold in order with what is used so far as its state, since a running sum would give another result. Groups are sorted and streamed, so a group
+    may have any number of units; a unit that is over the whole budget is counted and not sorted. A group's row of totals stays if nothing fits.
     """
     tokens = F.when(F.col("tokens") == 0, R.token_estimate(F.col("text"))).otherwise(F.col("tokens"))
-    rows = F.array_sort(F.collect_list(F.struct((-F.col("priority")).alias("p"), "seq", "id", "t")))
-    start = F.expr("cast(struct(0, array()) as struct<used:bigint,ids:array<struct<id:string,t:bigint>>>)")
-
-    def take(acc, u):
-        fits = acc["used"] + u["t"] <= budget
-        more = F.struct((acc["used"] + u["t"]).alias("used"), F.concat(acc["ids"], F.array(F.struct(u["id"].alias("id"), u["t"].alias("t")))).alias("ids"))
-        return F.when(fits, more).otherwise(acc)
-
-    grouped = units.withColumn("t", tokens.cast("bigint")).groupBy(key).agg(rows.alias("u"))
-    out = grouped.select(key, F.size("u").alias("n"), F.aggregate("u", start, take).alias("x"))
-    return out.select(key, F.col("x.used").alias("tokens"), (F.col("n") - F.size("x.ids")).alias("dropped"), F.posexplode_outer("x.ids").alias("place", "unit")).select(key, "tokens", "dropped", "place", "unit.id")
+    rows = units.select(key, "id", tokens.cast("bigint").alias("t"), (-F.col("priority")).alias("p"), "seq")
+    fits = rows.where(F.col("t") <= budget).repartition(key).sortWithinPartitions(key, "p", "seq", "id", "t").select(key, "id", "t")
+    schema = T.StructType([*fits.schema.fields, T.StructField("place", T.IntegerType())])
+    taken = written(fits.mapInArrow(_taken(budget), schema), "packed")
+    totals = taken.groupBy(key).agg(F.sum("t").alias("tokens"), F.count("*").alias("__taken"))
+    totals = units.groupBy(key).agg(F.count("*").alias("__n")).join(totals, key, "left")
+    totals = totals.select(key, F.coalesce("tokens", F.lit(0)).alias("tokens"), (F.col("__n") - F.coalesce("__taken", F.lit(0))).cast("int").alias("dropped"))
+    return totals.join(taken.select(key, "place", "id"), key, "left").select(key, "tokens", "dropped", "place", "id")
 
 
 def rendered(pack: DataFrame, units: DataFrame, key: str = "grp") -> DataFrame:

@@ -15,6 +15,8 @@ from lintmill.sources.text import MARKER
 
 KEYS = ("repo", "side")
 HEAD_LINES, MARKER_LINES, RADIUS = 50, 20, 6
+#: Tables of gates up to this many repositories are broadcast.
+BROADCAST_GATES = 10_000
 
 
 def dedupe(findings: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
@@ -89,7 +91,8 @@ def gated(findings: DataFrame, gates: DataFrame, keys: tuple[str, ...] = KEYS) -
     and of rules that are not excluded, the highest ``max_comments`` of them. ``gates`` has a row per repository that names its own."""
     default = F.broadcast(gates.where("repo = ''").limit(1).drop("repo").select(*[F.col(c).alias(f"__d_{c}") for c in gates.columns if c != "repo"]))
     own = gates.where("repo <> ''").select("repo", *[F.col(c).alias(f"__g_{c}") for c in gates.columns if c != "repo"], F.lit(True).alias("__own"))
-    rows = findings.join(own, "repo", "left").join(default)
+    about = gates.agg(F.max("max_comments").alias("most"), F.count("*").alias("n")).first()
+    rows = findings.join(F.broadcast(own) if about["n"] <= BROADCAST_GATES else own, "repo", "left").join(default)
     rule = lambda c: F.when(F.col("__own"), F.col(f"__g_{c}")).otherwise(F.col(f"__d_{c}"))
     shown = (
         (R.priority_rank(F.col("priority")) >= R.priority_rank(rule("min_priority")))
@@ -99,7 +102,8 @@ def gated(findings: DataFrame, gates: DataFrame, keys: tuple[str, ...] = KEYS) -
     )
     rows = rows.where(shown).withColumn("__most", rule("max_comments"))
     place = F.row_number().over(W.partitionBy(*keys).orderBy(F.desc("score"), "file", "line", "ord"))
-    return rows.withColumn("rank", place).where(F.col("rank") <= F.col("__most")).select(*findings.columns, "rank")
+    # the largest limit is a number in the plan, so that Spark limits every report before the shuffle
+    return rows.withColumn("rank", place).where(F.col("rank") <= int(about["most"] or 0)).where(F.col("rank") <= F.col("__most")).select(*findings.columns, "rank")
 
 
 def min_priority(findings: DataFrame, floor: str) -> DataFrame:

@@ -53,3 +53,32 @@ def carried(rows: DataFrame, value: str, *order: str | Column, name: str = "late
     above = F.get(F.array(*(F.lit(x).cast(kind) for x in before)), F.least(part, F.lit(len(before) - 1)))
     here = F.last(value, ignorenulls=True).over(W.partitionBy("__part").orderBy("__raw").rowsBetween(W.unboundedPreceding, W.currentRow))
     return spread.withColumn("__part", part).withColumn(name, F.coalesce(here, above)).drop("__raw", "__part")
+
+
+#: Rows of a group that one task may sort.
+SORTED_ROWS = 10_000
+
+
+def least_by_digest(rows: DataFrame, keys: tuple[str, ...], limits: DataFrame, digest: Column, *order: str | Column, sorted_rows: int = SORTED_ROWS) -> DataFrame:
+    """The first rows of each group by (``digest``, ``order``), as many as ``limits`` (keys, most) says, without a sort of any group.
+
+    ``digest`` is hexadecimal, so evenly spread. Rows are counted by group and by two more of its digits, which adds up before the shuffle; the digits at
+    which a group's limit lies are counted on, two by two, until no more than ``sorted_rows`` rows have the same ones, and only those are sorted.
+    """
+    own = rows.withColumn("__digest", digest)
+    cut = written(limits.where("most > 0").select(*keys, F.lit("").alias("__cut"), F.col("most").cast("bigint").alias("__left")), "cut")
+    for width in range(2, 65, 2):
+        within = own.join(cut, list(keys)).where(F.col("__digest").startswith(F.col("__cut")))
+        counts = within.groupBy(*keys, "__left", F.substring("__digest", 1, width).alias("__cut")).agg(F.count("*").alias("n"))
+        above = F.coalesce(F.sum("n").over(W.partitionBy(*keys).orderBy("__cut").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))  # at most 256 rows of a group
+        found = counts.withColumn("__above", above).where(F.col("__above") < F.col("__left"))
+        last = F.row_number().over(W.partitionBy(*keys).orderBy(F.desc("__cut")))
+        cut = written(found.withColumn("__n", last).where("__n = 1").select(*keys, "__cut", (F.col("__left") - F.col("__above")).alias("__left"), "n"), "cut")
+        if (cut.agg(F.max("n")).first()[0] or 0) <= sorted_rows:
+            break
+    joined = own.join(cut.drop("n"), list(keys))
+    same = F.col("__digest").startswith(F.col("__cut"))
+    before = joined.where(~same & (F.col("__digest") < F.col("__cut")))
+    place = F.row_number().over(W.partitionBy(*keys).orderBy("__digest", *order))
+    border = joined.where(same).withColumn("__n", place).where(F.col("__n") <= F.col("__left")).drop("__n")
+    return before.unionByName(border).select(*(F.col(f"`{c}`") for c in rows.columns))
