@@ -259,3 +259,39 @@ def sarif_results(findings: DataFrame) -> DataFrame:
 def sarif_rules(findings: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
     """The rules of each report in order of their ids, with category and tool of their first finding."""
     return findings.groupBy(*keys, "rule").agg(F.min_by("category", "ord").alias("category"), F.min_by("tool", "ord").alias("tool"), F.count("*").alias("n"))
+
+
+#: Hashes that a distinct-count sketch keeps, as a power of two; counts up to that are exact, beyond it the relative standard error is 1 over their square root, 1.6 %.
+SKETCH_LG = 12
+_SKETCHED = ("repos", "reported", "suppressed")
+
+
+def rule_sketches(findings: DataFrame, lg: int = SKETCH_LG) -> DataFrame:
+    """Per tool and rule: distinct-count sketches (binary) of its repositories, of its reported and of its human-suppressed findings.
+
+    Such tables may be merged in any order and more than once, and may cover the same repositories: a finding counts once, by its repository, side, fingerprint and place.
+    """
+    human = ~F.col("suppress_reason").isin("", "vendored", "generated")
+    keep = F.col("suppress_reason") == ""
+    own = F.concat_ws("\u0000", "repo", "side", "fingerprint", F.col("line").cast("string"), F.col("col").cast("string"))
+    counted = findings.where(keep | human)
+    sketch = lambda c: F.theta_sketch_agg(c, F.lit(lg))  # noqa: E731  nulls are not counted
+    return counted.groupBy("tool", "rule").agg(sketch(F.col("repo")).alias("repos"), sketch(F.when(keep, own)).alias("reported"), sketch(F.when(human, own)).alias("suppressed"))
+
+
+def merged_sketches(tables: DataFrame, lg: int = SKETCH_LG) -> DataFrame:
+    """Any number of ``rule_sketches`` tables, in one, as one."""
+    return tables.groupBy("tool", "rule").agg(*(F.theta_union_agg(c, F.lit(lg)).alias(c) for c in _SKETCHED))
+
+
+def sketch_estimates(table: DataFrame) -> DataFrame:
+    """The counts that a table of sketches stands for, and the rate of suppressed findings."""
+    counts = table.select("tool", "rule", *(F.theta_sketch_estimate(c).alias(c) for c in _SKETCHED))
+    total = F.col("reported") + F.col("suppressed")
+    return counts.withColumn("rate", F.when(total == 0, 0.0).otherwise(R.rounded(F.col("suppressed") / total, 3)))
+
+
+def exact_members(findings: DataFrame) -> DataFrame:
+    """(tool, rule, repo): the sets beside the sketches; their union is the distinct union of such tables."""
+    human = ~F.col("suppress_reason").isin("", "vendored", "generated")
+    return findings.where((F.col("suppress_reason") == "") | human).select("tool", "rule", "repo").distinct()

@@ -73,9 +73,16 @@ def inventory(files: DataFrame) -> DataFrame:
 
 
 def walk(spark, root: str) -> DataFrame:
-    """Files (path, text) below a directory, for ``inventory``."""
+    """Files (path, text) below a directory, for ``inventory``. Spark's reader leaves out empty files, so these come from a listing of the directory."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    return raw.select(F.regexp_replace("path", f"^.*?{root.rstrip('/')}/", "").alias("path"), F.col("content").cast("string").alias("text"))
+    folder = spark._jvm.org.apache.hadoop.fs.Path(root)
+    listing, empty = folder.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(folder, True), []
+    while listing.hasNext():
+        status = listing.next()
+        if not status.getLen():
+            empty.append((status.getPath().toString(), ""))
+    rows = raw.select("path", F.col("content").cast("string").alias("text")).union(spark.createDataFrame(empty, "path string, text string"))
+    return rows.withColumn("path", F.regexp_replace("path", f"^.*?{root.rstrip('/')}/", ""))
 
 
 OCCURRENCES = "moniker string, path string, line int, col int, is_definition boolean"
