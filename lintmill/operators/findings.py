@@ -37,8 +37,9 @@ def suppressions(findings: DataFrame, lines: DataFrame) -> DataFrame:
     """``findings`` with the comment that suppresses each one (directive, empty if none)."""
     file = lines.where(F.col("line_no") <= HEAD_LINES).where(F.col("text").rlike(R.FILE_IGNORE)).select("doc_id", F.col("line_no").alias("__n"), F.regexp_extract("text", R.FILE_IGNORE, 1).alias("__rules"))
     per_file = file.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("__n", "__rules"))).alias("__file"))  # at most HEAD_LINES entries
-    here = lines.select("doc_id", F.col("line_no").alias("line"), F.col("text").alias("__here"))
-    above = lines.select("doc_id", (F.col("line_no") + 1).alias("line"), F.col("text").alias("__above"))
+    told = lines.where(F.col("text").rlike(R.NOLINT) | F.col("text").rlike(R.LINT_IGNORE))  # other lines suppress nothing, so only these are joined
+    here = told.select("doc_id", F.col("line_no").alias("line"), F.col("text").alias("__here"))
+    above = told.select("doc_id", (F.col("line_no") + 1).alias("line"), F.col("text").alias("__above"))
     joined = findings.join(per_file, "doc_id", "left").join(here, ["doc_id", "line"], "left").join(above, ["doc_id", "line"], "left")
     rule, tool = F.col("rule"), F.col("tool")
     hit = F.get(F.filter("__file", lambda x: R.rule_listed(x["__rules"], rule)), 0)["__rules"]
@@ -246,6 +247,24 @@ def lifecycle(findings: DataFrame) -> DataFrame:
     return out.select("repo", "fingerprint", "snapshot", state.alias("state"), fixed.alias("fixed_next"))
 
 
+def lifecycle_states(findings: DataFrame) -> DataFrame:
+    """(repo, fingerprint, snapshot, state) of classified findings with the day they were ``seen``, snapshots being years (our own definition).
+
+    suppressed: there, but every place of it is suppressed. introduced: not in the snapshot before. reported_again: suppressed in the one before.
+    persisted: reported in the one before. fixed: not there, but in the one before; what is gone after a repository's last snapshot is not known to be fixed.
+    """
+    seen = findings.groupBy("repo", "fingerprint", F.year("seen").alias("snapshot")).agg(F.bool_and(F.col("suppress_reason") != "").alias("hidden"))
+    w = W.partitionBy("repo", "fingerprint").orderBy("snapshot")
+    last = findings.groupBy("repo").agg(F.max(F.year("seen")).alias("last"))
+    at = F.col("snapshot")
+    out = seen.withColumns({"before": F.lag("snapshot").over(w), "was_hidden": F.lag("hidden").over(w), "after": F.lead("snapshot").over(w)}).join(last, "repo")
+    follows = F.coalesce(F.col("before") == at - 1, F.lit(False))
+    state = F.when(F.col("hidden"), "suppressed").when(~follows, "introduced").when(F.col("was_hidden"), "reported_again").otherwise("persisted")
+    gone = (at < F.col("last")) & (F.coalesce("after", F.lit(0)) != at + 1)
+    rows = F.array(F.struct(at.alias("snapshot"), state.alias("state")), F.when(gone, F.struct((at + 1).alias("snapshot"), F.lit("fixed").alias("state"))))
+    return out.select("repo", "fingerprint", F.explode(F.filter(rows, lambda x: x.isNotNull())).alias("x")).select("repo", "fingerprint", "x.snapshot", "x.state")
+
+
 def sarif_results(findings: DataFrame) -> DataFrame:
     """One result record per finding, as JSON, beside the report it belongs to."""
     line = F.greatest("line", F.lit(1))

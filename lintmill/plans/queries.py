@@ -124,6 +124,19 @@ def agg14_inventory_totals(spark, sf_dir):
     return out.withColumn("language", F.coalesce("language", F.lit("all")))
 
 
+@query("src12_file_lines", """WITH f AS (SELECT doc_id, replace(coalesce(text, ''), chr(10), CASE WHEN doc_id % 3 = 0 THEN chr(13) || chr(10) ELSE chr(10) END) || CASE WHEN doc_id % 4 = 0 THEN chr(10) ELSE '' END AS t FROM documents),
+s AS (SELECT doc_id, string_split(t, chr(10)) AS p, t FROM f), w AS (SELECT doc_id, CASE WHEN t = '' OR ends_with(t, chr(10)) THEN p[1:len(p) - 1] ELSE p END AS p FROM s),
+l AS (SELECT doc_id, unnest(p) AS raw, generate_subscripts(p, 1) AS n FROM w), x AS (SELECT doc_id, min(n) AS n FROM l WHERE strlen(raw) > 2000 GROUP BY doc_id)
+SELECT l.doc_id, count(*) AS lines, sum(length(regexp_replace(raw, '\\r$', '')))::BIGINT AS chars, sha256(string_agg(regexp_replace(raw, '\\r$', ''), '|' ORDER BY l.n)) AS digest FROM l LEFT JOIN x USING (doc_id) WHERE x.n IS NULL OR l.n < x.n GROUP BY l.doc_id""")
+def src12_file_lines(spark, sf_dir):
+    """SRC12: lines of files with both kinds of line ends, read up to the first line of over 2,000 bytes."""
+    i = F.col("doc_id")
+    text = F.replace(F.coalesce("text", F.lit("")), F.lit("\n"), F.when(i % 3 == 0, "\r\n").otherwise("\n"))
+    files = table(spark, sf_dir, "documents").select(i, F.concat(text, F.when(i % 4 == 0, "\n").otherwise("")).alias("text"))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "text"))), lambda x: x["text"]), "|")  # of one file
+    return X.file_lines(files, "doc_id", 2000).groupBy("doc_id").agg(F.count("*").alias("lines"), F.sum(F.length("text")).cast("bigint").alias("chars"), F.sha2(joined, 256).alias("digest"))
+
+
 @query("src13_build_config", """WITH v AS (SELECT n_nationkey AS k, (['1.21', '1.22.3', '1.23', 'go1.26', '1.22rc1', ''])[n_nationkey % 6 + 1] AS version FROM nation),
 w AS (SELECT k, 'example.org/m' || k AS module, CASE WHEN k % 4 = 0 THEN CASE WHEN k % 3 = 0 THEN '1.24.1' ELSE '' END ELSE version END AS go_version FROM v)
 SELECT k AS repo, module, go_version, 'linux' AS goos, 'amd64' AS goarch,
@@ -393,6 +406,15 @@ def dsg11_lifecycle(spark, sf_dir):
     return O.lifecycle(findings_raw(spark, sf_dir))
 
 
+@query("dsg11_lifecycle_states", f"""WITH {Q.CLASSIFIED}, s AS (SELECT repo, fingerprint, year(seen) AS day, bool_and(suppress_reason <> '') AS hidden FROM cl GROUP BY ALL), m AS (SELECT repo, max(year(seen)) AS last FROM cl GROUP BY repo),
+w AS (SELECT *, lag(at_) OVER p AS before, lag(hidden) OVER p AS was, lead(at_) OVER p AS after FROM (SELECT repo, fingerprint, day AS at_, hidden FROM s) WINDOW p AS (PARTITION BY repo, fingerprint ORDER BY at_))
+SELECT repo, fingerprint, CAST(at_ AS INT) AS snapshot, CASE WHEN hidden THEN 'suppressed' WHEN before IS DISTINCT FROM at_ - 1 THEN 'introduced' WHEN was THEN 'reported_again' ELSE 'persisted' END AS state FROM w
+UNION ALL SELECT repo, fingerprint, CAST(at_ + 1 AS INT), 'fixed' FROM w JOIN m USING (repo) WHERE at_ < last AND after IS DISTINCT FROM at_ + 1""")
+def dsg11_lifecycle_states(spark, sf_dir):
+    """DSG11: introduced, persisted, suppressed, reported again and fixed, per finding and snapshot."""
+    return O.lifecycle_states(classified(spark, sf_dir))
+
+
 @query("dsg22_measured_priors", f"WITH {_FREQUENCY} SELECT tool, rule, {Q.PRIOR} AS prior, CAST(floor({Q.PRIOR} * (reported + 5.0::DOUBLE) / (reported + suppressed + 5.0::DOUBLE) + 0.5) AS BIGINT) AS measured FROM fq")
 def dsg22_measured_priors(spark, sf_dir):
     """Priors shrunk by the share of dismissed findings; our own formula, with five pseudo-findings."""

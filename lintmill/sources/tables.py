@@ -30,7 +30,7 @@ def findings_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """repo, side, tool, rule, severity, category, file, doc_id, line, col, message, fingerprint, ord (input order) per reported finding."""
     t = table(spark, sf_dir, "lineitem")
     part, supp, flag = F.col("l_partkey"), F.col("l_suppkey"), F.col("l_returnflag")
-    doc = part % F.lit(max(1, table(spark, sf_dir, "documents").count()))  # files are as many as documents
+    doc = part % table(spark, sf_dir, "documents").agg(F.greatest(F.count("*"), F.lit(1))).scalar()  # files are as many as documents
     file = F.concat(_pick(DIRS, supp % 5), F.lit("/f"), doc.cast("string"), F.when(doc % 5 == 0, "_test.go").otherwise(".go"))
     rule = F.when(flag == "A", _pick(VET_RULES, part % 9)).when(flag == "N", _pick(STATIC_RULES, part % 22)).otherwise(F.concat(F.lit("G10"), (part % 5).cast("string")))
     out = t.select(

@@ -85,6 +85,22 @@ def walk(spark, root: str) -> DataFrame:
     return rows.withColumn("path", F.regexp_replace("path", f"^.*?{root.rstrip('/')}/", ""))
 
 
+#: A longer line ends what is read of a file.
+MAX_LINE_BYTES = 4 << 20
+
+
+def file_lines(files: DataFrame, key: str = "path", max_line_bytes: int = MAX_LINE_BYTES) -> DataFrame:
+    """(key, line_no, text) of the lines of files (key, text): 1-based, without a carriage return at their end; a line break at the file's end adds none.
+
+    Reading stops before a line of more than ``max_line_bytes``. A null text, as of an unreadable file, has no lines.
+    """
+    cut = F.split("text", "\n")
+    whole = F.when(F.endswith("text", F.lit("\n")) | (F.col("text") == ""), F.slice(cut, 1, F.size(cut) - 1)).otherwise(cut)
+    lines = files.select(key, F.posexplode(whole).alias("pos", "raw"), F.array_position(F.transform(whole, lambda x: F.octet_length(x) > max_line_bytes), True).alias("long"))
+    read = lines.where((F.col("long") == 0) | (F.col("pos") + 1 < F.col("long")))
+    return read.select(key, (F.col("pos") + 1).alias("line_no"), F.regexp_replace("raw", "\r\\z", "").alias("text"))
+
+
 OCCURRENCES = "moniker string, path string, line int, col int, is_definition boolean"
 CHUNKS = "path string, start_line int, end_line int, kind string, name string, text string"
 

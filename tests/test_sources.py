@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from lintmill.operators import findings as O
 from lintmill.sources.folders import findings_of, tool_lines
-from lintmill.sources.text import inventory, parse_vet, walk
+from lintmill.sources.text import file_lines, inventory, parse_vet, walk
 from lintmill.streaming.reindex import changed_files
 
 VET = ["# pkg", "./a.go:3:4: the cancel function is not used", "b_test.go:7:1: Unreachable code", "no place here", "c.go:9: no column", ""]
@@ -101,3 +101,21 @@ def test_changed_files_as_a_stream_equal_the_batches_sum_and_survive_a_restart(s
         run()
         assert out[-1] == want[i]
     assert len(out) == 3
+
+
+def test_lines_of_files(spark):
+    texts = ["a\r\nb\r\r\n\nc", "a\n", "", "\n", None, "x\n" + "é" * 6 + "\ny", "é" * 5, "\r", "a\rb\n\n"]
+    got = {}
+    for r in file_lines(spark.createDataFrame(list(enumerate(texts)), "path int, text string"), max_line_bytes=10).orderBy("path", "line_no").collect():
+        got.setdefault(r.path, []).append((r.line_no, r.text))
+    want = {0: ["a", "b\r", "", "c"], 1: ["a"], 3: [""], 5: ["x"], 6: ["é" * 5], 7: [""], 8: ["a\rb", ""]}
+    assert got == {i: list(enumerate(x, 1)) for i, x in want.items()}
+
+
+def test_states_of_findings_over_snapshots(spark):
+    import datetime
+
+    day = lambda y: datetime.date(y, 5, 1)
+    rows = [("r", "f", day(y), reason) for y, reason in ((2001, ""), (2002, ""), (2003, "nolint"), (2004, ""), (2006, ""), (2006, "vendored"))] + [("r", "g", day(2008), "")]
+    got = {(x.fingerprint, x.snapshot, x.state) for x in O.lifecycle_states(spark.createDataFrame(rows, "repo string, fingerprint string, seen date, suppress_reason string")).collect()}
+    assert got == {("f", 2001, "introduced"), ("f", 2002, "persisted"), ("f", 2003, "suppressed"), ("f", 2004, "reported_again"), ("f", 2005, "fixed"), ("f", 2006, "introduced"), ("f", 2007, "fixed"), ("g", 2008, "introduced")}
