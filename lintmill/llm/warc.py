@@ -17,6 +17,7 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from datetime import datetime
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -39,6 +40,8 @@ RECORDS = (
     "block_digest string, payload_digest string, payload_bytes bigint, http_head binary, payload binary"
 )
 READ = "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, record_id string"
+#: An address and a date of up to 14 digits, as they stand in every header line.
+_IP, _DAY = rb"(?:\d{1,3}(?:\.\d{1,3}){3}|[0-9A-Fa-f]*:[0-9A-Fa-f:.]+|-)", rb"\d{4,14}"
 _KEY = re.compile(rb"^X-Page-Id: (-?\d+)\r$", re.M | re.I)
 _LENGTH = re.compile(rb"^Content-Length: (\d+)\r$", re.M | re.I)
 
@@ -91,28 +94,48 @@ def write_arc(name: str, rows: list[tuple[int | None, str | None, bytes]], versi
     return b"".join(out)
 
 
+def _header(fields: list[bytes]) -> re.Pattern:
+    """Header lines of these fields: address and date by their forms, as far right as they come, so blanks may stand in a URL before and in a media type after them."""
+    if fields[:4] == FIELDS_1.split()[:4]:
+        return re.compile(rb"(.*) (" + _IP + rb") (" + _DAY + rb") (.*)" + rb" (\S+)" * (len(fields) - 5) + rb" (\d+)")
+    return re.compile(rb"(.*)" + rb" (\S+)" * (len(fields) - 2) + rb" (\d+)")
+
+
+def timestamp(day: bytes, else_day: bytes = DATE) -> str:
+    """An ISO time from up to 14 digits, what is missing being the earliest; ``else_day`` counts where there is no such time."""
+    for x in (day, else_day, DATE):
+        text = x.decode("latin-1") + "00000101000000"[len(x) :]
+        try:
+            return datetime.strptime(text, "%Y%m%d%H%M%S").strftime("%Y-%m-%dT%H:%M:%SZ").rjust(20, "0")
+        except ValueError:
+            continue
+    raise ValueError("no date")
+
+
 def parse_arc(data: bytes) -> Iterator[dict]:
     """The records of an archive, without its version block. A line that is no header line is skipped; a length beyond the end
-    is cut at the end."""
+    is cut at the end. ``archive`` is the date of the version block, for records whose own is none."""
     data = unzipped(data)
-    at, fields = 0, FIELDS_1.split()
+    at, fields, own = 0, FIELDS_1.split(), DATE
+    pattern = _header(fields)
     while at < len(data):
         end = data.find(b"\n", at)
         end = len(data) if end < 0 else end
         header = data[at:end].rstrip(b"\r")
         at = end + 1
-        values = header.rsplit(b" ", len(fields) - 1)
         if header.startswith(b"filedesc://"):  # its own line already has the fields of its version
-            values = [header.split(b" ")[0], header.rsplit(b" ", 1)[-1]]
-        if len(values) < 2 or not values[-1].isdigit():
+            values = header.split(b" ")
+            if not values[-1].isdigit():
+                continue
+            length = int(values[-1])
+            lines = data[at : at + length].split(b"\n")
+            fields = lines[1].split() if len(lines) > 1 and lines[1].startswith(b"URL ") else FIELDS_2.split() if lines[0][:1] == b"2" else FIELDS_1.split()
+            pattern, own = _header(fields), values[2] if len(values) > 2 else DATE
+        elif m := pattern.fullmatch(header):
+            length = int(m[m.lastindex])
+            yield dict(zip((f.decode("latin-1") for f in fields), m.groups(), strict=True)) | {"block": data[at : at + length], "at": at, "archive": own}
+        else:
             continue
-        length = int(values[-1])
-        block = data[at : at + length]
-        if header.startswith(b"filedesc://"):
-            lines = block.split(b"\n")
-            fields = lines[1].split() if len(lines) > 1 and lines[1].startswith(b"URL ") else FIELDS_2.split() if block[:1] == b"2" else FIELDS_1.split()
-        elif len(values) == len(fields):
-            yield dict(zip((f.decode("latin-1") for f in fields), values, strict=True)) | {"block": block, "at": at}
         at += length
         if data[at : at + 1] == b"\n":
             at += 1
@@ -124,8 +147,7 @@ def convert(record: dict) -> tuple:
     head, payload, kind = b"", block, "resource"
     if block.startswith(b"HTTP/") and (cut := block.find(b"\r\n\r\n")) >= 0:
         head, payload, kind = block[: cut + 4], block[cut + 4 :], "response"
-    day = (record["Archive-date"].decode("latin-1") + "00000000000000")[:14]
-    date = f"{day[:4]}-{day[4:6]}-{day[6:8]}T{day[8:10]}:{day[10:12]}:{day[12:14]}Z"
+    date = timestamp(record["Archive-date"], record.get("archive", DATE))
     key = int(m[1]) if (m := _KEY.search(head)) else None
     own = digest(payload)
     name = uuid.uuid5(uuid.NAMESPACE_URL, f"{url} {date} {key} {own}")

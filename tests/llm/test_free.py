@@ -252,6 +252,21 @@ def test_archives_of_both_versions_parse_by_declared_length():
     assert list(warc.parse_arc(b"")) == []
 
 
+def test_header_lines_with_blanks_and_bad_dates():
+    one = b"filedesc://x.arc 0.0.0.0 19990203040506 text/plain 77\n" + (about := b"1 0 someone\nURL IP-address Archive-date Content-type Archive-length\n").ljust(77, b" ")
+    lines = [
+        (b"http://a/ 1.2.3.4 20000101000000 text/html; charset=utf-8 4", ("http://a/", "1.2.3.4", "2000-01-01T00:00:00Z", "text/html; charset=utf-8")),
+        (b"http://a/b c 1.2.3.4 5 10.0.0.1 2001 text/plain 4", ("http://a/b c 1.2.3.4 5", "10.0.0.1", "2001-01-01T00:00:00Z", "text/plain")),
+        (b"http://v6/ 2001:db8::1 20011301000000 text/plain 4", ("http://v6/", "2001:db8::1", "1999-02-03T04:05:06Z", "text/plain")),
+        (b"http://none/ - 2001020301 a b c 4", ("http://none/", "-", "2001-02-03T01:00:00Z", "a b c")),
+    ]
+    data = one + b"\n" + b"http://bad/ 1.2.3.4 2000010100000099 text/html 4\nthis\n" + b"".join(x + b"\nbody\n" for x, _ in lines)
+    got = [(r[3], r[5], r[4], r[6]) for r in map(warc.convert, warc.parse_arc(data))]
+    assert about and got == [want for _, want in lines]
+    two = b"filedesc://x.arc 0.0.0.0 19990203040506 text/plain 200 - - 0 x.arc 9\n2 0 me\n\n\n" + b"http://a b/ 1.2.3.4 20000101 text/html; x=y 404 sum - 12 x.arc 4\nbody\n"
+    assert [(r["URL"], r["Content-type"], r["Result-code"], r["Offset"], r["block"]) for r in warc.parse_arc(two)] == [(b"http://a b/", b"text/html; x=y", b"404", b"12", b"body")]
+
+
 def test_archive_round_trip_with_revisits(spark, sf_dir):
     pages = [(r.page_id, r.url, r.html) for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()]
     pages += [(i + 1000, "http://other", h) for i, _, h in pages[:9]] + [(2000, None, None), (2001, "u v", ""), (2002, "crlf", "a\r\n\r\nWARC/1.1\r\n\r\n\r\n")]
