@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lintmill.operators import findings as O
+from lintmill.sources.datasource import register
 from lintmill.sources.folders import findings_of, tool_lines
 from lintmill.sources.text import file_lines, inventory, parse_vet, walk
 from lintmill.streaming.reindex import changed_files
@@ -119,3 +120,43 @@ def test_states_of_findings_over_snapshots(spark):
     rows = [("r", "f", day(y), reason) for y, reason in ((2001, ""), (2002, ""), (2003, "nolint"), (2004, ""), (2006, ""), (2006, "vendored"))] + [("r", "g", day(2008), "")]
     got = {(x.fingerprint, x.snapshot, x.state) for x in O.lifecycle_states(spark.createDataFrame(rows, "repo string, fingerprint string, seen date, suppress_reason string")).collect()}
     assert got == {("f", 2001, "introduced"), ("f", 2002, "persisted"), ("f", 2003, "suppressed"), ("f", 2004, "reported_again"), ("f", 2005, "fixed"), ("f", 2006, "introduced"), ("f", 2007, "fixed"), ("g", 2008, "introduced")}
+
+
+def test_the_data_source_gives_the_lines_of_a_folder_with_their_numbers(spark, folder):
+    register(spark)
+    lines = spark.read.format("analyzer_output").load(folder)
+    assert lines.rdd.getNumPartitions() == 9
+    got = sorted((r.repo, r.side, r.line_no, r.value) for r in lines.where("source = 'vet'").collect())
+    assert got == sorted((r, s, n, v) for r, s in (("org__one", "base"), ("org__one", "head"), ("org two+three", "head")) for n, v in enumerate([*VET, f"{r}.go:1:1: self-assignment of x"], 1))
+    assert rows(findings_of(lines.drop("path", "line_no"))) == rows(findings_of(tool_lines(spark, folder)))
+    first = findings_of(lines).withColumns({"ord": F.struct("path", "line_no")})
+    assert O.dedupe(first).count() == first.count()
+    assert sorted(map(tuple, spark.read.format("analyzer_output").schema("side string, line_no bigint").load(folder).distinct().collect()))[:2] == [("base", 1), ("base", 2)]
+
+
+def test_the_data_source_as_a_stream_goes_on_after_a_restart(spark, folder, tmp_path):
+    register(spark)
+
+    def run():
+        stream = findings_of(spark.readStream.format("analyzer_output").load(folder).drop("path", "line_no"))
+        stream.writeStream.format("parquet").option("path", str(tmp_path / "sink")).option("checkpointLocation", str(tmp_path / "state")).trigger(once=True).start().awaitTermination()
+        return rows(spark.read.parquet(str(tmp_path / "sink")))
+
+    assert run() == rows(findings_of(tool_lines(spark, folder)))
+    at = tmp_path / "out put" / "new" / "base"
+    at.mkdir(parents=True)
+    (at / "vet.txt").write_text("z.go:1:1: Unreachable code")
+    assert run() == rows(findings_of(tool_lines(spark, folder))) and len(run()) == 3 * 4 + 1
+
+
+def test_long_files_come_in_batches_and_packed_ones_are_unpacked(spark, tmp_path):
+    import gzip
+
+    register(spark)
+    at = tmp_path / "r" / "repo" / "head"
+    at.mkdir(parents=True)
+    many = [f"a.go:{i}:1: Unreachable code" for i in range(1, 30_001)]
+    (at / "vet.txt.gz").write_bytes(gzip.compress("\n".join(many).encode()))
+    (at / "staticcheck.json").write_text("")
+    got = spark.read.format("analyzer_output").load(str(tmp_path / "r")).orderBy("line_no").collect()
+    assert [r.value for r in got] == many and [r.line_no for r in got] == list(range(1, 30_001))
