@@ -59,11 +59,11 @@ def _terms(texts: pa.BinaryArray) -> tuple[pa.BinaryArray, np.ndarray]:
     inside = _TERM[data]
     edge = np.zeros(len(data) + 1, dtype=bool)  # a text begins here
     edge[offsets[:-1] - offsets[0]] = True
-    before = np.concatenate([[False], inside[:-1]])
-    starts = np.flatnonzero(inside & (~before | edge[:-1]))
-    place = np.cumsum(inside) - 1  # in the bytes of terms alone
-    ends = np.append(place[starts[1:]], inside.sum()) if len(starts) else np.zeros(0, dtype=np.int64)
-    bounds = np.concatenate([[0], ends]).astype(np.int32)
+    starts, ends = inside.copy(), inside.copy()
+    starts[1:] &= ~inside[:-1] | edge[1:-1]
+    ends[:-1] &= ~inside[1:] | edge[1:-1]
+    starts, ends = np.flatnonzero(starts), np.flatnonzero(ends) + 1
+    bounds = np.concatenate([[0], np.cumsum(ends - starts)]).astype(np.int32)
     terms = pa.BinaryArray.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(data[inside])])
     return terms, np.searchsorted(offsets[1:] - offsets[0], starts, side="right")
 
