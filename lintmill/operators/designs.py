@@ -140,3 +140,12 @@ def history_features(table: DataFrame) -> DataFrame:
     return table.groupBy("id").agg(
         F.sum("changes").alias("changes"), F.sum("churn").alias("churn"), F.date_diff(as_of, F.min("first")).alias("age_days"), F.date_diff(as_of, F.max("last")).alias("idle_days"), F.count("owner").alias("owners")
     )
+
+
+def exposure(edges: DataFrame, entries: DataFrame, tests: DataFrame, kind: str, max_hops: int, min_confidence: float) -> DataFrame:
+    """Per node with edges of ``kind`` (DSG09): how many entries and how many tests (id) reach it within ``max_hops``, whether it is exposed and whether it is covered."""
+    every = G.nodes(G.of_kind(edges, kind))
+    by = lambda roots, name: G.reachable(edges, roots, kind, max_hops, min_confidence).groupBy("id").agg(F.count("*").alias(name))
+    rows = every.join(by(entries, "entries"), "id", "left").join(by(tests, "tests"), "id", "left")
+    entries_, tests_ = (F.coalesce(c, F.lit(0)) for c in ("entries", "tests"))
+    return rows.select("id", entries_.alias("entries"), tests_.alias("tests"), (entries_ > 0).alias("exposed"), (tests_ > 0).alias("covered"))

@@ -104,6 +104,16 @@ def dsg09_centrality(spark, sf_dir):
     return G.centrality(edges(spark, sf_dir), "CALLS").select("id", F.round("centrality", 9).alias("centrality"))
 
 
+@query("dsg09_exposure", _walk(_ROOTS, 3) + """, wt(root, id, hops) AS (SELECT 'fn:' || (i * 10 + 1), 'fn:' || (i * 10 + 1), 0 FROM range(50) t(i) UNION ALL SELECT DISTINCT root, b, hops + 1 FROM wt JOIN st ON st.a = wt.id WHERE hops < 3),
+tc AS (SELECT root, id FROM wt GROUP BY root, id HAVING min(hops) > 0), nd AS (SELECT src AS id FROM ed WHERE kind = 'CALLS' UNION SELECT dst FROM ed WHERE kind = 'CALLS'),
+x AS (SELECT id, (SELECT count(*) FROM rc WHERE rc.id = nd.id AND hops > 0) AS entries, (SELECT count(*) FROM tc WHERE tc.id = nd.id) AS tests FROM nd)
+SELECT *, entries > 0 AS exposed, tests > 0 AS covered FROM x""")
+def dsg09_exposure(spark, sf_dir):
+    """DSG09: functions that an entry reaches, and those that a test reaches."""
+    tests = spark.range(50).select(F.concat(F.lit("fn:"), (F.col("id") * 10 + 1).cast("string")).alias("id"))
+    return D.exposure(edges(spark, sf_dir), roots(spark), tests, "CALLS", 3, 0.60)
+
+
 _AS_OF, _HALF_LIFE = "1998-12-31", 180.0
 
 
