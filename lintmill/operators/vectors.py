@@ -161,3 +161,49 @@ def indexed(vectors: DataFrame, centroids: np.ndarray) -> DataFrame:
 def search(index: DataFrame, centroids: np.ndarray, queries: DataFrame, k: int, probes: int) -> DataFrame:
     """As ``nearest``, among the vectors of the ``probes`` lists around each query; with all lists it is the same. Queries and vectors are joined by list."""
     return _met(_listed(queries, centroids, min(probes, len(centroids))), index, k)
+
+
+def _reach(index: DataFrame, centroids: np.ndarray) -> np.ndarray:
+    """Per list the angle of its farthest vector from the centroid; NaN for a list without vectors."""
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                at = batch.column(0).to_numpy()
+                cosine = np.nan_to_num((_unit(_matrix(batch.column(2), batch.num_rows)) * centroids[at]).sum(axis=1), nan=1.0)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cosine)], names=["list", "cosine"])
+
+    out = np.full(len(centroids), np.nan)
+    for r in index.mapInArrow(run, "list int, cosine double").groupBy("list").agg(F.min("cosine").alias("least")).collect():  # a row per list
+        out[r["list"]] = np.arccos(np.clip(r["least"], -1.0, 1.0))
+    return out
+
+
+def search_all(index: DataFrame, centroids: np.ndarray, queries: DataFrame, k: int, probes: int) -> DataFrame:
+    """Exactly as ``nearest``, through the index: after the first ``probes`` lists, a query asks just those others that can hold a better vector.
+
+    By the triangle inequality no vector of a list is nearer to a query than the centroid's angle less the list's reach. Vectors in clusters leave few such lists.
+    """
+    near = written(search(index, centroids, queries, k, probes), "near")
+    reach, first = _reach(index, centroids), min(probes, len(centroids))
+    last = near.where(F.col("place") == k).select(F.col("qid").alias("__qid"), F.col("cosine").alias("kth"))
+    asked = _usable(queries)
+    asked = asked.join(last, asked["vec_id"] == F.col("__qid"), "left").select("vec_id", "v", "kth")
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            cosine = np.nan_to_num(_unit(_matrix(batch.column(1), batch.num_rows)), nan=0.0) @ centroids.T
+            best = np.cos(np.maximum(np.arccos(np.clip(cosine, -1.0, 1.0)) - reach, 0.0))
+            kth = np.nan_to_num(batch.column(2).to_numpy(zero_copy_only=False).astype(float), nan=-2.0)
+            ask = best >= kth[:, None] - 2e-6  # cosines are rounded to six decimals
+            np.put_along_axis(ask, np.argsort(-cosine, axis=1, kind="stable")[:, :first], False, axis=1)
+            row, lists = np.nonzero(ask)
+            again = pa.array(row)
+            yield pa.RecordBatch.from_arrays([pa.array(lists.astype(np.int32)), batch.column(0).take(again), batch.column(1).take(again)], names=["list", "vec_id", "v"])
+
+    rest = written(asked.mapInArrow(run, "list int, vec_id bigint, v array<double>"), "asked")
+    both = near.drop("place").unionByName(_met(rest, index, k).drop("place"))
+    ranked = both.withColumn("place", F.row_number().over(W.partitionBy("qid").orderBy(F.desc("cosine"), "vec_id"))).where(F.col("place") <= k)
+    return ranked.withColumn("place", F.col("place").cast("bigint"))

@@ -747,20 +747,27 @@ def prj35_softmax(spark, sf_dir):
     return p.groupBy("pred").agg(F.count("*").alias("n"), F.round(F.sum(1 / (1 + F.exp(F.col("l0") - F.col("l1")))), 6).alias("p"))
 
 
-@query("dsg13_rerank", """WITH s AS (SELECT q.vec_id AS qid, e.vec_id, round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 6) AS cosine FROM embeddings q, embeddings e WHERE q.vec_id % 20 = 0 AND e.vec_id <> q.vec_id)
-SELECT qid, vec_id, cosine, row_number() OVER (PARTITION BY qid ORDER BY cosine DESC, vec_id) AS place FROM s QUALIFY place <= 5""")
+_NEAREST = """WITH s AS (SELECT q.vec_id AS qid, e.vec_id, round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 6) AS cosine FROM embeddings q, embeddings e WHERE q.vec_id % 20 = 0 AND e.vec_id <> q.vec_id)
+SELECT qid, vec_id, cosine, row_number() OVER (PARTITION BY qid ORDER BY cosine DESC, vec_id) AS place FROM s QUALIFY place <= 5"""
+
+
+def embedded(spark, sf_dir):
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("v"))
+
+
+@query("dsg13_rerank", _NEAREST)
 def dsg13_rerank(spark, sf_dir):
     """Top five neighbours among all others of every vector whose id is divisible by 20."""
-    e = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("v"))
+    e = embedded(spark, sf_dir)
     return V.nearest(e, e.where("vec_id % 20 = 0"), 5)
 
 
-@query("dsg13_indexed")
+@query("dsg13_indexed", _NEAREST)
 def dsg13_indexed(spark, sf_dir):
-    """The same through an index of all vectors, which asks as many lists as nine in ten neighbours need; no SQL, since it may miss some."""
-    e = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("v"))
-    centroids, probes = V.fitted(e)
-    return V.search(V.indexed(e, centroids), centroids, e.where("vec_id % 20 = 0"), 5, probes)
+    """The same through an index of all vectors: first the lists that hold nine in ten neighbours, then those that can hold a better one."""
+    e = embedded(spark, sf_dir)
+    centroids, probes = V.fitted(e, recall=0.9)
+    return V.search_all(V.indexed(e, centroids), centroids, e.where("vec_id % 20 = 0"), 5, probes)
 
 
 @query("dsg16_stratified_sample", """SELECT source, doc_id FROM documents QUALIFY row_number() OVER (PARTITION BY source ORDER BY sha256('7' || doc_id), doc_id) <= 3""")

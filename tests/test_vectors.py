@@ -52,7 +52,20 @@ def test_an_index_of_clustered_vectors_asks_a_few_lists(spark):
     exact, found = by_query(V.nearest(df, queries, 5)), by_query(V.search(index, centroids, queries, 5, probes))
     assert index.count() == 3000 and len(centroids) == 54 and probes <= 8
     assert sum(len(set(exact[q]) & set(found.get(q, ()))) for q in exact) >= 0.9 * sum(map(len, exact.values()))
-    assert by_query(V.search(index, centroids, queries, 5, len(centroids))) == exact  # all lists are the exact way
+    assert by_query(V.search(index, centroids, queries, 5, len(centroids))) == exact == by_query(V.search_all(index, centroids, queries, 5, 1))
+
+
+def test_exact_search_through_the_index_asks_few_lists_of_clustered_vectors(spark, monkeypatch):
+    r = np.random.default_rng(2)
+    centres = r.normal(size=(40, 16))
+    rows = [(i, centres[i % 40] + r.normal(size=16) * 0.02) for i in range(2000)] + [(3000, [0.0] * 16), (3001, None)]
+    df = frame(spark, rows)
+    centroids, _ = V.fitted(df)
+    met, index, queries = [], V.indexed(df, centroids), df.where("vec_id % 20 = 0 or vec_id > 2999")
+    plain = V._met
+    monkeypatch.setattr(V, "_met", lambda q, v, k, block=None: met.append(q.where("vec_id < 3000").count()) or plain(q, v, k, block))
+    assert by_query(V.search_all(index, centroids, queries, 5, 2)) == by_query(plain(*(V._usable(x).select(F.lit(0).alias("list"), "vec_id", "v") for x in (queries, df)), 5))
+    assert met[0] == 200 and met[1] < 100 * 10  # of 44 lists
 
 
 def test_a_long_list_is_dealt_to_cells(spark, monkeypatch):
@@ -66,8 +79,11 @@ def test_a_long_list_is_dealt_to_cells(spark, monkeypatch):
     assert by_query(V.search(index, centroids, queries, 3, 2)) == by_query(V.nearest(df, queries, 3)) == brute(rows, range(0, 600, 20), 3)
 
 
-def test_recall_of_the_registered_index(spark, sf_dir):
-    exact, found = by_query(QUERIES["dsg13_rerank"](spark, sf_dir)), by_query(QUERIES["dsg13_indexed"](spark, sf_dir))
+def test_recall_of_the_index_on_the_test_table(spark, sf_dir):
+    df = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", F.col("embedding").alias("v"))
+    centroids, probes = V.fitted(df)
+    queries = df.where("vec_id % 20 = 0")
+    exact, found = by_query(QUERIES["dsg13_rerank"](spark, sf_dir)), by_query(V.search(V.indexed(df, centroids), centroids, queries, 5, probes))
     assert sum(len(set(exact[q]) & set(found.get(q, ()))) for q in exact) >= 0.9 * sum(map(len, exact.values()))
 
 
