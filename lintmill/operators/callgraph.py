@@ -2,6 +2,7 @@
 
 Functions are named ``type.method``. Everything is joins: method sets against interfaces is a division, by counting; the types of variables are a
 fixed point in which each round joins only what the last one found with the assignments, and is written, so cycles end and the plan stays that of one round.
+Types are numbered in order of their names, and a row holds the 64 of one block as the bits of a number: near the ends of long flows a variable has most types.
 """
 
 from __future__ import annotations
@@ -9,7 +10,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lintmill.sources.store import written
+from lintmill.operators.order import numbered
+from lintmill.sources.store import forget, written
+
+_BLOCK = 6  # types of a block, as a power of two: the bits of a bigint
 
 
 def _function(type_: str = "type", method: str = "method") -> Column:
@@ -35,21 +39,47 @@ def passed(coarse: DataFrame, parameters: DataFrame) -> DataFrame:
     return given.distinct().join(parameters, "function").select("src", F.col("variable").alias("dst")).distinct()
 
 
-def variable_types(allocations: DataFrame, assignments: DataFrame) -> DataFrame:
-    """(variable, type): the types that reach each variable, from where values are made (variable, type) along assignments (src, dst), by any way."""
+def type_sets(allocations: DataFrame, assignments: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(variable, block, word): the types that reach each variable, from where values are made (variable, type) along assignments (src, dst), by any way;
+    and (type, block, bit), what a word's bits mean. Blocks and bits follow the order of the types' names."""
+    own = written(allocations.select("variable", "type").distinct(), "allocations")
+    place = F.col("place") - 1
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), place.bitwiseAND((1 << _BLOCK) - 1).cast("int"))
+    names = written(numbered(own.select("type").distinct(), "type").select("type", F.shiftright(place, _BLOCK).alias("block"), bit.alias("bit")), "names")
     steps = written(assignments.where("src <> dst").select(F.col("src").alias("variable"), F.col("dst").alias("next")).distinct(), "assignments")
-    frontier = known = written(allocations.select("variable", "type").distinct(), "types")
-    while not frontier.isEmpty():
-        found = frontier.join(steps, "variable").select(F.col("next").alias("variable"), "type").distinct()
-        frontier = written(found.join(known, ["variable", "type"], "left_anti"), "types")
-        known = known.union(frontier)
-    return known
+    made = own.join(names.withColumnRenamed("type", "__type"), F.col("type").eqNullSafe(F.col("__type"))).groupBy("variable", "block").agg(F.bit_or("bit").alias("word"))
+    state = written(made.withColumn("fresh", F.col("word")), "types")
+    forget(own)
+    none = F.lit(0).cast("bigint")
+    while not (frontier := state.where("fresh <> 0")).isEmpty():
+        found = frontier.join(steps, "variable").groupBy(F.col("next").alias("variable"), "block").agg(F.bit_or("fresh").alias("found"))
+        both = state.drop("fresh").join(found, ["variable", "block"], "full")
+        had, more = F.coalesce("word", none), F.coalesce("found", none)
+        last, state = state, written(both.select("variable", "block", had.bitwiseOR(more).alias("word"), more.bitwiseAND(F.bitwise_not(had)).alias("fresh")), "types")
+        forget(last)
+    return state.drop("fresh"), names
+
+
+def variable_types(allocations: DataFrame, assignments: DataFrame) -> DataFrame:
+    """(variable, type): the types that reach each variable, as rows."""
+    sets, names = type_sets(allocations, assignments)
+    return sets.join(names, "block").where(F.col("word").bitwiseAND(F.col("bit")) != 0).select("variable", "type")
+
+
+def type_lists(sets: DataFrame, names: DataFrame) -> DataFrame:
+    """(variable, types, names): the number of each variable's types and their names in order, joined by commas; no row per variable and type is made."""
+    block = names.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("type", "bit"))).alias("all"))  # 64 at most
+    word = F.col("word")
+    listed = F.array_join(F.transform(F.filter("all", lambda x: word.bitwiseAND(x["bit"]) != 0), lambda x: x["type"]), ",")
+    parts = sets.join(block, "block").select("variable", F.struct("block", listed.alias("names")).alias("part"), F.bit_count("word").cast("bigint").alias("n"))
+    return parts.groupBy("variable").agg(F.sum("n").alias("types"), F.array_join(F.transform(F.array_sort(F.collect_list("part")), lambda x: x["names"]), ",").alias("names"))
 
 
-def refined_calls(calls: DataFrame, implemented: DataFrame, types: DataFrame) -> DataFrame:
-    """``calls`` with the functions of those types that reach the receiver and implement its interface."""
-    reached = types.select(F.col("variable").alias("receiver"), "type")
-    return calls.join(reached, "receiver").join(implemented, ["interface", "type"], "left_semi").withColumn("dst", _function()).drop("type")
+def refined_calls(calls: DataFrame, implemented: DataFrame, sets: DataFrame, names: DataFrame) -> DataFrame:
+    """``calls`` with the functions of those types that reach the receiver and implement its interface: only these types are asked for."""
+    asked = calls.join(implemented.join(names, "type"), "interface")
+    reached = sets.withColumnRenamed("variable", "receiver")
+    return asked.join(reached, ["receiver", "block"]).where(F.col("word").bitwiseAND(F.col("bit")) != 0).withColumn("dst", _function()).drop("type", "block", "bit", "word")
 
 
 def built(calls: DataFrame, methods: DataFrame, interfaces: DataFrame, allocations: DataFrame, assignments: DataFrame, parameters: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -59,5 +89,5 @@ def built(calls: DataFrame, methods: DataFrame, interfaces: DataFrame, allocatio
     """
     implemented = written(implementations(methods, interfaces), "implementations")
     coarse = written(coarse_calls(calls, implemented), "calls")
-    types = variable_types(allocations, assignments.select("src", "dst").union(passed(coarse, parameters)))
-    return refined_calls(calls, implemented, types), coarse
+    sets, names = type_sets(allocations, assignments.select("src", "dst").union(passed(coarse, parameters)))
+    return refined_calls(calls, implemented, sets, names), coarse
