@@ -342,3 +342,14 @@ def exact_members(findings: DataFrame) -> DataFrame:
     """(tool, rule, repo): the sets beside the sketches; their union is the distinct union of such tables."""
     human = ~F.col("suppress_reason").isin("", "vendored", "generated")
     return findings.where((F.col("suppress_reason") == "") | human).select("tool", "rule", "repo").distinct()
+
+
+def merged_as_whole(tables: DataFrame, whole: DataFrame, lg: int = SKETCH_LG) -> DataFrame:
+    """(tool, rule, close): whether ``tables`` merged tell the counts that the sketches of the ``whole`` tell.
+
+    A merged sketch holds the least hashes of all that was put into any part, whatever the parts have in common. So it must tell the same as the
+    whole's, on any data; how far both are from the true counts is chance, and no bound on that holds always.
+    """
+    told = lambda t, side: sketch_estimates(merged_sketches(t, lg)).select("tool", "rule", F.struct(*_SKETCHED).alias(side))
+    both = told(tables, "parts").join(told(whole, "whole"), ["tool", "rule"], "full")
+    return both.select("tool", "rule", F.coalesce(F.col("parts") == F.col("whole"), F.lit(False)).alias("close"))
