@@ -10,7 +10,8 @@ Trees are built where linked sets must meet. Linked sets share a token among the
 all tokens; here that is the hash order with the most frequent tokens last. Copies with equal sets are one set. Two cheap rounds
 first bring sets with the same least or greatest shared token together with their texts, verify there and join most near copies.
 Then only tokens between different components remain; groups over ``BLOCK`` become pairs of blocks, so that no task holds a whole group
-and no link is lost. Links are few; components come from alternating star steps, and every step's result is in the shared folder.
+and no link is lost. There a token's place in both prefixes bounds what the sets share from it on, which is all if it is the first they share,
+and a pair that shares a token among its ``HEADS`` first ones is named there alone, not by each token it shares. Links are few; components come from alternating star steps, and every step's result is in the shared folder.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ from lintmill.operators.order import numbered
 WORDS, NUM, DEN = 5, 80, 100
 SIGNATURE_BYTES, WIDE_BYTES = 64, 4096
 LEAF, BLOCK, PIVOTS = 16, 1024, 16
+#: A set's shared tokens that tell, at each other one, whether a pair was named already; and how many pairs are asked at once.
+HEADS, PAIRS = 8, 8192
 #: What a block's sets hold together, but for single larger sets.
 BLOCK_TOKENS = 1 << 20
 #: Components are found in files of so many edges, four at least.
@@ -91,23 +94,23 @@ def links(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
 
 
 class Tree:
-    """A signature tree over sets given by their sizes and bitmaps. Level 0 has the sets themselves in leaf order."""
+    """A signature tree over sets given by their sizes, bitmaps and, if known, the most that each can share. Level 0 has the sets themselves in leaf order."""
 
-    def __init__(self, sizes: np.ndarray, signatures: np.ndarray):
+    def __init__(self, sizes: np.ndarray, signatures: np.ndarray, most: np.ndarray | None = None):
         self.order = np.lexsort((signatures[:, 1], signatures[:, 0], sizes))
         size, bits = sizes[self.order].astype(np.int64), signatures[self.order]
         surplus = size - np.bitwise_count(bits).sum(1)
-        self.levels = [(bits, size, size, surplus)]
+        self.levels = [(bits, size, size, surplus, size if most is None else most[self.order].astype(np.int64))]
         while len(self.levels[-1][0]) > 1:
-            bits, low, high, surplus = self.levels[-1]
+            bits, low, high, surplus, most = self.levels[-1]
             at = np.arange(0, len(bits), LEAF)
-            self.levels.append((np.bitwise_or.reduceat(bits, at), np.minimum.reduceat(low, at), np.maximum.reduceat(high, at), np.maximum.reduceat(surplus, at)))
+            self.levels.append((np.bitwise_or.reduceat(bits, at), np.minimum.reduceat(low, at), *(np.maximum.reduceat(x, at) for x in (high, surplus, most))))
 
 
 def possible(p: tuple, i: np.ndarray, q: tuple, j: np.ndarray, num: int, den: int) -> np.ndarray:
     """Whether sets below nodes i of level p and j of level q can link, by the largest overlap they can have."""
     common = np.bitwise_count(p[0][i] & q[0][j]).sum(1).astype(np.int64)
-    most = np.minimum(np.minimum(p[2][i], q[2][j]), common + np.minimum(p[3][i], q[3][j]))
+    most = np.minimum(np.minimum(p[4][i], q[4][j]), common + np.minimum(p[3][i], q[3][j]))
     fits = (den * p[2][i] >= num * q[1][j]) & (den * q[2][j] >= num * p[1][i])
     return fits & ((num + den) * most >= num * (p[1][i] + q[1][j]))
 
@@ -181,6 +184,22 @@ def candidates(tree: Tree, other: Tree, num: int, den: int, label: np.ndarray, o
                 stack.append((depth - 1, ci[x, y], cj[x, z]))
 
 
+def named_before(token: np.ndarray, i: np.ndarray, j: np.ndarray, size: np.ndarray, heads: np.ndarray, places: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Whether rows i and j, which meet at a ``token``, share a lesser one among their heads whose places let them link: they meet there too.
+
+    Of the tokens that the places let a pair be named by, the least has no lesser one, so each pair is named at least there.
+    """
+    out = np.zeros(len(i), dtype=bool)
+    for at in range(0, len(i), PAIRS):
+        x, y = i[at : at + PAIRS], j[at : at + PAIRS]
+        same = (heads[x][:, :, None] == heads[y][:, None, :]) & (heads[x] < token[x][:, None])[:, :, None]
+        pair, a, b = np.nonzero(same)
+        x, y = x[pair], y[pair]
+        most = np.minimum(size[x] - places[x, a], size[y] - places[y, b])
+        out[at + pair[(num + den) * most >= num * (size[x] + size[y])]] = True
+    return out
+
+
 def _groups(batches, key: tuple[str, ...]):
     """Tables of the rows that share a key; rows come sorted by it, a group may go over batches."""
     held, last = [], None
@@ -336,19 +355,43 @@ def round_links(active: DataFrame, key: str, labels: DataFrame | None, k: int, n
 
 
 def candidate_pairs(shared: DataFrame, active: DataFrame, labels: DataFrame | None, num: int, den: int) -> DataFrame:
-    """Distinct pairs of sets in different components that share a token and may link by the trees' bounds."""
-    rows = _mixed(written(_labelled(shared, labels), "labelled").withColumn("n", F.lit(0)), "token")
-    parts = _parts()
+    """Distinct pairs of sets in different components that share a token and may link by the trees' bounds and the token's place in both."""
+    return named_pairs(shared, active, labels, num, den).distinct()
+
+
+def named_pairs(shared: DataFrame, active: DataFrame, labels: DataFrame | None, num: int, den: int) -> DataFrame:
+    """``candidate_pairs``, of which few come more than once."""
+    labelled = written(_labelled(shared, labels), "labelled")
+    mixed = written(_mixed(labelled.withColumn("n", F.lit(0)), "token"), "mixed")
+    forget(labelled)
+    # tokens in the first places are those that two sets of about one size can be named by
+    late = (num + den) * F.col("place") > (den - num) * F.col("n")
+    sized = mixed.select("rep", "token", "place").join(active.select("rep", "n"), "rep")
+    heads = sized.groupBy("rep").agg(F.slice(F.array_sort(F.collect_list(F.struct(late.alias("late"), "token", "place"))), 1, HEADS).alias("h"))  # of one set's prefix
+    heads = heads.select("rep", F.col("h.token").alias("heads"), F.col("h.place").alias("places"))
+    rows, parts = mixed, _parts()
     own = F.pmod(F.xxhash64("rep"), parts).cast("int")
     pair = F.transform(F.sequence(F.lit(0), parts - 1), lambda x: F.struct(F.least(x, own).alias("p"), F.greatest(x, own).alias("q")))
-    rows = rows.select("token", "rep", "component", own.alias("own"), F.explode(F.when(parts == 1, F.array(F.struct(own.alias("p"), own.alias("q")))).otherwise(pair)).alias("x"))
-    rows = rows.join(active.select("rep", "n", "signature"), "rep").select("token", F.col("x.p").alias("p"), F.col("x.q").alias("q"), "own", "rep", "component", "n", "signature")
+    rows = rows.select("token", "rep", "place", "component", own.alias("own"), F.explode(F.when(parts == 1, F.array(F.struct(own.alias("p"), own.alias("q")))).otherwise(pair)).alias("x"))
+    rows = rows.join(active.select("rep", "n", "signature").join(heads, "rep"), "rep").select("token", F.col("x.p").alias("p"), F.col("x.q").alias("q"), "own", "rep", "place", "component", "n", "signature", "heads", "places")
     rows = rows.repartition("token", "p", "q").sortWithinPartitions("token", "p", "q", "rep")
 
+    def first_tokens(rows: pa.RecordBatch | pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        """The heads of the rows and their places, HEADS each; what is missing is greater than all tokens, or equal to the greatest."""
+        out = []
+        for name, empty, kind in (("heads", np.iinfo(np.int64).max, np.int64), ("places", 0, np.int64)):
+            column = rows.column(name)
+            column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+            length = column.value_lengths().to_numpy()
+            table = np.full((len(length), HEADS), empty, dtype=kind)
+            table[np.arange(HEADS) < length[:, None]] = column.flatten().to_numpy()
+            out.append(table)
+        return out[0], out[1]
+
     def small(batch: pa.RecordBatch) -> tuple[pa.RecordBatch | None, np.ndarray]:
         """The pairs of groups that are one leaf and lie in the batch's middle, for all of them at once, and which rows are left."""
-        names = ("token", "p", "q", "rep", "n", "component")
-        token, p, q, rep, n, component = (batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in names)
+        names = ("token", "p", "q", "rep", "place", "n", "component")
+        token, p, q, rep, place, n, component = (batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in names)
         new = np.ones(len(token), dtype=bool)
         new[1:] = (token[1:] != token[:-1]) | (p[1:] != p[:-1]) | (q[1:] != q[:-1])
         starts = np.flatnonzero(new)
@@ -370,8 +413,10 @@ def candidate_pairs(shared: DataFrame, active: DataFrame, labels: DataFrame | No
             return None, rest
         maps = _bitmaps(batch.column(batch.schema.get_field_index("signature")).to_pylist())
         size = n.astype(np.int64)
-        level = (maps, size, size, size - np.bitwise_count(maps).sum(1))
+        level = (maps, size, size, size - np.bitwise_count(maps).sum(1), size - place)
         keep = possible(level, i, level, j, num, den)
+        i, j = i[keep], j[keep]
+        keep = ~named_before(token, i, j, size, *first_tokens(batch), num, den)
         a, b = rep[i[keep]], rep[j[keep]]
         pairs = np.unique(np.column_stack([np.minimum(a, b), np.maximum(a, b)]), axis=0)
         return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"]), rest
@@ -391,20 +436,24 @@ def candidate_pairs(shared: DataFrame, active: DataFrame, labels: DataFrame | No
             yield from ready
             ready.clear()
             rep, own = group["rep"].to_numpy(), group["own"].to_numpy()
-            sizes, maps, label = group["n"].to_numpy(), _bitmaps(group["signature"].to_pylist()), group["component"].to_numpy()
+            sizes, maps, label = group["n"].to_numpy().astype(np.int64), _bitmaps(group["signature"].to_pylist()), group["component"].to_numpy()
+            token, most, firsts = group["token"].to_numpy(), sizes - group["place"].to_numpy(), first_tokens(group)
             p, q = group["p"][0].as_py(), group["q"][0].as_py()
             sides = [np.flatnonzero(own == x) for x in ((p,) if p == q else (p, q))]
-            trees = [Tree(sizes[s], maps[s]) for s in sides if len(s)]
+            trees = [Tree(sizes[s], maps[s], most[s]) for s in sides if len(s)]
             if len(trees) < len(sides):
                 continue
             first, last = sides[0], sides[-1]
             for i, j in candidates(trees[0], trees[-1], num, den, label[first], label[last]):
-                a, b = rep[first[i]], rep[last[j]]
-                keep = label[first[i]] != label[last[j]]
+                i, j = first[i], last[j]
+                keep = label[i] != label[j]
+                i, j = i[keep], j[keep]
+                keep = ~named_before(token, i, j, sizes, *firsts, num, den)
+                a, b = rep[i], rep[j]
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)[keep]), pa.array(np.maximum(a, b)[keep])], names=["a", "b"])
         yield from ready
 
-    return mapped(rows, run, "a bigint, b bigint").distinct()
+    return mapped(rows, run, "a bigint, b bigint")
 
 
 def narrowed(pairs: DataFrame, reps: DataFrame, num: int, den: int) -> DataFrame:
@@ -472,8 +521,8 @@ def jaccard_components(docs: DataFrame, *, k: int = WORDS, num: int = NUM, den:
     sets = written(every.select("doc_id", "n", "key"), "members")
     forget(every)
     collected(spark)
-    tokens = reps.select("rep", F.explode("prefix").alias("token"))
-    shared = written(tokens.join(tokens.groupBy("token").count().where("count > 1").select("token"), "token").select("token", "rep"), "shared")
+    tokens = reps.select("rep", F.posexplode("prefix").alias("place", "token"))
+    shared = written(tokens.join(tokens.groupBy("token").count().where("count > 1").select("token"), "token").select("token", "rep", "place"), "shared")
     collected(spark)
     ends = shared.groupBy("rep").agg(F.min("token").alias("k1"), F.max("token").alias("k2"))
     text = F.col(f"`{text_col}`").cast("string")
