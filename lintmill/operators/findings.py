@@ -57,10 +57,11 @@ def suppressions(findings: DataFrame, lines: DataFrame) -> DataFrame:
     """``findings`` with is_generated, and the comment that suppresses each one (directive, empty if none).
 
     Lines are joined first, where ``findings`` lie by doc_id and line; what holds for whole files is one more join.
+    Only comments are joined, as the patterns match them: what stands before and after them in a line suppresses nothing.
     """
-    told = lines.where(F.col("text").rlike(R.NOLINT) | F.col("text").rlike(R.LINT_IGNORE))  # other lines suppress nothing, so only these are joined
-    here = told.select("doc_id", F.col("line_no").alias("line"), F.col("text").alias("__here"))
-    above = told.select("doc_id", (F.col("line_no") + 1).alias("line"), F.col("text").alias("__above"))
+    nolint, ignored = F.regexp_extract("text", R.NOLINT, 0), F.regexp_extract("text", R.LINT_IGNORE, 0)
+    told = lambda comment, at, name: lines.select("doc_id", at.alias("line"), comment.alias(name)).where(F.col(name) != "")
+    here, above = told(nolint, F.col("line_no"), "__here"), told(F.concat(nolint, ignored), F.col("line_no") + 1, "__above")
     joined = findings.join(here, ["doc_id", "line"], "left").join(above, ["doc_id", "line"], "left")
     rule, tool = F.col("rule"), F.col("tool")
     listed = F.regexp_extract("__above", R.LINT_IGNORE, 1)
