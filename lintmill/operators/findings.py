@@ -168,12 +168,18 @@ def absent(rows: DataFrame, other: DataFrame, keys: tuple[str, ...] = ("repo",))
 
 
 def rule_frequency(findings: DataFrame) -> DataFrame:
-    """Per tool and rule: reported and human-suppressed findings, their rate, repositories, first category."""
+    """Per tool and rule: reported and human-suppressed findings, their rate, repositories, first category.
+
+    Without ``ord`` a tool's rule has one category. Then findings are counted by repository first, in hash tables, and none are sorted.
+    """
     human = ~F.col("suppress_reason").isin("", "vendored", "generated")
     counted = findings.where((F.col("suppress_reason") == "") | human)
-    out = counted.groupBy("tool", "rule").agg(
-        F.count_if(F.col("suppress_reason") == "").alias("reported"), F.count_if(human).alias("suppressed"), F.count_distinct("repo").alias("repos"), F.min_by("category", F.struct("repo", "side", "ord")).alias("category")
-    )
+    counts = [F.count_if(F.col("suppress_reason") == "").alias("reported"), F.count_if(human).alias("suppressed")]
+    if "ord" in findings.columns:
+        out = counted.groupBy("tool", "rule").agg(*counts, F.count_distinct("repo").alias("repos"), F.min_by("category", F.struct("repo", "side", "ord")).alias("category"))
+    else:
+        each = counted.groupBy("tool", "rule", "category", "repo").agg(*counts)
+        out = each.groupBy("tool", "rule").agg(F.sum("reported").alias("reported"), F.sum("suppressed").alias("suppressed"), F.count("repo").alias("repos"), F.min("category").alias("category"))
     return out.withColumn("rate", R.rounded(F.col("suppressed") / (F.col("reported") + F.col("suppressed")), 3))
 
 
@@ -305,7 +311,13 @@ def sarif_results(findings: DataFrame) -> DataFrame:
 
 
 def sarif_rules(findings: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
-    """The rules of each report in order of their ids, with category and tool of their first finding."""
+    """The rules of each report in order of their ids, with category and tool of their first finding.
+
+    Without ``ord`` all findings of a rule have one category and tool; they are counted in hash tables and not sorted.
+    """
+    if "ord" not in findings.columns:
+        each = findings.groupBy(*keys, "rule", "category", "tool").agg(F.count("*").alias("n"))
+        return each.groupBy(*keys, "rule").agg(F.min("category").alias("category"), F.min("tool").alias("tool"), F.sum("n").alias("n"))
     return findings.groupBy(*keys, "rule").agg(F.min_by("category", "ord").alias("category"), F.min_by("tool", "ord").alias("tool"), F.count("*").alias("n"))
 
 
